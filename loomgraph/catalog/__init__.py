@@ -14,6 +14,9 @@ def load() -> None:
 MODULES = [
     "filters",
     "aggregation",
+    "ranking",
+    "neighbours",
+    "graph",
 ]
 
 __all__ = ["ORACLES", "QUERIES", "load"]
