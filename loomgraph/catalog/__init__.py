@@ -14,6 +14,7 @@ def load() -> None:
 MODULES = [
     "filters",
     "aggregation",
+    "cleaning",
     "ranking",
     "neighbours",
     "graph",

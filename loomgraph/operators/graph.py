@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.binding import GraphBinding
 from loomgraph.operators.filters import filtered_items, year_of
-from loomgraph.runtime import cut_lineage, with_group_stats
+from loomgraph.runtime import cut_lineage, with_group_index, with_group_stats
 
 
 def connected_components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -49,8 +49,8 @@ def connected_components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 6
 
 def chunk_groups(members: DataFrame, group: str, member: str, size: int = 30) -> DataFrame:
     """Split oversized groups into chunks of at most `size`, in member order."""
-    w = Window.partitionBy(group).orderBy(member)
-    return members.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size))
+    placed = with_group_index(members, [group], [F.col(member)])
+    return placed.withColumn("chunk", F.floor(F.col("pos") / size)).drop("pos")
 
 
 def neighbourhood(graph: GraphBinding, name_part: str, label: str, limit: int = 50) -> DataFrame:

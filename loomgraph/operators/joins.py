@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.binding import GraphBinding
+from loomgraph.runtime import top_k_per_group
 
 
 def collected(values: Column | str, limit: int | None = None) -> Column:
@@ -17,7 +18,9 @@ def collected(values: Column | str, limit: int | None = None) -> Column:
 
 
 def with_neighbours(items: DataFrame, rel: DataFrame, name: str, out: str, limit: int | None = None) -> DataFrame:
-    """OPTIONAL match: left join to the per-item list of neighbours."""
+    """OPTIONAL match: left join to the per-item list of neighbours, cut to the first `limit`."""
+    if limit:
+        rel = top_k_per_group(rel.select("item_id", name).distinct(), ["item_id"], [F.col(name)], limit)
     lists = rel.groupBy("item_id").agg(collected(name, limit).alias(out))
     return items.join(lists, "item_id", "left")
 

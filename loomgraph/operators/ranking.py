@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.binding import GraphBinding
 from loomgraph.operators.aggregate import region_of
 from loomgraph.operators.filters import filtered_items, year_of
+from loomgraph.runtime import with_group_index
 
 # rank_by -> (relation group, key column, carried columns)
 RANK_DIMENSIONS = {
@@ -148,12 +149,24 @@ def list_targets(
     return out.orderBy(F.desc("count"), "name").limit(limit)
 
 
-def trailing_mean(df: DataFrame, keys: list[str], order: str, value: str, width: int = 10) -> DataFrame:
-    """Moving average over the last `width` rows; rows without a full window are dropped."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    full = F.row_number().over(w) >= width
+def trailing_mean(
+    df: DataFrame, keys: list[str], order: str, value: str, width: int = 10, block: int = 100_000
+) -> DataFrame:
+    """Moving average over the last `width` rows; rows without a full window are dropped.
+
+    A group is cut into blocks of `block` rows; the last `width - 1` rows of a
+    block are also sent to the next one, so a long series is spread over many
+    tasks and the averages stay exact.
+    """
+    placed = with_group_index(df, keys, [F.col(order)])
+    home = F.floor(F.col("pos") / block)
+    lead = F.floor((F.col("pos") + width - 1) / block)
+    homes = F.array_distinct(F.array(home, lead))
+    spread = placed.withColumn("_home", home).withColumn("_block", F.explode(homes))
+    w = Window.partitionBy(*keys, "_block").orderBy("pos")
     mean = F.avg(value).over(w.rowsBetween(-(width - 1), 0))
-    return df.withColumn("_full", full).withColumn("moving_avg", mean).filter("_full").drop("_full")
+    out = spread.withColumn("moving_avg", mean).filter((F.col("_home") == F.col("_block")) & (F.col("pos") >= width - 1))
+    return out.select(*df.columns, "moving_avg")
 
 
 def latency_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:

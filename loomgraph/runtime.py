@@ -111,6 +111,17 @@ def with_global_index(df: DataFrame, order: list[Column], name: str = "idx", par
     )
 
 
+def with_group_index(df: DataFrame, keys: list[str], order: list[Column], name: str = "pos") -> DataFrame:
+    """0-based position inside each group, without a window over the group.
+
+    Rows are put in one global order (group, order); a group's rows are then
+    consecutive, so the position is the global index minus the group's least.
+    """
+    indexed = with_global_index(df, [F.col(k) for k in keys] + order, "_g")
+    starts = indexed.groupBy(*keys).agg(F.min("_g").alias("_first"))
+    return indexed.join(starts, keys).withColumn(name, F.col("_g") - F.col("_first")).drop("_g", "_first")
+
+
 def with_hash_rank(
     df: DataFrame, keys: list[str], digest: Column, tie: list[Column], rank: str = "rank", size: str = "group_size"
 ) -> DataFrame:
