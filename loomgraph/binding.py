@@ -59,6 +59,10 @@ class GraphBinding(ABC):
     def topics(self) -> DataFrame:
         """`topic_name, topic_level, topic_parent`, including topics without items."""
 
+    def texts(self) -> DataFrame:
+        """`item_id, text` for full-text search."""
+        return self.items().select("item_id", F.col("title").alias("text"))
+
     def edges(self) -> DataFrame:
         """All item edges in long form `(src_id, rel_type, dst_label, dst_name, role)`."""
         none = F.lit(None).cast("string")
@@ -110,6 +114,14 @@ class OrdersBinding(GraphBinding):
         zero = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in COUNTERS]
         return items.join(self.counters(), "item_id", "left").select(*items.columns, *zero)
 
+    def texts(self) -> DataFrame:
+        """The part names of an order, in line order."""
+        line, part = self.table("lineitem"), self.table("part")
+        named = line.join(part, line.l_partkey == part.p_partkey)
+        lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name")))
+        texts = named.groupBy(F.col("l_orderkey").alias("item_id")).agg(lines.alias("ls"))
+        return texts.select("item_id", F.array_join(F.col("ls.p_name"), " ").alias("text"))
+
     def counters(self) -> DataFrame:
         flag = F.col("l_returnflag")
         return self.table("lineitem").groupBy(F.col("l_orderkey").alias("item_id")).agg(

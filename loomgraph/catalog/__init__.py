@@ -15,6 +15,8 @@ MODULES = [
     "filters",
     "aggregation",
     "cleaning",
+    "search",
+    "resolution",
     "ranking",
     "neighbours",
     "graph",
