@@ -17,6 +17,7 @@ MODULES = [
     "cleaning",
     "search",
     "resolution",
+    "evaluation",
     "ranking",
     "neighbours",
     "graph",
