@@ -18,6 +18,8 @@ MODULES = [
     "search",
     "resolution",
     "evaluation",
+    "rewards",
+    "rollouts",
     "ranking",
     "neighbours",
     "graph",

@@ -122,6 +122,31 @@ def with_group_index(df: DataFrame, keys: list[str], order: list[Column], name:
     return indexed.join(starts, keys).withColumn(name, F.col("_g") - F.col("_first")).drop("_g", "_first")
 
 
+def with_group_running_sum(
+    df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, partitions: int | None = None
+) -> DataFrame:
+    """Sum of `value` over the earlier rows of the same group, for groups of any size.
+
+    Sums run inside range partitions of the global (group, order) order and are
+    shifted by the sum of the earlier partitions; a group's own sum is the
+    difference to its first row. `value` should be integral so that it is exact.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    full = [F.col(k) for k in keys] + order
+    ranged = df.withColumn("_val", value).repartitionByRange(n, *full).sortWithinPartitions(*full)
+    tagged = cut_lineage(ranged.withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33))
+    inside = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    tagged = tagged.withColumn("_run", F.coalesce(F.sum("_val").over(inside), F.lit(0)))
+    sums = tagged.groupBy("_pid").agg(F.sum("_val").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tagged = tagged.join(sums.select("_pid", before.alias("_start")), "_pid").withColumn("_run", F.col("_run") + F.col("_start"))
+    first = tagged.groupBy(*keys).agg(F.min_by("_run", "_mid").alias("_first"))
+    out = tagged.join(first, keys).withColumn(name, F.col("_run") - F.col("_first"))
+    return out.drop("_val", "_mid", "_pid", "_run", "_start", "_first")
+
+
 def with_hash_rank(
     df: DataFrame, keys: list[str], digest: Column, tie: list[Column], rank: str = "rank", size: str = "group_size"
 ) -> DataFrame:
