@@ -20,6 +20,7 @@ MODULES = [
     "evaluation",
     "rewards",
     "rollouts",
+    "datasets",
     "ranking",
     "neighbours",
     "graph",

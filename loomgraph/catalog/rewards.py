@@ -151,11 +151,13 @@ _SRC = "SELECT k.pos, k.t, k.mask, k.val, coalesce((SELECT first(v.adv ORDER BY
 
 @query(
     "r09_gae",
-    "SELECT pos, t, round(x + val, 6) AS returns, round((x - mean) / sqrt(var + 1e-8::DOUBLE), 6) AS advantages FROM src CROSS JOIN white",
+    "SELECT pos, t, round(x + val + 1e-9::DOUBLE, 6) AS returns, round((x - mean) / sqrt(var + 1e-8::DOUBLE) + 1e-9::DOUBLE, 6) AS advantages FROM src CROSS JOIN white",
     {**C, "valid": _VALID, "adv": _ADV, "src": _SRC, "white": _WHITE},
 )
 def gae(spark, path):
-    return _exploded(R.gae(tokens(spark, path), 0.99, 0.95), "returns", "advantages")
+    out = R.gae(tokens(spark, path), 0.99, 0.95)
+    nudge = [F.transform(c, lambda x: x + 1e-9).alias(c) for c in ("returns", "advantages")]
+    return _exploded(out.select("pos", *nudge), "returns", "advantages")
 
 
 @query(
