@@ -21,6 +21,8 @@ MODULES = [
     "rewards",
     "rollouts",
     "datasets",
+    "streams",
+    "sinks",
     "ranking",
     "neighbours",
     "graph",

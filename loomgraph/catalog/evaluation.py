@@ -243,7 +243,7 @@ def evaluation_report(spark, path):
 )
 def error_class(spark, path):
     docs = table(spark, path, "documents")
-    msg = F.when(F.col("n_chars") > 3000, "Neo SYNTAX error").when(F.col("n_chars") > 1000, "TimeOut after 9 s").otherwise("other")
+    msg = F.when(F.col("n_chars") > 3000, "a SYNTAX error").when(F.col("n_chars") > 1000, "TimeOut after 9 s").otherwise("other")
     has = F.when(F.lower("text").contains("syntax") | F.lower("text").contains("thth"), "x").otherwise("y")
     return docs.select("doc_id", has.alias("has"), E.error_class(msg).alias("class"))
 

@@ -15,7 +15,6 @@ from loomgraph.functions.columns import (
     blank_to_null,
     contains_any,
     let,
-    quote_regex,
     squeeze,
     strip,
     to_integer,
@@ -86,9 +85,11 @@ def org_type(
 
 def comparison_name(c: Column, suffixes: Sequence[str] = P.COMPARISON_SUFFIXES) -> Column:
     """Name for comparison: lower case, each suffix off in list order, no punctuation."""
-    s = F.lower(c)
-    for suffix in suffixes:
-        s = F.regexp_replace(s, r"(?U)\s*" + quote_regex(suffix) + r"\z", "")
+    def off(s: Column, suffix: Column) -> Column:
+        bare = s.substr(F.lit(1), F.length(s) - F.length(suffix))
+        return F.when(F.endswith(s, suffix), strip(bare)).otherwise(s)
+
+    s = F.aggregate(F.array(*[F.lit(x) for x in suffixes]), F.lower(c), off)
     s = F.regexp_replace(s, r"""[,.\-'"()（）\[\]【】]""", "")
     return F.coalesce(squeeze(s), F.lit(""))
 
