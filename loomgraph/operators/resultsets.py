@@ -149,7 +149,7 @@ def _value_sets(results: DataFrame, side: str, lenient: bool) -> DataFrame:
     """Distinct value sets of a side with how often each occurs."""
     vals = F.transform("values", normal_number) if lenient else F.col("values")
     sets = results.filter(F.col("side") == side).select("qid", "row_no", F.array_sort(F.array_distinct(vals)).alias("s"))
-    return sets.groupBy("qid", "s").agg(F.count("*").alias("n"), F.min("row_no").alias("first"))
+    return sets.groupBy("qid", "s").agg(F.count("*").alias("n"))
 
 
 def covered_sets(results: DataFrame, lenient: bool = False) -> DataFrame:
@@ -204,10 +204,12 @@ def lenient_match_ordered(results: DataFrame) -> DataFrame:
 def lenient_match(results: DataFrame) -> DataFrame:
     """Each gold row's value set lies in a tool row of its own, as many rows on both sides.
 
-    Decided by counts where sets of equal size make "contained" mean "equal",
-    and where some gold set is not covered at all. Only the remaining queries
-    (tool rows wider than gold rows) need the assignment in row order; it runs
-    per query on distinct value sets with their counts.
+    Most queries are settled by counts: different numbers of rows, a gold set
+    that no tool row covers, or sets of one size, where "contained" means
+    "equal" and bags decide. Only what is left (tool rows wider than gold rows,
+    all gold rows covered) needs the assignment itself, which goes through the
+    gold rows in order and gives each the first free tool row; that is one
+    query's result per task.
     """
     gold = _value_sets(results, "gold", True).withColumn("side", F.lit("gold"))
     pred = _value_sets(results, "pred", True).withColumn("side", F.lit("pred"))
@@ -227,27 +229,24 @@ def lenient_match(results: DataFrame) -> DataFrame:
         .when(F.col("min_w") == F.col("max_w"), F.col("bag_equal").cast("int"))
     )
     state = state.select("qid", verdict.alias("match"))
-    rest = sets.join(state.filter("match IS NULL").select("qid"), "qid")
+    rest = results.join(state.filter("match IS NULL").select("qid"), "qid", "left_semi")
+    rest = rest.select("qid", "side", "row_no", F.array_distinct(F.transform("values", normal_number)).alias("s"))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        tools = pdf[pdf["side"] == "pred"].sort_values("first")
-        left = [[set(s), n] for s, n in zip(tools["s"], tools["n"])]
-        wanted = pdf[pdf["side"] == "gold"].sort_values("first")
+        pdf = pdf.sort_values("row_no")
+        free = [frozenset(s) for s in pdf.loc[pdf["side"] == "pred", "s"]]
         ok = 1
-        for s, n in zip(wanted["s"], wanted["n"]):
-            values = set(s)
-            for slot in left:
-                if n and slot[1] and values <= slot[0]:
-                    used = min(n, slot[1])
-                    slot[1] -= used
-                    n -= used
-            if n:
+        for s in pdf.loc[pdf["side"] == "gold", "s"]:
+            wanted = frozenset(s)
+            hit = next((i for i, t in enumerate(free) if wanted <= t), None)
+            if hit is None:
                 ok = 0
                 break
+            free.pop(hit)
         return pd.DataFrame({"qid": [pdf["qid"].iloc[0]], "match": [ok]})
 
     qid_type = results.schema["qid"].dataType.simpleString()
-    slow = rest.select("qid", "side", "s", "n", "first").groupBy("qid").applyInPandas(assign, f"qid {qid_type}, match int")
+    slow = rest.groupBy("qid").applyInPandas(assign, f"qid {qid_type}, match int")
     return state.filter("match IS NOT NULL").unionByName(slow)
 
 

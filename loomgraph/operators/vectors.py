@@ -93,9 +93,9 @@ def top_k_cosine(
         nq = math.ceil(queries.count() / query_block)
         nv = math.ceil(vectors.count() / vector_block)
         q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)))
-        q = q.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).cast("bigint"))
+        q = q.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nv - 1).cast("bigint"))))
         v = vectors.withColumn("vb", F.pmod(F.xxhash64("vid"), F.lit(nv)))
-        v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("bigint"))
+        v = v.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))))
 
         def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
