@@ -94,13 +94,14 @@ def top_k_cosine(
         nv = math.ceil(vectors.count() / vector_block)
         q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)))
         q = q.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nv - 1).cast("bigint"))))
-        v = vectors.withColumn("vb", F.pmod(F.xxhash64("vid"), F.lit(nv)))
+        # a fresh name, since both sides may come from the same table
+        v = vectors.select("vid", F.col("embedding").alias("vec")).withColumn("vb", F.pmod(F.xxhash64("vid"), F.lit(nv)))
         v = v.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))))
 
         def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
                 return pd.DataFrame({"qid": [], "vid": [], "score": []})
-            scores = _matrix(left["embedding"]) @ _matrix(right["embedding"]).T
+            scores = _matrix(left["embedding"]) @ _matrix(right["vec"]).T
             return _best(left["qid"].to_numpy(), right["vid"].to_numpy(), scores, k, drop_self)
 
         partial = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(cell, schema)
