@@ -63,12 +63,16 @@ class GraphBinding(ABC):
         """`item_id, text` for full-text search."""
         return self.items().select("item_id", F.col("title").alias("text"))
 
-    def edges(self) -> DataFrame:
-        """All item edges in long form `(src_id, rel_type, dst_label, dst_name, role)`."""
+    def edges(self, distinct: bool = True) -> DataFrame:
+        """All item edges in long form `(src_id, rel_type, dst_label, dst_name, role)`.
+
+        `distinct=False` may repeat an edge; it saves a shuffle where the
+        reader collects sets anyway.
+        """
         none = F.lit(None).cast("string")
 
         def part(group: str, rel: Column, label: str, name: str, role: Column = none) -> DataFrame:
-            return self.relation(group, distinct=True).select(
+            return self.relation(group, distinct=distinct).select(
                 F.col("item_id").alias("src_id"),
                 rel.alias("rel_type"),
                 F.lit(label).alias("dst_label"),
@@ -181,6 +185,60 @@ class OrdersBinding(GraphBinding):
             F.substring("p_type", 1, 1), brand_no, F.upper(F.substring("p_name", 1, 1)), F.lit("/"), F.col("p_size").cast("string")
         )
 
+    def edges(self, distinct: bool = True) -> DataFrame:
+        """Two scans instead of one per relation: orders and lines each explode into their edges."""
+
+        def edge(rel: Column | str, label: str, name: Column, role: Column | None = None) -> Column:
+            return F.struct(
+                (rel if isinstance(rel, Column) else F.lit(rel)).alias("rel_type"),
+                F.lit(label).alias("dst_label"),
+                name.alias("dst_name"),
+                (role if role is not None else F.lit(None)).cast("string").alias("role"),
+            )
+
+        orders = self.table("orders").join(self.parties(), F.col("o_custkey") == F.col("party_id"))
+        family = F.concat_ws("-", F.col("o_custkey").cast("string"), F.year("o_orderdate").cast("string"))
+        of_order = F.array_compact(
+            F.array(
+                edge("APPLIED_BY", "Organization", F.col("party_name")),
+                edge("HAS_STATUS", "Status", F.col("o_orderstatus")),
+                edge("PUBLISHED_IN", "Country", F.col("place_country")),
+                F.when(F.col("o_orderstatus") != "O", edge("IN_FAMILY", "Family", family)),
+            )
+        )
+        line, part, supplier = self.table("lineitem"), self.table("part"), self.table("supplier").select("s_suppkey", "s_name")
+        lines = line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
+        large = F.col("l_quantity") >= 45
+        of_line = F.array_compact(
+            F.array(
+                edge("BELONGS_TO", "Topic", F.concat_ws(" ", "p_type", "p_brand")),
+                edge("CLASSIFIED_AS", "Code", self.part_code()),
+                edge(self.activity_type(), "Organization", F.col("s_name")),
+                F.when(large, edge("LITIGATED_WITH", "Organization", F.col("s_name"), self.side())),
+                F.when(large, edge("HAS_LITIGATION_TYPE", "LitigationType", F.col("l_returnflag"))),
+            )
+        )
+        first = orders.select(F.col("o_orderkey").alias("src_id"), F.explode(of_order).alias("e")).select("src_id", "e.*")
+        second = lines.select(F.col("l_orderkey").alias("src_id"), F.explode(of_line).alias("e")).select("src_id", "e.*")
+        return first.unionByName(second.distinct() if distinct else second)
+
+    @staticmethod
+    def activity_type() -> Column:
+        flags = {
+            ("R", "F"): "TRANSFERRED_TO",
+            ("R", "O"): "TRANSFERRED_FROM",
+            ("A", "F"): "LICENSED_TO",
+            ("A", "O"): "LICENSED_FROM",
+            ("N", "F"): "PLEDGED_TO",
+            ("N", "O"): "OWNED_BY",
+        }
+        tests = [F.when((F.col("l_returnflag") == f) & (F.col("l_linestatus") == s), n) for (f, s), n in flags.items()]
+        return F.coalesce(*tests)
+
+    @staticmethod
+    def side() -> Column:
+        return F.when(F.col("l_linestatus") == "O", "plaintiff").otherwise("defendant")
+
     def relation(self, group: str, place: bool = False, distinct: bool = False) -> DataFrame:
         orders = self.table("orders")
         line = self.table("lineitem")
@@ -226,19 +284,8 @@ class OrdersBinding(GraphBinding):
         if group == "country":
             return self.relation("party", place=True).select("item_id", F.col("place_country").alias("country_name"))
         if group == "activity":
-            flags = {
-                ("R", "F"): "TRANSFERRED_TO",
-                ("R", "O"): "TRANSFERRED_FROM",
-                ("A", "F"): "LICENSED_TO",
-                ("A", "O"): "LICENSED_FROM",
-                ("N", "F"): "PLEDGED_TO",
-                ("N", "O"): "OWNED_BY",
-            }
-            rel_type = F.lit(None).cast("string")
-            for (flag, status), name in flags.items():
-                rel_type = F.when((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status), name).otherwise(rel_type)
             supplier = self.table("supplier").select("s_suppkey", "s_name")
-            rel = line.select(F.col("l_orderkey").alias("item_id"), rel_type.alias("rel_type"), "l_suppkey").join(
+            rel = line.select(F.col("l_orderkey").alias("item_id"), self.activity_type().alias("rel_type"), "l_suppkey").join(
                 supplier, F.col("l_suppkey") == F.col("s_suppkey")
             )
             rel = rel.select("item_id", "rel_type", F.col("s_suppkey").alias("party_id"), F.col("s_name").alias("party_name"))
@@ -250,7 +297,7 @@ class OrdersBinding(GraphBinding):
                 F.col("l_orderkey").alias("item_id"),
                 F.col("s_suppkey").alias("party_id"),
                 F.col("s_name").alias("party_name"),
-                F.when(F.col("l_linestatus") == "O", "plaintiff").otherwise("defendant").alias("role"),
+                self.side().alias("role"),
             )
             return rel.distinct() if distinct else rel
         if group == "littype":

@@ -68,7 +68,7 @@ def neighbourhood(graph: GraphBinding, name_part: str, label: str, limit: int =
 
 def item_neighbourhood(graph: GraphBinding, items: DataFrame) -> DataFrame:
     """Distinct (type, name, relation) neighbours of every given item."""
-    edges = graph.edges().join(items.select(F.col("item_id").alias("src_id")), "src_id", "left_semi")
+    edges = graph.edges(distinct=False).join(items.select(F.col("item_id").alias("src_id")), "src_id", "left_semi")
     return edges.select(
         F.col("src_id").alias("item_id"), F.col("dst_label").alias("type"), F.col("dst_name").alias("name"), "rel_type"
     ).distinct()

@@ -25,47 +25,54 @@ def with_neighbours(items: DataFrame, rel: DataFrame, name: str, out: str, limit
     return items.join(lists, "item_id", "left")
 
 
-def item_detail(graph: GraphBinding, items: DataFrame) -> DataFrame:
-    """All relations of the given items as arrays, from one pass over their edges."""
-    edges = graph.edges().join(items.select(F.col("item_id").alias("src_id")), "src_id", "left_semi")
-
-    def names(rel: str) -> Column:
-        return F.array_join(F.array_sort(F.collect_set(F.when(F.col("rel_type") == rel, F.col("dst_name")))), ";")
-
-    party = F.concat_ws(":", "dst_name", "role")
-    litigation = F.array_join(F.array_sort(F.collect_set(F.when(F.col("rel_type") == "LITIGATED_WITH", party))), ";")
-    detail = edges.groupBy(F.col("src_id").alias("item_id")).agg(
-        names("APPLIED_BY").alias("applicants"),
-        names("OWNED_BY").alias("owners"),
-        names("TRANSFERRED_FROM").alias("transferors"),
-        names("TRANSFERRED_TO").alias("transferees"),
-        names("LICENSED_FROM").alias("licensors"),
-        names("LICENSED_TO").alias("licensees"),
-        names("PLEDGED_TO").alias("pledgees"),
-        names("BELONGS_TO").alias("topics"),
-        names("CLASSIFIED_AS").alias("codes"),
-        names("HAS_STATUS").alias("statuses"),
-        names("PUBLISHED_IN").alias("countries"),
-        names("IN_FAMILY").alias("families"),
-        litigation.alias("litigations"),
+def _edge_sets(graph: GraphBinding, items: DataFrame, relations: Sequence[str] | None = None) -> DataFrame:
+    """`item_id, e`: the distinct (relation, name, role) edges of each given item, one aggregate for all."""
+    edges = graph.edges(distinct=False)
+    if relations:
+        edges = edges.filter(F.col("rel_type").isin(list(relations)))
+    edges = edges.join(items.select(F.col("item_id").alias("src_id")), "src_id", "left_semi")
+    return edges.groupBy(F.col("src_id").alias("item_id")).agg(
+        F.collect_set(F.struct("rel_type", "dst_name", "role")).alias("e")
     )
+
+
+def _names(relation: str, with_role: bool = False) -> Column:
+    """Sorted names of one relation out of the edge set."""
+    mine = F.filter("e", lambda x: x.rel_type == relation)
+    shown = F.transform(mine, lambda x: F.concat_ws(":", x.dst_name, x.role) if with_role else x.dst_name)
+    return F.array_join(F.array_sort(F.array_distinct(shown)), ";")
+
+
+# output column -> relation
+DETAIL = {
+    "applicants": "APPLIED_BY",
+    "owners": "OWNED_BY",
+    "transferors": "TRANSFERRED_FROM",
+    "transferees": "TRANSFERRED_TO",
+    "licensors": "LICENSED_FROM",
+    "licensees": "LICENSED_TO",
+    "pledgees": "PLEDGED_TO",
+    "topics": "BELONGS_TO",
+    "codes": "CLASSIFIED_AS",
+    "statuses": "HAS_STATUS",
+    "countries": "PUBLISHED_IN",
+    "families": "IN_FAMILY",
+}
+
+
+def item_detail(graph: GraphBinding, items: DataFrame) -> DataFrame:
+    """All relations of the given items as lists, from one pass over their edges."""
+    sets = _edge_sets(graph, items)
+    cols = [_names(rel).alias(name) for name, rel in DETAIL.items()]
+    detail = sets.select("item_id", *cols, _names("LITIGATED_WITH", True).alias("litigations"))
     return items.join(detail, "item_id", "left")
 
 
 def transfer_chain(graph: GraphBinding, items: DataFrame) -> DataFrame:
     """Original applicants, current owners and transferees of the given items."""
-    edges = graph.edges().filter(F.col("rel_type").isin("APPLIED_BY", "OWNED_BY", "TRANSFERRED_TO"))
-    edges = edges.join(items.select(F.col("item_id").alias("src_id")), "src_id", "left_semi")
-
-    def names(rel: str) -> Column:
-        return F.array_join(collected(F.when(F.col("rel_type") == rel, F.col("dst_name"))), ";")
-
-    chain = edges.groupBy(F.col("src_id").alias("item_id")).agg(
-        names("APPLIED_BY").alias("original_applicants"),
-        names("OWNED_BY").alias("current_owners"),
-        names("TRANSFERRED_TO").alias("transferees"),
-    )
-    return items.join(chain, "item_id", "left")
+    chain = {"original_applicants": "APPLIED_BY", "current_owners": "OWNED_BY", "transferees": "TRANSFERRED_TO"}
+    sets = _edge_sets(graph, items, list(chain.values()))
+    return items.join(sets.select("item_id", *[_names(rel).alias(name) for name, rel in chain.items()]), "item_id", "left")
 
 
 def collaboration(rel: DataFrame, name_part: str, limit: int | None = 20) -> DataFrame:

@@ -14,7 +14,7 @@ from loomgraph.binding import GraphBinding
 from loomgraph.operators.filters import FLAG_KEYS, FULLTEXT_KEYS, filtered_items
 from loomgraph.operators.joins import with_neighbours
 from loomgraph.operators.sets import merge_results
-from loomgraph.runtime import top_k_per_group, with_scalars
+from loomgraph.runtime import cut_lineage, top_k_per_group, with_scalars
 
 # fixed values: BM25 parameters
 BM25_K1 = 1.2
@@ -24,7 +24,7 @@ TOKEN_PATTERN = r"[^\p{L}\p{N}]+"
 
 def tokens(text: Column) -> Column:
     """Lower-case words of a text."""
-    return F.filter(F.split(F.lower(text), TOKEN_PATTERN), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), TOKEN_PATTERN), "")
 
 
 def keywords_of(query: str) -> list[str]:
@@ -34,7 +34,7 @@ def keywords_of(query: str) -> list[str]:
 
 
 def _occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == term))
+    return F.size(words) - F.size(F.array_remove(words, term))
 
 
 def _bm25(tf: Column, df: Column, n: Column, length: Column, mean: Column) -> Column:
@@ -45,13 +45,14 @@ def _bm25(tf: Column, df: Column, n: Column, length: Column, mean: Column) -> Co
 def text_search(texts: DataFrame, query: str, key: str = "item_id", minimum: float = 0.0) -> DataFrame:
     """Documents that hold a query word, with their BM25 score above `minimum`.
 
-    Term frequencies are computed row by row; only the collection statistics
-    (one row) are aggregated, so no postings are shuffled for a single query.
+    Term frequencies are computed row by row and kept as a few numbers per
+    document, so the texts are read and split once; only the collection
+    statistics (one row) are aggregated and no postings are shuffled.
     """
     words = keywords_of(query)
     docs = texts.select(key, tokens(F.col("text")).alias("w"))
     tf = [_occurrences("w", t).alias(f"tf{i}") for i, t in enumerate(words)]
-    docs = docs.select(key, F.size("w").alias("length"), *tf)
+    docs = cut_lineage(docs.select(key, F.size("w").alias("length"), *tf))
     stats = docs.agg(
         F.count("*").alias("n"),
         F.avg("length").alias("mean"),
