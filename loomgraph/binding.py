@@ -46,7 +46,11 @@ class GraphBinding(ABC):
 
     @abstractmethod
     def items(self, counters: bool = False) -> DataFrame:
-        """`item_id, item_date, item_type, title` and, if asked, the activity counters."""
+        """`item_id, item_date, item_type, title` and, if asked, the activity counters.
+
+        A binding whose dates are timestamps may add `item_ts`; year conditions
+        are then also put on it, so that they reach the files.
+        """
 
     @abstractmethod
     def relation(self, group: str, place: bool = False, distinct: bool = False) -> DataFrame: ...
@@ -112,6 +116,7 @@ class OrdersBinding(GraphBinding):
             F.date_format("o_orderdate", "yyyy-MM-dd").alias("item_date"),
             F.col("o_orderpriority").alias("item_type"),
             F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
+            F.col("o_orderdate").alias("item_ts"),
         )
         if not counters:
             return items
@@ -185,42 +190,66 @@ class OrdersBinding(GraphBinding):
             F.substring("p_type", 1, 1), brand_no, F.upper(F.substring("p_name", 1, 1)), F.lit("/"), F.col("p_size").cast("string")
         )
 
+    # kinds of edges as (relation, label of the end, role); an edge travels as its number here
+    KINDS = [
+        ("APPLIED_BY", "Organization", None),
+        ("HAS_STATUS", "Status", None),
+        ("PUBLISHED_IN", "Country", None),
+        ("IN_FAMILY", "Family", None),
+        ("BELONGS_TO", "Topic", None),
+        ("CLASSIFIED_AS", "Code", None),
+        ("HAS_LITIGATION_TYPE", "LitigationType", None),
+        ("LITIGATED_WITH", "Organization", "plaintiff"),
+        ("LITIGATED_WITH", "Organization", "defendant"),
+        *[(rel, "Organization", None) for rel in ACTIVITY_RELATIONS],
+    ]
+
     def edges(self, distinct: bool = True) -> DataFrame:
-        """Two scans instead of one per relation: orders and lines each explode into their edges."""
+        """Two scans instead of one per relation: orders and lines each explode into their edges.
 
-        def edge(rel: Column | str, label: str, name: Column, role: Column | None = None) -> Column:
-            return F.struct(
-                (rel if isinstance(rel, Column) else F.lit(rel)).alias("rel_type"),
-                F.lit(label).alias("dst_label"),
-                name.alias("dst_name"),
-                (role if role is not None else F.lit(None)).cast("string").alias("role"),
-            )
+        Relation, label and role are one small number until the duplicates are
+        gone, so the shuffle carries (item, number, name) only.
+        """
+        number = {(rel, role): i + 1 for i, (rel, _, role) in enumerate(self.KINDS)}
+
+        def edge(kind: Column | str, name: Column) -> Column:
+            k = F.lit(number[(kind, None)]) if isinstance(kind, str) else kind
+            return F.struct(k.cast("tinyint").alias("kind"), name.alias("dst_name"))
 
         orders = self.table("orders").join(self.parties(), F.col("o_custkey") == F.col("party_id"))
         family = F.concat_ws("-", F.col("o_custkey").cast("string"), F.year("o_orderdate").cast("string"))
         of_order = F.array_compact(
             F.array(
-                edge("APPLIED_BY", "Organization", F.col("party_name")),
-                edge("HAS_STATUS", "Status", F.col("o_orderstatus")),
-                edge("PUBLISHED_IN", "Country", F.col("place_country")),
-                F.when(F.col("o_orderstatus") != "O", edge("IN_FAMILY", "Family", family)),
+                edge("APPLIED_BY", F.col("party_name")),
+                edge("HAS_STATUS", F.col("o_orderstatus")),
+                edge("PUBLISHED_IN", F.col("place_country")),
+                F.when(F.col("o_orderstatus") != "O", edge("IN_FAMILY", family)),
             )
         )
         line, part, supplier = self.table("lineitem"), self.table("part"), self.table("supplier").select("s_suppkey", "s_name")
         lines = line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
         large = F.col("l_quantity") >= 45
+        activity = F.coalesce(*[F.when(self.activity_type() == rel, number[(rel, None)]) for rel in ACTIVITY_RELATIONS])
+        side = F.when(self.side() == "plaintiff", number[("LITIGATED_WITH", "plaintiff")]).otherwise(number[("LITIGATED_WITH", "defendant")])
         of_line = F.array_compact(
             F.array(
-                edge("BELONGS_TO", "Topic", F.concat_ws(" ", "p_type", "p_brand")),
-                edge("CLASSIFIED_AS", "Code", self.part_code()),
-                edge(self.activity_type(), "Organization", F.col("s_name")),
-                F.when(large, edge("LITIGATED_WITH", "Organization", F.col("s_name"), self.side())),
-                F.when(large, edge("HAS_LITIGATION_TYPE", "LitigationType", F.col("l_returnflag"))),
+                edge("BELONGS_TO", F.concat_ws(" ", "p_type", "p_brand")),
+                edge("CLASSIFIED_AS", self.part_code()),
+                edge(activity, F.col("s_name")),
+                F.when(large, edge(side, F.col("s_name"))),
+                F.when(large, edge("HAS_LITIGATION_TYPE", F.col("l_returnflag"))),
             )
         )
         first = orders.select(F.col("o_orderkey").alias("src_id"), F.explode(of_order).alias("e")).select("src_id", "e.*")
         second = lines.select(F.col("l_orderkey").alias("src_id"), F.explode(of_line).alias("e")).select("src_id", "e.*")
-        return first.unionByName(second.distinct() if distinct else second)
+        both = first.unionByName(second.distinct() if distinct else second)
+
+        def named(i: int) -> Column:
+            return F.element_at(F.array(*[F.lit(k[i]).cast("string") for k in self.KINDS]), F.col("kind").cast("int"))
+
+        return both.select(
+            "src_id", named(0).alias("rel_type"), named(1).alias("dst_label"), "dst_name", named(2).alias("role")
+        )
 
     @staticmethod
     def activity_type() -> Column:

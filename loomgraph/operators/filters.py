@@ -172,6 +172,17 @@ def item_predicates(filters: Mapping[str, object]) -> list[Column]:
     return out
 
 
+def year_bounds(items: DataFrame, filters: Mapping[str, object]) -> list[Column]:
+    """The year conditions once more on the raw timestamp, which the file reader can use."""
+    if "item_ts" not in items.columns:
+        return []
+    kind = items.schema["item_ts"].dataType.simpleString()
+    low = [str(filters[k]) for k in ("year", "year_start") if filters.get(k)]
+    high = [str(filters[k]) for k in ("year", "year_end") if filters.get(k)]
+    out = [F.col("item_ts") >= F.lit(f"{y}-01-01").cast(kind) for y in low if len(y) == 4 and y.isdigit()]
+    return out + [F.col("item_ts") < F.lit(f"{int(y) + 1}-01-01").cast(kind) for y in high if len(y) == 4 and y.isdigit()]
+
+
 def relation_predicates(filters: Mapping[str, object]) -> dict[str, list[Column]]:
     groups: dict[str, list[Column]] = {}
     for key, (group, build) in RELATION_KEYS.items():
@@ -207,8 +218,9 @@ def filtered_items(
     if unknown:
         raise ValueError(f"unknown filter keys: {sorted(unknown)}")
     items = base if base is not None else graph.items(counters=counters or needs_counters(filters))
-    for pred in item_predicates(filters):
+    for pred in item_predicates(filters) + year_bounds(items, filters):
         items = items.filter(pred)
+    items = items.drop("item_ts")
     mult = F.lit(1)
 
     def hop(items: DataFrame, rel: DataFrame, tag: str) -> DataFrame:
