@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.binding import GraphBinding
-from loomgraph.runtime import top_k_per_group
+from loomgraph.runtime import top_k_per_group, with_scalars
 
 
 def collected(values: Column | str, limit: int | None = None) -> Column:
@@ -192,7 +192,8 @@ def compatible_patterns(matches: DataFrame, returns: DataFrame, rules: DataFrame
     `matches(match_id, dims)`, `returns(return_id)`, `rules(dim, return_id)`. The
     full product is the feature here: both sides are pattern tables of a few dozen rows.
     """
-    pairs = matches.select("match_id", F.explode_outer("dims").alias("dim"), F.lit(1).alias("k"))
+    pairs = matches.select("match_id", F.explode_outer("dims").alias("dim"))
     banned = pairs.join(rules, "dim").select("match_id", "return_id").distinct()
-    product = matches.select("match_id", F.lit(1).alias("k")).join(returns.select("return_id", F.lit(1).alias("k")), "k")
-    return product.drop("k").join(banned, ["match_id", "return_id"], "left_anti")
+    listed = with_scalars(matches.select("match_id"), returns.agg(F.collect_set("return_id").alias("ids")), "r")
+    product = listed.select("match_id", F.explode("r.ids").alias("return_id"))
+    return product.join(banned, ["match_id", "return_id"], "left_anti")

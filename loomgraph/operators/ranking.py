@@ -91,21 +91,24 @@ def trend(
     all of their items: the filters are not applied again unless asked for.
     """
     in_range = F.col("year").between(start_year, end_year)
+    # the range as filter keys too, so that a binding can push it to its files
+    ranged = {"year_start": start_year, "year_end": end_year, **(filters or {})}
     if compare_by is None:
-        rows = filtered_items(graph, filters, base=base).withColumn("year", year_of()).filter(in_range)
+        rows = filtered_items(graph, ranged, base=base).withColumn("year", year_of()).filter(in_range)
         return rows.groupBy("year").agg(F.count("*").alias("count"))
     if compare_by == "domain":
-        rows = filtered_items(graph, filters, keep="topic", base=base).withColumn("year", year_of()).filter(in_range)
+        rows = filtered_items(graph, ranged, keep="topic", base=base).withColumn("year", year_of()).filter(in_range)
         return rows.groupBy("year", F.col("topic_name").alias("domain")).agg(F.countDistinct("item_id").alias("count"))
     if compare_by == "region":
-        rows = filtered_items(graph, filters, keep="party", base=base).withColumn("year", year_of()).filter(in_range)
+        rows = filtered_items(graph, ranged, keep="party", base=base).withColumn("year", year_of()).filter(in_range)
         rows = rows.withColumn("region", region_of("party_name", region_rules, "other"))
         return rows.groupBy("year", "region").agg(F.countDistinct("item_id").alias("count"))
     if compare_by == "org":
         first = filtered_items(graph, filters, keep="party", base=base)
         totals = first.groupBy("party_name").agg(F.countDistinct("item_id").alias("total"))
         leaders = totals.orderBy(F.desc("total"), "party_name").limit(top).select("party_name")
-        second = filtered_items(graph, filters if reapply_filters else None, keep="party")
+        bounds = {"year_start": start_year, "year_end": end_year}
+        second = filtered_items(graph, ranged if reapply_filters else bounds, keep="party")
         second = second.withColumn("year", year_of()).filter(in_range)
         rows = second.join(leaders, "party_name", "left_semi")
         return rows.groupBy("year", F.col("party_name").alias("org")).agg(F.countDistinct("item_id").alias("count"))
@@ -169,8 +172,25 @@ def trailing_mean(
     return out.select(*df.columns, "moving_avg")
 
 
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """Exact percentiles with linear interpolation, for groups of any size.
+
+    Rows get their position in the group from one range shuffle; only the rows
+    next to a wanted point are looked at, so no task holds a whole group.
+    """
+    rows = with_group_index(df.select(*keys, value).filter(F.col(value).isNotNull()), keys, [F.col(value)], "_pos")
+    rows = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    aggs = []
+    for name, p in points.items():
+        at = (F.col("_n") - 1) * F.lit(p)
+        low = F.max(F.when(F.col("_pos") == F.floor(at), F.col(value)))
+        high = F.max(F.when(F.col("_pos") == F.ceil(at), F.col(value)))
+        share = F.max(at - F.floor(at))
+        aggs.append((low + (high - low) * share).alias(name))
+    return rows.groupBy(*keys).agg(*aggs)
+
+
 def latency_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and exact p50 / p99 with linear interpolation."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.99)))
-    out = df.groupBy(*keys).agg(F.avg(value).alias("mean"), p.alias("p"))
-    return out.select(*keys, "mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p99"))
+    means = df.groupBy(*keys).agg(F.avg(value).alias("mean"))
+    return means.join(exact_percentiles(df, keys, value, {"p50": 0.5, "p99": 0.99}), keys, "left")

@@ -18,7 +18,9 @@ from pyspark.sql.types import ArrayType, IntegerType
 from loomgraph.binding import GraphBinding
 from loomgraph.functions.columns import let, strip
 from loomgraph.operators.filters import filtered_items, without_group
+from loomgraph.operators.ranking import exact_percentiles
 from loomgraph.operators.sets import jaccard, over_retrieval
+from loomgraph.runtime import with_scalars
 
 NULL_MARK = "\u0000"
 SEP = "\u0001"
@@ -276,7 +278,6 @@ def evaluation_report(rows: DataFrame, keys: Sequence[str] = ("model",)) -> Data
 
     `rows(model, ex, executable, semantic_match, error_type, psjs, latency_ms, input_tokens, output_tokens)`.
     """
-    p = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.99)))
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("total"),
         F.avg("ex").alias("execution_accuracy"),
@@ -286,11 +287,11 @@ def evaluation_report(rows: DataFrame, keys: Sequence[str] = ("model",)) -> Data
         F.avg((F.coalesce("error_type", F.lit("")) == "timeout").cast("int")).alias("timeout_rate"),
         F.avg("psjs").alias("psjs"),
         F.avg("latency_ms").alias("latency_mean"),
-        p.alias("p"),
         F.avg("input_tokens").alias("input_tokens"),
         F.avg("output_tokens").alias("output_tokens"),
     )
-    return out.withColumn("latency_p50", F.col("p")[0]).withColumn("latency_p99", F.col("p")[1]).drop("p")
+    points = exact_percentiles(rows, list(keys), "latency_ms", {"latency_p50": 0.5, "latency_p99": 0.99})
+    return out.join(points, list(keys), "left")
 
 
 def dimensions(text: Column, patterns: Mapping[str, Sequence[str]]) -> Column:
@@ -405,8 +406,9 @@ def retrieval_scores(found: DataFrame, gold: DataFrame, queries: DataFrame) -> D
 
     `found(qid, method, node_id)`, `gold(qid, node_id)`, `queries(qid, n_dims)`.
     """
-    methods = found.select("method").distinct()
-    grid = queries.select("qid", "n_dims", F.lit(1).alias("k")).join(methods.withColumn("k", F.lit(1)), "k").drop("k")
+    methods = found.agg(F.collect_set("method").alias("methods"))
+    grid = with_scalars(queries.select("qid", "n_dims"), methods, "m")
+    grid = grid.select("qid", "n_dims", F.explode("m.methods").alias("method"))
     hits = found.distinct().join(gold.distinct().withColumn("hit", F.lit(1)), ["qid", "node_id"], "left")
     per = hits.groupBy("qid", "method").agg(F.count("*").alias("found"), F.count("hit").alias("tp"))
     size = gold.distinct().groupBy("qid").agg(F.count("*").alias("gold"))
