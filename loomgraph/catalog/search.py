@@ -256,3 +256,24 @@ def union_columns(spark, path):
     left = docs.select("doc_id", "lang", "n_chars")
     right = docs.select("doc_id", "n_chars").join(table(spark, path, "labels").select("doc_id", "quality"), "doc_id")
     return sets.union_columns(left, right, "doc_id")
+
+
+@query(
+    "h04_tagged_spans",
+    r"SELECT page_id, CAST(n - 1 AS INTEGER) AS n, md5(s[n]) AS digest FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS s, unnest(range(1, len(s) + 1)) AS n FROM pages)",
+)
+def tagged_spans(spark, path):
+    out = S.tagged_spans(table(spark, path, "pages").select("page_id", F.col("html").alias("text")), "page_id", "p")
+    return out.select("page_id", "n", F.md5(F.col("span").cast("binary")).alias("digest"))
+
+
+@query(
+    "h05_custom_encoder",
+    "SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS es FROM documents",
+)
+def custom_encoder(spark, path):
+    def encoder(batch):
+        return batch.map(lambda t: [float(len(t)), float(t.count("e"))])
+
+    vec = S.encode(_docs(spark, path), "doc_id", encoder)
+    return vec.select("doc_id", F.col("embedding")[0].alias("chars"), F.col("embedding")[1].alias("es"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import let, strip
 from loomgraph.runtime import (
+    first_rows,
     keep_first,
     seeded_digest,
     top_k_per_group,
@@ -57,12 +58,13 @@ def sample_by_frequency(rel: DataFrame, key: str, n: int, minimum: int, seed: in
 def sample_values(rel: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n distinct non-blank values in seeded order."""
     values = rel.select(F.col(key).cast("string").alias("value")).filter("value IS NOT NULL AND value <> ''").distinct()
-    return values.orderBy(seeded_digest(seed, "value"), "value").limit(n)
+    return first_rows(values, [seeded_digest(seed, "value"), F.col("value")], n)
 
 
 def cap_rows(df: DataFrame, n: int, order: str, seed: int | None = None) -> DataFrame:
     """First n rows by position, or n rows at random without replacement."""
-    return df.orderBy(order if seed is None else seeded_digest(seed, order), order).limit(n)
+    lead = [] if seed is None else [seeded_digest(seed, order)]
+    return first_rows(df, [*lead, F.col(order)], n)
 
 
 def resample_by_score(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.binding import GraphBinding
 from loomgraph.operators.aggregate import region_of
 from loomgraph.operators.filters import filtered_items, year_of
-from loomgraph.runtime import with_group_index
+from loomgraph.runtime import first_rows, with_group_index
 
 # rank_by -> (relation group, key column, carried columns)
 RANK_DIMENSIONS = {
@@ -116,7 +116,7 @@ def trend(
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(limit)
+    return first_rows(df, order, limit, offset)
 
 
 def list_items(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from loomgraph.functions.columns import let
-from loomgraph.runtime import top_k_per_group, with_group_running_sum, with_group_stats, with_scalars
+from loomgraph.runtime import first_rows, top_k_per_group, with_group_running_sum, with_group_stats, with_scalars
 
 EPS = 1e-6
 SAFETY = 20.0
@@ -271,7 +271,7 @@ def varied_groups(df: DataFrame, metric: str = "score") -> DataFrame:
 
 def cut_batch(df: DataFrame, rows: int) -> DataFrame:
     """The first `rows` trajectories in batch order."""
-    return df.orderBy("pos").limit(rows)
+    return first_rows(df, [F.col("pos")], rows)
 
 
 def filter_and_downsample(
@@ -281,7 +281,7 @@ def filter_and_downsample(
     stats = df.groupBy(group).agg(F.avg("score").alias("acc"), F.max("length").alias("len"), F.min("pos").alias("first"))
     ok = F.col("acc").between(low, high) & (F.col("len") < max_length - 1)
     rows = df.join(stats.select(group, ok.cast("int").alias("passed"), "first"), group)
-    return rows.orderBy(F.desc("passed"), "first", "pos").limit(keep).drop("first")
+    return first_rows(rows, [F.desc("passed"), F.col("first"), F.col("pos")], keep).drop("first")
 
 
 def softmean_baseline(df: DataFrame, beta: float) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from loomgraph.binding import GraphBinding
 from loomgraph.operators.filters import FLAG_KEYS, FULLTEXT_KEYS, filtered_items
@@ -182,3 +184,21 @@ def tfidf_vectors(texts: DataFrame, key: str, features: int = 5000, dims: int =
     reduced = PCA(k=rank, inputCol="tfidf", outputCol="v").fit(weighted).transform(weighted)
     padded = F.concat(vector_to_array("v"), F.array_repeat(F.lit(0.0), dims - rank))
     return reduced.select(key, padded.alias("embedding"))
+
+
+def encode(texts: DataFrame, key: str, encoder: Callable[[pd.Series], pd.Series] | None = None, dims: int = 1024) -> DataFrame:
+    """`(key, embedding)` from a batch encoder; TF-IDF vectors without one."""
+    if encoder is None:
+        return tfidf_vectors(texts, key, dims=dims)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(batch: pd.Series) -> pd.Series:
+        return encoder(batch)
+
+    return texts.select(key, run("text").alias("embedding"))
+
+
+def tagged_spans(texts: DataFrame, key: str, tag: str = "answer") -> DataFrame:
+    """Every tagged span of every text as its own row."""
+    spans = F.regexp_extract_all("text", F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
+    return texts.select(key, F.posexplode(spans).alias("n", "span"))

@@ -111,6 +111,22 @@ def with_global_index(df: DataFrame, order: list[Column], name: str = "idx", par
     )
 
 
+# most rows that a sorted limit may gather in one place
+SORTED_LIMIT = 100_000
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int, offset: int = 0) -> DataFrame:
+    """Rows `offset` to `offset + n` of a total order.
+
+    A small page is a top-k; a large one is cut by global position, so its
+    rows never pass through one task or the driver.
+    """
+    if offset + n <= SORTED_LIMIT:
+        return df.orderBy(*order).offset(offset).limit(n)
+    placed = with_global_index(df, order, "_at")
+    return placed.filter((F.col("_at") >= offset) & (F.col("_at") < offset + n)).drop("_at")
+
+
 def with_group_index(df: DataFrame, keys: list[str], order: list[Column], name: str = "pos") -> DataFrame:
     """0-based position inside each group, without a window over the group.
 

@@ -285,3 +285,19 @@ def test_template_ranges_are_ordered(spark):
 
 def test_quotas():
     assert D.quotas(10, {"a": 0.25, "b": 0.55}) == {"a": 2, "b": 8}
+
+
+def test_large_pages_equal_small_ones(spark, monkeypatch):
+    rows, df = skewed(spark)
+    order = lambda: [F.desc("v"), F.col("id")]
+    small = [r["id"] for r in U.first_rows(df, order(), 50, 30).collect()]
+    monkeypatch.setattr(U, "SORTED_LIMIT", 10)
+    assert {r["id"] for r in U.first_rows(df, order(), 50, 30).collect()} == set(small)
+
+
+def test_percentiles_equal_numpy(spark):
+    rows, df = skewed(spark)
+    got = {r["k"]: (r["a"], r["b"]) for r in W.exact_percentiles(df, ["k"], "x", {"a": 0.5, "b": 0.99}).collect()}
+    for k in {r[1] for r in rows}:
+        xs = [r[3] for r in rows if r[1] == k]
+        assert got[k] == pytest.approx(tuple(np.percentile(xs, [50, 99])))
