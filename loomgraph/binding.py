@@ -218,30 +218,35 @@ class OrdersBinding(GraphBinding):
 
         orders = self.table("orders").join(self.parties(), F.col("o_custkey") == F.col("party_id"))
         family = F.concat_ws("-", F.col("o_custkey").cast("string"), F.year("o_orderdate").cast("string"))
-        of_order = F.array_compact(
-            F.array(
-                edge("APPLIED_BY", F.col("party_name")),
-                edge("HAS_STATUS", F.col("o_orderstatus")),
-                edge("PUBLISHED_IN", F.col("place_country")),
-                F.when(F.col("o_orderstatus") != "O", edge("IN_FAMILY", family)),
-            )
+        of_order = F.array(
+            edge("APPLIED_BY", F.col("party_name")),
+            edge("HAS_STATUS", F.col("o_orderstatus")),
+            edge("PUBLISHED_IN", F.col("place_country")),
+            F.when(F.col("o_orderstatus") != "O", edge("IN_FAMILY", family)),
+        )
+        line, supplier = self.table("lineitem"), self.table("supplier").select("s_suppkey", "s_name")
+        # topic and code are worked out once per part, not once per line
+        part = self.table("part").select(
+            "p_partkey", F.concat_ws(" ", "p_type", "p_brand").alias("_topic"), self.part_code().alias("_code")
         )
-        line, part, supplier = self.table("lineitem"), self.table("part"), self.table("supplier").select("s_suppkey", "s_name")
         lines = line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
         large = F.col("l_quantity") >= 45
-        activity = F.coalesce(*[F.when(self.activity_type() == rel, number[(rel, None)]) for rel in ACTIVITY_RELATIONS])
+        activity = self.activity_type({rel: number[(rel, None)] for rel in ACTIVITY_RELATIONS})
         side = F.when(self.side() == "plaintiff", number[("LITIGATED_WITH", "plaintiff")]).otherwise(number[("LITIGATED_WITH", "defendant")])
-        of_line = F.array_compact(
-            F.array(
-                edge("BELONGS_TO", F.concat_ws(" ", "p_type", "p_brand")),
-                edge("CLASSIFIED_AS", self.part_code()),
-                edge(activity, F.col("s_name")),
-                F.when(large, edge(side, F.col("s_name"))),
-                F.when(large, edge("HAS_LITIGATION_TYPE", F.col("l_returnflag"))),
-            )
+        of_line = F.array(
+            edge("BELONGS_TO", F.col("_topic")),
+            edge("CLASSIFIED_AS", F.col("_code")),
+            edge(activity, F.col("s_name")),
+            F.when(large, edge(side, F.col("s_name"))),
+            F.when(large, edge("HAS_LITIGATION_TYPE", F.col("l_returnflag"))),
         )
-        first = orders.select(F.col("o_orderkey").alias("src_id"), F.explode(of_order).alias("e")).select("src_id", "e.*")
-        second = lines.select(F.col("l_orderkey").alias("src_id"), F.explode(of_line).alias("e")).select("src_id", "e.*")
+
+        def exploded(df: DataFrame, key: str, edges: Column) -> DataFrame:
+            rows = df.select(F.col(key).alias("src_id"), F.explode(edges).alias("e")).filter(F.col("e").isNotNull())
+            return rows.select("src_id", "e.*")
+
+        first = exploded(orders, "o_orderkey", of_order)
+        second = exploded(lines, "l_orderkey", of_line)
         both = first.unionByName(second.distinct() if distinct else second)
 
         def named(i: int) -> Column:
@@ -252,7 +257,8 @@ class OrdersBinding(GraphBinding):
         )
 
     @staticmethod
-    def activity_type() -> Column:
+    def activity_type(names: dict[str, object] | None = None) -> Column:
+        """Relation of a line by its flags, or what `names` holds for that relation."""
         flags = {
             ("R", "F"): "TRANSFERRED_TO",
             ("R", "O"): "TRANSFERRED_FROM",
@@ -261,7 +267,10 @@ class OrdersBinding(GraphBinding):
             ("N", "F"): "PLEDGED_TO",
             ("N", "O"): "OWNED_BY",
         }
-        tests = [F.when((F.col("l_returnflag") == f) & (F.col("l_linestatus") == s), n) for (f, s), n in flags.items()]
+        tests = [
+            F.when((F.col("l_returnflag") == f) & (F.col("l_linestatus") == s), names[n] if names else n)
+            for (f, s), n in flags.items()
+        ]
         return F.coalesce(*tests)
 
     @staticmethod
