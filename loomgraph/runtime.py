@@ -9,6 +9,7 @@ positions come from a range shuffle instead of an unpartitioned window.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,9 +37,16 @@ def build_session(app: str = "loomgraph", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is set."""
+    """The shared folder named by the cluster in `spark.checkpoint.dir`.
+
+    A private temporary folder is made only on a local master, where driver and
+    executors are one process; elsewhere a missing setting is an error, because
+    rows written to one machine's disk would be lost to the others.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="loomgraph-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
