@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, line_dedup, mixing, simhash
-from loomgraph.llm.common import table
+from loomgraph.llm import chat, html_text, language_model, line_dedup, mixing, simhash, vector_dedup
+from loomgraph.llm.common import crc_mod, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,11 @@ def query(fn):
     return fn
 
 
+@query
+def op3_embedding_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return vector_dedup.embedding_groups(table(spark, path, "embeddings"), min_cosine=0.93)
+
+
 @query
 def op4_chat_format(spark: SparkSession, path: str) -> DataFrame:
     case = spark.createDataFrame(
@@ -100,6 +105,17 @@ FROM placed"""
 ORACLES["op6_mix_sources"] = mix_sql("documents")
 
 
+@query
+def op7_page_text(spark: SparkSession, path: str) -> DataFrame:
+    done = html_text.extract_text(table(spark, path, "pages"))
+    return done.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op8_kneser_ney(spark: SparkSession, path: str) -> DataFrame:
+    return language_model.language_model_scores(table(spark, path, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
+
+
 @query
 def op9_line_dedup(spark: SparkSession, path: str) -> DataFrame:
     done = line_dedup.drop_frequent_lines(table(spark, path, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
