@@ -93,7 +93,8 @@ def linked_fingerprints(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     cells = grid_cells(prints)
     left, right = cells.select("cell", F.col("fp").alias("a")), cells.select("cell", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    met = left.join(right, "cell").filter((F.col("a") < F.col("b")) & near)
+    # the cells are many times the rows that the planner can see: never broadcast them
+    met = left.hint("merge").join(right, "cell").filter((F.col("a") < F.col("b")) & near)
     return met.select("a", "b").distinct()
 
 
