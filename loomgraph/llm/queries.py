@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, html_text, language_model, line_dedup, mixing, simhash, vector_dedup
+from loomgraph.llm import chat, decontaminate, html_text, language_model, line_dedup, mixing, simhash, vector_dedup
 from loomgraph.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -67,6 +67,11 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id"""
 
 
+@query
+def op5_decontaminate(spark: SparkSession, path: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(table(spark, path, "documents"), table(spark, path, "benchmark"))
+
+
 @query
 def op6_mix_sources(spark: SparkSession, path: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, path, "documents").select("doc_id", "source", "text"))
