@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontaminate, html_text, language_model, line_dedup, mixing, simhash, vector_dedup
+from loomgraph.llm import chat, decontaminate, html_text, language_model, line_dedup, mixing, pii, simhash, toxicity, vector_dedup
 from loomgraph.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -19,6 +19,36 @@ def query(fn):
     return fn
 
 
+def toxicity_model(spark: SparkSession, path: str) -> toxicity.Classifier:
+    """Fitted on labelled documents outside the held-out fold."""
+    training = crc_mod(F.col("doc_id"), 5) != 0
+    rows = toxicity.labelled_sample(table(spark, path, "documents"), table(spark, path, "labels"), training)
+    return toxicity.fit(rows)
+
+
+@query
+def op1_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, toxicity_model(spark, path))
+    return scored.select(
+        "doc_id",
+        (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query
+def op2_pseudonyms(spark: SparkSession, path: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, path, "documents").select("doc_id", "text"), key="loomgraph demonstration key")
+    return done.select(
+        "doc_id",
+        F.size("found").cast("long").alias("n_found"),
+        F.transform("found", lambda f: f["kind"]).alias("kinds"),
+        "masked",
+    )
+
+
 @query
 def op3_embedding_dedup(spark: SparkSession, path: str) -> DataFrame:
     return vector_dedup.embedding_groups(table(spark, path, "embeddings"), min_cosine=0.93)
