@@ -151,7 +151,9 @@ def cell_links(table: pa.Table, min_cosine: float) -> pa.Table:
                 for rows, to, ch in ((ra, to_a, ch_a), (cb, to_b, ch_b)):
                     old.append(label[rows[ch]])
                     new.append(to[ch])
-                label[ra], label[cb] = to_a, to_b
+                # a node can be on both sides of a tile: labels only ever fall
+                label[ra] = np.minimum(label[ra], to_a)
+                label[cb] = np.minimum(label[cb], to_b)
     edges = np.unique(np.stack([np.concatenate(old), np.concatenate(new)], 1), axis=0) if old else np.zeros((0, 2), np.int64)
     some = np.flatnonzero(count)
     n = len(edges)
