@@ -4,7 +4,7 @@ r"""Chat formatting by a grammar round trip [native].
     turn         = "[INST]" role "\n" text "[/INST]"     every role but assistant
                  | "<s>" text "</s>"                     assistant
 
-A text that the grammar would misread has a backslash put behind the first
+Texts hold no control strings. One that does, or that the grammar would misread, has a backslash put behind the first
 character of each control string, and of each control string already escaped,
 so removing one backslash from each gives the text back.
 """
@@ -33,7 +33,7 @@ def escape_role(role: Column) -> Column:
 
 def unescape_role(role: Column) -> Column:
     # a doubled backslash is a backslash, any other marks a newline: cut at the doubled ones first
-    parts = F.split(unescape(role), r"\\\\\\\\", -1)
+    parts = F.split(unescape(role), r"\\\\", -1)
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
@@ -49,7 +49,7 @@ def render(turns: Column, escaped: bool) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """Turns read back by the grammar; null when some of the text is outside any turn."""
+    """Turns read back by the grammar; null when text is outside any turn or a control string inside one."""
 
     def one(m: Column) -> Column:
         cut = F.instr(m, F.lit("\n"))
@@ -63,7 +63,8 @@ def parse(formatted: Column) -> Column:
 
     found = F.regexp_extract_all(formatted, F.lit(TURN), F.lit(0))
     whole = F.char_length(F.array_join(found, "")) == F.char_length(formatted)
-    return F.when(whole, F.transform(found, one))
+    marks = F.regexp_count(formatted, F.lit(r"\[/?INST\]|</?s>")) == 2 * F.size(found)
+    return F.when(whole & marks, F.transform(found, one))
 
 
 def format_chats(rows: DataFrame) -> DataFrame:

@@ -80,7 +80,9 @@ class Index:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int32))
         self.sets = [frozenset(w.tolist()) for w in self.words]
-        self.gap = 1 + max((len(w) + allowed_edits(len(w), similarity) for w in self.words), default=0)
+        longest = max((len(w) for w in self.words), default=0)
+        self.gap = 1 + longest + allowed_edits(longest, similarity)  # keeps matches inside a text
+        self.tail = np.zeros(2 * longest + 2, np.int32)  # keeps walks inside the array
         self.classes = self.build()
 
     def build(self) -> list[LengthClass]:
@@ -116,7 +118,7 @@ class Index:
             starts.append(at)
             pieces += [self.words[i], np.zeros(self.gap, np.int32)]
             at += len(self.words[i]) + self.gap
-        return np.concatenate(pieces), np.array(starts)
+        return np.concatenate([*pieces, self.tail]), np.array(starts)
 
     def candidates(self, c: LengthClass, words: np.ndarray) -> set[tuple[int, int]]:
         """`(item, position)`: windows that share a sample key with an item.
@@ -124,9 +126,7 @@ class Index:
         Only windows with enough words of the class are embedded: a match has
         at most `edits` words that are not the item's.
         """
-        width, last = c.shortest, len(words) - self.gap - c.shortest
-        if last <= 0:
-            return set()
+        width, last = c.shortest, len(words) - len(self.tail)
         known = np.concatenate([np.zeros(1, np.int32), np.cumsum(c.member[words], dtype=np.int32)])
         enough = known[width : width + last] - known[:last] >= max(1, width - c.edits)
         at = np.flatnonzero(enough)
@@ -142,7 +142,7 @@ class Index:
         return found
 
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """`(item, end position, edits)` of verified matches, the best of each run of windows."""
+        """`(item, end position, edits)` of verified matches; windows inside a match are not verified again."""
         out = []
         for c in self.classes:
             done: dict[int, int] = {}
@@ -153,11 +153,13 @@ class Index:
                 own = self.sets[i]
                 if sum(w in own for w in words[p : p + n].tolist()) < n - 2 * limit - 1:
                     continue
-                begin, end = max(0, p - limit), p + n + limit
-                edits, stop = edit_distance(self.words[i], words[begin:end])
+                # the window may be off by some words: look around it for the best stretch
+                around = limit + n // 2
+                begin = max(0, p - around)
+                edits, stop = edit_distance(self.words[i], words[begin : p + n + around])
                 if edits <= limit:
                     out.append((i, begin + stop, edits))
-                    done[i] = p + max(1, n // 2)
+                    done[i] = begin + stop
         return out
 
     def scan(self, texts: list[str | None]) -> list[list[tuple]]:
@@ -171,7 +173,7 @@ class Index:
             if not pending:
                 return
             ends = np.array([s[1] for s in spans])
-            for i, stop, edits in self.matches(np.concatenate(pending)):
+            for i, stop, edits in self.matches(np.concatenate([*pending, self.tail])):
                 row = spans[int(np.searchsorted(ends, stop))][2]
                 key = (self.ids[i], len(self.words[i]))
                 found[row][key] = min(edits, found[row].get(key, edits))
