@@ -27,7 +27,7 @@ def count_filtered(spark, path):
 def _count_by(name: str, group_by: str, sql: str, spec: dict | None = None) -> None:
     @query(name, sql)
     def run(spark, path, group_by=group_by, spec=spec):
-        return A.count_by(OrdersBinding(spark, path), group_by, spec, REGIONS)
+        return A.count_by(OrdersBinding(spark, path), group_by, spec, REGIONS, "other")
 
 
 _count_by(
@@ -41,8 +41,7 @@ _count_by("a03_count_by_domain", "domain", "SELECT topic_name AS domain, count(D
 _count_by(
     "a03_count_by_org",
     "org",
-    """SELECT party_name AS org, party_type, count(DISTINCT item_id) AS count FROM party GROUP BY 1, 2
-       ORDER BY count DESC, org LIMIT 50""",
+    """SELECT party_name AS org, party_type, count(DISTINCT item_id) AS count FROM party GROUP BY 1, 2""",
 )
 _count_by("a03_count_by_org_type", "org_type", "SELECT party_type AS org_type, count(DISTINCT item_id) AS count FROM party GROUP BY 1")
 _count_by("a03_count_by_region", "region", f"SELECT {REGION_SQL} AS region, count(DISTINCT item_id) AS count FROM party GROUP BY 1")
@@ -51,11 +50,10 @@ _count_by("a03_count_by_status", "legal_status", "SELECT status_name AS legal_st
 @query(
     "a03_count_by_code_section",
     """SELECT section AS ipc_section, count(DISTINCT c.item_id) AS count FROM code c JOIN citems i ON i.item_id = c.item_id
-       WHERE transfer_count > 0 AND code LIKE '_1%' GROUP BY 1""",
+       WHERE transfer_count > 0 GROUP BY 1""",
 )
 def count_by_section(spark, path):
-    rows = filtered_items(OrdersBinding(spark, path), {"has_transfer": True}, keep="code").filter(F.col("code").like("_1%"))
-    return rows.groupBy(F.col("section").alias("ipc_section")).agg(F.countDistinct("item_id").alias("count"))
+    return A.count_by(OrdersBinding(spark, path), "ipc_section", {"has_transfer": True})
 
 
 @query(
@@ -109,7 +107,7 @@ for _part, _sql in _STATS.items():
 
     @query(f"a08_statistics_{_part}", _sql)
     def _stat(spark, path, part=_part):
-        return A.graph_statistics(OrdersBinding(spark, path))[part]
+        return A.graph_statistics(OrdersBinding(spark, path), 100, 30)[part]
 
 
 @query(

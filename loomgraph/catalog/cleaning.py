@@ -8,6 +8,7 @@ from loomgraph.catalog.base import query, table
 from loomgraph.functions import columns as C
 from loomgraph.functions import presets as P
 from loomgraph.functions import text as T
+from loomgraph.functions.presets import OTHER_REGION, PARTY_REGIONS
 from loomgraph.operators.aggregate import region_of
 
 
@@ -253,6 +254,22 @@ def family_id(spark, path):
     return table(spark, path, "documents").select("doc_id", T.family_id(F.col("text")).alias("family"))
 
 
+_CITIES = [needle for needle, _ in PARTY_REGIONS] + ["巴黎"]
+_CITY_SQL = f"list_extract({_CITIES}, CAST(c_custkey % {len(_CITIES)} AS INT) + 1)"
+_CITY_CASE = "CASE " + " ".join(f"WHEN contains(name, '{n}') THEN '{r}'" for n, r in PARTY_REGIONS) + f" ELSE '{OTHER_REGION}' END"
+
+
+@query(
+    "p18_region_cascade_names",
+    f"SELECT c_custkey, {_CITY_CASE} AS region FROM (SELECT c_custkey, {_CITY_SQL} || c_mktsegment || '公司' AS name FROM customer)",
+)
+def region_names(spark, path):
+    """The whole default table, over party names that carry the places in turn."""
+    city = F.element_at(F.array(*[F.lit(c) for c in _CITIES]), (F.col("c_custkey") % len(_CITIES)).cast("int") + 1)
+    named = table(spark, path, "customer").withColumn("name", F.concat(city, "c_mktsegment", F.lit("公司")))
+    return named.select("c_custkey", region_of("name").alias("region"))
+
+
 @query("p18_region_cascade", f"SELECT party_id, {REGION_SQL} AS region FROM parties")
 def region_cascade(spark, path):
     return OrdersBinding(spark, path).parties().select("party_id", region_of("party_name", REGIONS, "other").alias("region"))

@@ -8,7 +8,20 @@ from loomgraph.catalog.rewards import responses
 from loomgraph.operators import datasets as D
 
 
-@query("d01_sample_by_frequency")
+def _uniform(*parts: str) -> str:
+    """The operators' seeded uniform number as SQL."""
+    text = " || ':' || ".join(["'42'", *parts])
+    return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+@query(
+    "d01_sample_by_frequency",
+    f"""SELECT DISTINCT name FROM cum JOIN (SELECT {_uniform('j')} * (SELECT max(hi) FROM cum) AS u FROM range(1, 101) r(j)) ON u >= lo AND u < hi""",
+    {
+        "cum": """SELECT name, hi, hi - n AS lo FROM (SELECT name, n, sum(n) OVER (ORDER BY n DESC, name ROWS UNBOUNDED PRECEDING) AS hi FROM
+            (SELECT party_name AS name, count(*) AS n FROM party GROUP BY 1 HAVING count(*) >= 5 ORDER BY n DESC, name LIMIT 200))"""
+    },
+)
 def sample_by_frequency(spark, path):
     return D.sample_by_frequency(OrdersBinding(spark, path).relation("party"), "party_name", 100, 5)
 
@@ -324,7 +337,15 @@ def imbalance(spark, path):
     return D.imbalance(dealt, "doc_id", "n_chars", "part", 8).withColumn("mean", F.round("mean", 6))
 
 
-@query("d21_resample_by_score")
+@query(
+    "d21_resample_by_score",
+    f"""SELECT d.event_id AS draw, l.event_id AS pos, l.score FROM
+        (SELECT event_id, floor({_uniform('event_id')} * (SELECT sum(u)::DOUBLE FROM line)) AS p FROM responses) d JOIN line l ON p >= lo AND p < lo + u""",
+    {
+        "line": """SELECT event_id, score, u, sum(u) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) - u AS lo FROM
+            (SELECT event_id, score, greatest(round((score * score + 1e-8) * 1e8), 1)::HUGEINT AS u FROM responses)"""
+    },
+)
 def resample(spark, path):
     return D.resample_by_score(responses(spark, path).select("pos", "uid", "score"), "score", "pos").select("draw", "pos", "score")
 

@@ -47,12 +47,12 @@ def star(spark, path):
     "j04_optional_neighbours",
     """SELECT i.item_id, (SELECT string_agg(party_name, ';' ORDER BY party_name) FROM
          (SELECT DISTINCT party_name FROM activity a WHERE a.item_id = i.item_id AND rel_type = 'TRANSFERRED_TO'
-          ORDER BY party_name LIMIT 2)) AS names FROM items i WHERE item_date >= '2001'""",
+          ORDER BY party_name LIMIT 2)) AS names FROM items i""",
 )
 def optional_neighbours(spark, path):
     g = OrdersBinding(spark, path)
     rel = g.relation("activity").filter("rel_type = 'TRANSFERRED_TO'")
-    rows = J.with_neighbours(g.items().filter("item_date >= '2001'").select("item_id"), rel, "party_name", "names", 2)
+    rows = J.with_neighbours(g.items().select("item_id"), rel, "party_name", "names", 2)
     return rows.withColumn("names", F.array_join("names", ";"))
 
 
@@ -85,7 +85,7 @@ def item_detail(spark, path):
 def collaboration(spark, path):
     rel = OrdersBinding(spark, path).relation("person", distinct=True)
     rel = rel.select("item_id", "party_id", F.col("person_name").alias("party_name"))
-    return J.collaboration(rel, "#00000000")
+    return J.collaboration(rel, "#00000000", limit=20)
 
 
 @query(

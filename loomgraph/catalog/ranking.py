@@ -14,7 +14,7 @@ from loomgraph.runtime import keep_first
 def _rank(name: str, sql: str, **kw) -> None:
     @query(name, sql)
     def run(spark, path, kw=kw):
-        return R.rank_items(OrdersBinding(spark, path), region_rules=REGIONS, **kw)
+        return R.rank_items(OrdersBinding(spark, path), region_rules=REGIONS, other="other", **kw)
 
 
 _rank(
@@ -80,7 +80,7 @@ def _target(name: str, target: str, key: str, src: str) -> None:
 
     @query(name, sql)
     def run(spark, path, target=target):
-        return R.rank_target(OrdersBinding(spark, path), target, {"legal_status": "P"}, 8, REGIONS)
+        return R.rank_target(OrdersBinding(spark, path), target, {"legal_status": "P"}, 8, REGIONS, other="other")
 
 
 _target("w02_rank_target_orgs", "orgs", "party_name", "party")
@@ -92,7 +92,7 @@ _target("w02_rank_target_years", "years", "substr(item_date, 1, 4)", "items")
 def _trend(name: str, sql: str, **kw) -> None:
     @query(name, sql)
     def run(spark, path, kw=kw):
-        return R.trend(OrdersBinding(spark, path), "1996", "1999", region_rules=REGIONS, **kw)
+        return R.trend(OrdersBinding(spark, path), "1996", "1999", region_rules=REGIONS, other="other", **kw)
 
 
 _YEARS = "substr(item_date, 1, 4) BETWEEN '1996' AND '1999'"

@@ -101,10 +101,10 @@ def resolve_words(spark, path):
     "h01_decisions",
     """SELECT DISTINCT p_name || ', ' || p_type AS original_name, upper(p_name) AS standard_name,
        CASE WHEN contains(p_name, 'red') THEN 'decided' ELSE 'organization' END AS entity_type,
-       md5(p_name || ', ' || p_type || ';' || upper(p_name)) AS decision_key FROM part WHERE p_size > 10""",
+       md5(p_name || ', ' || p_type || ';' || upper(p_name)) AS decision_key FROM part""",
 )
 def decisions(spark, path):
-    part = table(spark, path, "part").filter("p_size > 10")
+    part = table(spark, path, "part")
     names = part.select(F.concat_ws(", ", "p_name", "p_type").alias("original_name"), F.upper("p_name").alias("standard_name")).distinct()
 
     def decider(pdf):

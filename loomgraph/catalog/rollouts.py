@@ -152,16 +152,44 @@ def validation(spark, path):
     return r6(M.validation_metrics(responses(spark, path)), "mean_at_n", "std_at_n")
 
 
-@query("r17_bootstrap_extremes")
+# 1,000 seeded draws of n = 2, 4, ... and all rows of each group
+_DRAWS = {
+    "placed": """SELECT source, uid, score, k % 4 AS pred, row_number() OVER (PARTITION BY source, uid ORDER BY event_id) - 1 AS idx,
+        count(*) OVER (PARTITION BY source, uid) AS total FROM responses""",
+    "sizes": """SELECT source, uid, total, unnest(list_append([p FOR p IN [2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096] IF p < total], total)) AS n
+        FROM (SELECT DISTINCT source, uid, total FROM placed WHERE total > 1)""",
+    "drawn": """SELECT s.source, s.uid, n, draw, i, p.score, p.pred FROM
+        (SELECT *, ('0x' || substr(md5('42:' || source || ':' || uid || ':' || n || ':' || draw || ':' || i), 1, 8))::BIGINT % total AS idx
+         FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM sizes, range(1, 1001) d(draw))) s
+        JOIN placed p ON p.source = s.source AND p.uid = s.uid AND p.idx = s.idx""",
+}
+
+
+@query(
+    "r17_bootstrap_extremes",
+    """SELECT source, uid, n, round(avg(b), 6) AS best_mean, round(stddev_pop(b), 6) AS best_std, round(avg(w), 6) AS worst_mean,
+       round(stddev_pop(w), 6) AS worst_std FROM (SELECT source, uid, n, draw, max(score) AS b, min(score) AS w FROM drawn GROUP BY 1, 2, 3, 4)
+       GROUP BY 1, 2, 3""",
+    {**C, **_DRAWS},
+)
 def bootstrap_extremes(spark, path):
     rows = M.with_row_index(responses(spark, path).select("source", "uid", "pos", "score"), ["source", "uid"], "pos")
-    return M.bootstrap_extremes(rows, ["source", "uid"], draws=100)
+    out = M.bootstrap_extremes(rows, ["source", "uid"])
+    return r6(out.withColumn("n", F.col("n").cast("bigint")), "best_mean", "best_std", "worst_mean", "worst_std")
 
 
-@query("r17_bootstrap_majority")
+@query(
+    "r17_bootstrap_majority",
+    """SELECT source, uid, n, round(avg(m), 6) AS maj_mean, round(stddev_pop(m), 6) AS maj_std FROM
+       (SELECT source, uid, n, draw, first(v ORDER BY c DESC, f) AS m FROM
+        (SELECT source, uid, n, draw, pred, count(*) AS c, min(i) AS f, min_by(score, i) AS v FROM drawn GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4)
+       GROUP BY 1, 2, 3""",
+    {**C, **_DRAWS},
+)
 def bootstrap_majority(spark, path):
     rows = responses(spark, path).select("source", "uid", "pos", "score", (F.col("length") % 4).alias("pred"))
-    return M.bootstrap_majority(M.with_row_index(rows, ["source", "uid"], "pos"), ["source", "uid"], draws=100)
+    out = M.bootstrap_majority(M.with_row_index(rows, ["source", "uid"], "pos"), ["source", "uid"])
+    return r6(out.withColumn("n", F.col("n").cast("bigint")), "maj_mean", "maj_std")
 
 
 @query(

@@ -69,7 +69,9 @@ def dataset_scan(spark, path):
 def run_logs(spark, path):
     root = scratch_path(spark, "io05")
     ev = table(spark, path, "events").select("event_id", "event_type")
-    for kind, run in (("view", "m_sft_1"), ("click", "m_sft_2"), ("error", "m_rl_1")):
+    for kind, run in (
+        ("view", "m_sft_1"), ("click", "m_sft_2"), ("signup", "m_sft_3"), ("error", "m_rl_1"), ("purchase", "m_rl_2")
+    ):
         ev.filter(F.col("event_type") == kind).write.json(f"{root}/{run}/raw.jsonl")
     schema = StructType([StructField("event_id", LongType()), StructField("event_type", StringType())])
     logs = R.run_logs(spark, f"{root}/*/raw.jsonl", schema)

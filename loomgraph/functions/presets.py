@@ -108,14 +108,21 @@ PLACE_ABBREVIATIONS = {
 # fixed values: region cascade over party names (city before province where both may occur)
 PARTY_REGIONS = [
     ("北京", "北京"), ("上海", "上海"), ("深圳", "广东"), ("广州", "广东"), ("广东", "广东"),
-    ("江苏", "江苏"), ("南京", "江苏"), ("苏州", "江苏"), ("浙江", "浙江"), ("杭州", "浙江"),
-    ("宁波", "浙江"), ("山东", "山东"), ("青岛", "山东"), ("济南", "山东"), ("四川", "四川"),
-    ("成都", "四川"), ("湖北", "湖北"), ("武汉", "湖北"), ("陕西", "陕西"), ("西安", "陕西"),
-    ("天津", "天津"), ("重庆", "重庆"), ("安徽", "安徽"), ("合肥", "安徽"), ("河南", "河南"),
-    ("郑州", "河南"), ("湖南", "湖南"), ("长沙", "湖南"), ("福建", "福建"), ("厦门", "福建"),
-    ("辽宁", "辽宁"), ("大连", "辽宁"),
+    ("江苏", "江苏"), ("南京", "江苏"), ("苏州", "江苏"), ("无锡", "江苏"), ("浙江", "浙江"),
+    ("杭州", "浙江"), ("宁波", "浙江"), ("山东", "山东"), ("青岛", "山东"), ("济南", "山东"),
+    ("四川", "四川"), ("成都", "四川"), ("湖北", "湖北"), ("武汉", "湖北"), ("陕西", "陕西"),
+    ("西安", "陕西"), ("天津", "天津"), ("重庆", "重庆"), ("安徽", "安徽"), ("合肥", "安徽"),
+    ("河南", "河南"), ("郑州", "河南"), ("湖南", "湖南"), ("长沙", "湖南"), ("福建", "福建"),
+    ("厦门", "福建"), ("福州", "福建"), ("辽宁", "辽宁"), ("大连", "辽宁"), ("沈阳", "辽宁"),
+    ("河北", "河北"), ("吉林", "吉林"), ("长春", "吉林"), ("黑龙江", "黑龙江"), ("哈尔滨", "黑龙江"),
+    ("江西", "江西"), ("南昌", "江西"), ("山西", "山西"), ("太原", "山西"), ("云南", "云南"),
+    ("昆明", "云南"), ("贵州", "贵州"), ("贵阳", "贵州"), ("广西", "广西"), ("南宁", "广西"),
+    ("甘肃", "甘肃"), ("兰州", "甘肃"), ("内蒙古", "内蒙古"), ("呼和浩特", "内蒙古"), ("新疆", "新疆"),
+    ("乌鲁木齐", "新疆"), ("海南", "海南"), ("海口", "海南"), ("宁夏", "宁夏"), ("银川", "宁夏"),
+    ("青海", "青海"), ("西宁", "青海"), ("西藏", "西藏"), ("拉萨", "西藏"), ("香港", "香港"),
+    ("澳门", "澳门"), ("台湾", "台湾"),
 ]
-OTHER_REGION = "其他"
+OTHER_REGION = "其他/海外"
 
 # fixed values: topics, and the words that lead to one of them
 TOPICS = ["制氢技术", "储氢技术", "物理储氢", "合金储氢", "无机储氢", "有机储氢", "氢燃料电池", "氢制冷"]

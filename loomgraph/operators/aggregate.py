@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.binding import GraphBinding
+from loomgraph.functions.presets import OTHER_REGION, PARTY_REGIONS
 from loomgraph.operators.filters import filtered_items, year_of
 from loomgraph.runtime import with_scalars
 
@@ -23,7 +24,9 @@ GROUPINGS = {
 }
 
 
-def region_of(column: str, rules: Sequence[tuple[str, str]], other: str) -> Column:
+def region_of(
+    column: str, rules: Sequence[tuple[str, str]] = tuple(PARTY_REGIONS), other: str = OTHER_REGION
+) -> Column:
     """Ordered CONTAINS cascade: the first rule that matches names the region."""
     out = F.lit(other)
     for needle, region in reversed(list(rules)):
@@ -40,25 +43,30 @@ def count_by(
     graph: GraphBinding,
     group_by: str,
     filters: Mapping[str, object] | None = None,
-    region_rules: Sequence[tuple[str, str]] = (),
-    other: str = "other",
-    org_limit: int = 50,
+    region_rules: Sequence[tuple[str, str]] = tuple(PARTY_REGIONS),
+    other: str = OTHER_REGION,
+    org_limit: int | None = None,
+    years: tuple[str, str] = ("2000", "2030"),
 ) -> DataFrame:
-    """Distinct items per group; an item with two neighbours counts under both."""
+    """Distinct items per group; an item with two neighbours counts under both.
+
+    `org_limit` keeps the largest parties only. Years outside `years` are left
+    out of the count by year, as dates beyond them are input errors.
+    """
     if group_by == "year":
         items = filtered_items(graph, filters).filter(F.col("item_date").isNotNull())
-        items = items.withColumn("year", year_of()).filter(F.col("year").between("2000", "2030"))
+        items = items.withColumn("year", year_of()).filter(F.col("year").between(*years))
         return items.groupBy("year").agg(F.count("*").alias("count"))
     if group_by == "region":
-        rows = filtered_items(graph, filters, keep="party")
+        rows = filtered_items(graph, filters, keep="party", distinct=False)
         rows = rows.withColumn("region", region_of("party_name", region_rules, other))
         return rows.groupBy("region").agg(F.countDistinct("item_id").alias("count"))
     if group_by not in GROUPINGS:
         raise ValueError(f"unsupported grouping: {group_by}")
     group, key, carried = GROUPINGS[group_by]
-    rows = filtered_items(graph, filters, keep=group)
+    rows = filtered_items(graph, filters, keep=group, distinct=False)
     out = rows.groupBy(F.col(key).alias(group_by), *carried).agg(F.countDistinct("item_id").alias("count"))
-    if group_by == "org":
+    if group_by == "org" and org_limit:
         out = out.orderBy(F.desc("count"), group_by).limit(org_limit)
     return out
 
@@ -66,7 +74,7 @@ def count_by(
 def count_neighbours(graph: GraphBinding, target: str, filters: Mapping[str, object] | None = None) -> DataFrame:
     """Distinct parties or topics of the filtered items."""
     group, key = {"orgs": ("party", "party_id"), "domains": ("topic", "topic_name")}[target]
-    return filtered_items(graph, filters, keep=group).agg(F.countDistinct(key).alias("count"))
+    return filtered_items(graph, filters, keep=group, distinct=False).agg(F.countDistinct(key).alias("count"))
 
 
 def flag_ratio(graph: GraphBinding, counter: str, filters: Mapping[str, object] | None = None) -> DataFrame:
@@ -90,20 +98,22 @@ def frequency(
     return out.orderBy(F.desc("n"), *keys).limit(limit) if limit else out
 
 
-def graph_statistics(graph: GraphBinding, top: int = 100) -> dict[str, DataFrame]:
-    """The statistics bundle. Counts are plain, as the statistics of the graph are."""
+def graph_statistics(
+    graph: GraphBinding, top_parties: int | None = None, top_countries: int | None = None
+) -> dict[str, DataFrame]:
+    """The statistics bundle. Counts are plain, as the statistics of the graph are; both tops are unlimited by default."""
     topic_counts = graph.relation("topic", distinct=True).groupBy("topic_name").agg(F.count("*").alias("item_count"))
     dated = graph.items().filter(F.col("item_date").isNotNull() & (F.col("item_date") != ""))
     return {
         "topics": graph.topics()
         .join(topic_counts, "topic_name", "left")
         .select("topic_name", "topic_level", "topic_parent", F.coalesce("item_count", F.lit(0)).alias("item_count")),
-        "top_parties": frequency(graph.relation("party", distinct=True), ["party_name", "party_type"], limit=top),
+        "top_parties": frequency(graph.relation("party", distinct=True), ["party_name", "party_type"], limit=top_parties),
         "date_range": dated.agg(F.min("item_date").alias("earliest"), F.max("item_date").alias("latest")),
         "total": graph.items().agg(F.count("*").alias("total")),
         "by_year": count_by(graph, "year"),
         "by_status": frequency(graph.relation("status", distinct=True), ["status_name"]),
-        "by_country": frequency(graph.relation("country", distinct=True), ["country_name"], limit=30),
+        "by_country": frequency(graph.relation("country", distinct=True), ["country_name"], limit=top_countries),
     }
 
 

@@ -25,12 +25,12 @@ from loomgraph.runtime import (
     with_scalars,
 )
 
-UNIT = 2**53
+UNIT = 2**52
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
     """Seeded uniform number in [0, 1)."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(UNIT)) / F.lit(float(UNIT))
+    return F.conv(F.substring(seeded_digest(seed, *keys), 1, 13), 16, 10).cast("double") / F.lit(float(UNIT))
 
 
 # --- sampling --------------------------------------------------------------
@@ -68,14 +68,16 @@ def cap_rows(df: DataFrame, n: int, order: str, seed: int | None = None) -> Data
 
 
 def resample_by_score(
-    df: DataFrame, score: str, key: str, method: str = "pow", power: float = 2.0, seed: int = 42, buckets: int = 4096
+    df: DataFrame, score: str, key: str, method: str = "pow", power: float = 2.0, seed: int = 42, buckets: int | None = None
 ) -> DataFrame:
     """As many rows as before, drawn with replacement by weight.
 
     Weights are whole units laid end to end; each draw is a point on that line.
     The line is cut into equal buckets, so a draw meets only the rows of its
-    bucket, and a heavy row is spread over many buckets.
+    bucket, and a heavy row is spread over many buckets. By default there is a
+    bucket for every 64 rows.
     """
+    buckets = buckets or max(1, df.count() // 64)
     s = F.col(score)
     if method == "pow":
         weight, base = F.pow(F.abs(s), F.lit(power)), df

@@ -206,11 +206,14 @@ def filtered_items(
     counters: bool = False,
     bag: bool = False,
     base: DataFrame | None = None,
+    distinct: bool = True,
 ) -> DataFrame:
     """Items that satisfy every condition.
 
     `keep` names a relation whose matching neighbours stay in the output (one
-    row per item and neighbour). With `bag=True` a column `mult` carries how
+    row per item and neighbour, or as often as the relation has it with
+    `distinct=False`, which spares a shuffle to callers that count distinct
+    items anyway). With `bag=True` a column `mult` carries how
     often the item would repeat in a pattern match over the other relations.
     """
     filters = dict(filters or {})
@@ -247,8 +250,11 @@ def filtered_items(
     if filters.get("has_family") is False:
         items = items.join(graph.relation("family").select("item_id"), "item_id", "left_anti")
     if keep:
-        rel = graph.relation(keep, place=place and keep == "party", distinct=True)
+        # join first: only the rows of items that pass are made distinct
+        rel = graph.relation(keep, place=place and keep == "party")
         items = items.join(reduce(lambda d, p: d.filter(p), groups.get(keep, []), rel), "item_id")
+        if distinct:
+            items = items.dropDuplicates(rel.columns)
     if bag:
         items = items.withColumn("mult", mult).drop(*[c for c in items.columns if c.startswith("_m_")])
     return items

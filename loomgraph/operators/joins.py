@@ -18,7 +18,11 @@ def collected(values: Column | str, limit: int | None = None) -> Column:
 
 
 def with_neighbours(items: DataFrame, rel: DataFrame, name: str, out: str, limit: int | None = None) -> DataFrame:
-    """OPTIONAL match: left join to the per-item list of neighbours, cut to the first `limit`."""
+    """OPTIONAL match: left join to the per-item list of neighbours, cut to the first `limit`.
+
+    The relation is cut to the given items before anything is made distinct or ranked.
+    """
+    rel = rel.join(items.select("item_id"), "item_id", "left_semi")
     if limit:
         rel = top_k_per_group(rel.select("item_id", name).distinct(), ["item_id"], [F.col(name)], limit)
     lists = rel.groupBy("item_id").agg(collected(name, limit).alias(out))
@@ -75,7 +79,7 @@ def transfer_chain(graph: GraphBinding, items: DataFrame) -> DataFrame:
     return items.join(sets.select("item_id", *[_names(rel).alias(name) for name, rel in chain.items()]), "item_id", "left")
 
 
-def collaboration(rel: DataFrame, name_part: str, limit: int | None = 20) -> DataFrame:
+def collaboration(rel: DataFrame, name_part: str, limit: int | None = None) -> DataFrame:
     """Co-parties of the parties whose name contains `name_part`, by shared items.
 
     Starts from the edges of the wanted parties, so the work is the degree of

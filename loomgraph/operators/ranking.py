@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.binding import GraphBinding
+from loomgraph.functions.presets import OTHER_REGION, PARTY_REGIONS
 from loomgraph.operators.aggregate import region_of
 from loomgraph.operators.filters import filtered_items, year_of
 from loomgraph.runtime import first_rows, with_group_index
@@ -29,8 +30,8 @@ def rank_items(
     filters: Mapping[str, object] | None = None,
     top_n: int = 10,
     metric: str = "count",
-    region_rules: Sequence[tuple[str, str]] = (),
-    other: str = "other",
+    region_rules: Sequence[tuple[str, str]] = tuple(PARTY_REGIONS),
+    other: str = OTHER_REGION,
 ) -> DataFrame:
     """Top n of a dimension by distinct items or by a summed counter; ties break on the name."""
     if metric not in ("count", "transfer_count", "litigation_count"):
@@ -42,7 +43,7 @@ def rank_items(
         group, key, carried = RANK_DIMENSIONS[rank_by]
     else:
         raise ValueError(f"unsupported rank dimension: {rank_by}")
-    rows = filtered_items(graph, filters, keep=group, counters=summed, bag=summed)
+    rows = filtered_items(graph, filters, keep=group, counters=summed, bag=summed, distinct=summed)
     if rank_by == "region":
         rows = rows.withColumn("region", region_of("party_name", region_rules, other))
     value = F.sum(F.coalesce(F.col(metric), F.lit(0)) * F.col("mult")) if summed else F.countDistinct("item_id")
@@ -55,19 +56,20 @@ def rank_target(
     target: str,
     filters: Mapping[str, object] | None = None,
     n: int = 10,
-    region_rules: Sequence[tuple[str, str]] = (),
+    region_rules: Sequence[tuple[str, str]] = tuple(PARTY_REGIONS),
     base: DataFrame | None = None,
+    other: str = OTHER_REGION,
 ) -> DataFrame:
     """The four-target rank tool (orgs, domains, regions, years), optionally over search hits."""
     if target == "years":
         rows = filtered_items(graph, filters, base=base).withColumn("name", year_of())
         out = rows.groupBy("name").agg(F.count("*").alias("value"))
     elif target in ("orgs", "regions"):
-        rows = filtered_items(graph, filters, keep="party", base=base)
-        key = F.col("party_name") if target == "orgs" else region_of("party_name", region_rules, "other")
+        rows = filtered_items(graph, filters, keep="party", base=base, distinct=False)
+        key = F.col("party_name") if target == "orgs" else region_of("party_name", region_rules, other)
         out = rows.groupBy(key.alias("name")).agg(F.countDistinct("item_id").alias("value"))
     elif target == "domains":
-        rows = filtered_items(graph, filters, keep="topic", base=base)
+        rows = filtered_items(graph, filters, keep="topic", base=base, distinct=False)
         out = rows.groupBy(F.col("topic_name").alias("name")).agg(F.countDistinct("item_id").alias("value"))
     else:
         raise ValueError(f"unsupported rank target: {target}")
@@ -80,10 +82,11 @@ def trend(
     end_year: str,
     filters: Mapping[str, object] | None = None,
     compare_by: str | None = None,
-    region_rules: Sequence[tuple[str, str]] = (),
+    region_rules: Sequence[tuple[str, str]] = tuple(PARTY_REGIONS),
     top: int = 5,
     reapply_filters: bool = False,
     base: DataFrame | None = None,
+    other: str = OTHER_REGION,
 ) -> DataFrame:
     """Yearly counts in an inclusive range, alone or compared by topic, region or top parties.
 
@@ -97,18 +100,18 @@ def trend(
         rows = filtered_items(graph, ranged, base=base).withColumn("year", year_of()).filter(in_range)
         return rows.groupBy("year").agg(F.count("*").alias("count"))
     if compare_by == "domain":
-        rows = filtered_items(graph, ranged, keep="topic", base=base).withColumn("year", year_of()).filter(in_range)
+        rows = filtered_items(graph, ranged, keep="topic", base=base, distinct=False).withColumn("year", year_of()).filter(in_range)
         return rows.groupBy("year", F.col("topic_name").alias("domain")).agg(F.countDistinct("item_id").alias("count"))
     if compare_by == "region":
-        rows = filtered_items(graph, ranged, keep="party", base=base).withColumn("year", year_of()).filter(in_range)
-        rows = rows.withColumn("region", region_of("party_name", region_rules, "other"))
+        rows = filtered_items(graph, ranged, keep="party", base=base, distinct=False).withColumn("year", year_of()).filter(in_range)
+        rows = rows.withColumn("region", region_of("party_name", region_rules, other))
         return rows.groupBy("year", "region").agg(F.countDistinct("item_id").alias("count"))
     if compare_by == "org":
-        first = filtered_items(graph, filters, keep="party", base=base)
+        first = filtered_items(graph, filters, keep="party", base=base, distinct=False)
         totals = first.groupBy("party_name").agg(F.countDistinct("item_id").alias("total"))
         leaders = totals.orderBy(F.desc("total"), "party_name").limit(top).select("party_name")
         bounds = {"year_start": start_year, "year_end": end_year}
-        second = filtered_items(graph, ranged if reapply_filters else bounds, keep="party")
+        second = filtered_items(graph, ranged if reapply_filters else bounds, keep="party", distinct=False)
         second = second.withColumn("year", year_of()).filter(in_range)
         rows = second.join(leaders, "party_name", "left_semi")
         return rows.groupBy("year", F.col("party_name").alias("org")).agg(F.countDistinct("item_id").alias("count"))
@@ -147,7 +150,7 @@ def list_targets(
 ) -> DataFrame:
     """Distinct parties or topics of the filtered items with their item counts."""
     group, key = {"orgs": ("party", "party_name"), "domains": ("topic", "topic_name")}[target]
-    rows = filtered_items(graph, filters, keep=group)
+    rows = filtered_items(graph, filters, keep=group, distinct=False)
     out = rows.groupBy(F.col(key).alias("name")).agg(F.countDistinct("item_id").alias("count"))
     return out.orderBy(F.desc("count"), "name").limit(limit)
 

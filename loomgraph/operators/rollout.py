@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import let
 from loomgraph.operators.rewards import SAFETY, token_count, token_sum
-from loomgraph.runtime import with_group_stats, with_scalars
+from loomgraph.runtime import seeded_digest, with_group_stats, with_scalars
 
 
 def clamp(c: Column, low: float | Column | None = None, high: float | Column | None = None) -> Column:
@@ -250,7 +250,8 @@ def _draws(df: DataFrame, keys: Sequence[str], draws: int, seed: int) -> DataFra
     ns = F.array_append(powers, F.col("total").cast("int"))
     grid = sizes.withColumn("n", F.explode(ns)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     grid = grid.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    idx = F.pmod(F.xxhash64(F.lit(seed), *keys, "n", "draw", "i"), F.col("total"))
+    head = F.substring(seeded_digest(seed, *keys, "n", "draw", "i"), 1, 8)
+    idx = F.conv(head, 16, 10).cast("long") % F.col("total")
     return grid.select(*keys, "n", "draw", "i", idx.alias("idx"))
 
 

@@ -39,7 +39,9 @@ def constraint_filters(c: Mapping[str, object]) -> dict[str, object]:
     return {k: v for k, v in f.items() if v}
 
 
-def constrained_items(graph: GraphBinding, c: Mapping[str, object], keep: str | None = None) -> DataFrame:
+def constrained_items(
+    graph: GraphBinding, c: Mapping[str, object], keep: str | None = None, distinct: bool = True
+) -> DataFrame:
     base = graph.items()
 
     def exists(rel: DataFrame) -> None:
@@ -55,7 +57,7 @@ def constrained_items(graph: GraphBinding, c: Mapping[str, object], keep: str |
         exists(activity.filter(F.col("rel_type") == "PLEDGED_TO"))
     if c.get("has_litigation"):
         exists(graph.relation("littype"))
-    return filtered_items(graph, constraint_filters(c), keep=keep, base=base)
+    return filtered_items(graph, constraint_filters(c), keep=keep, base=base, distinct=distinct)
 
 
 def run_constraints(graph: GraphBinding, c: Mapping[str, object]) -> DataFrame:
@@ -66,14 +68,14 @@ def run_constraints(graph: GraphBinding, c: Mapping[str, object]) -> DataFrame:
         return constrained_items(graph, c).groupBy(year_of().alias("year")).agg(F.count("*").alias("count"))
     if task in ("count", "rank") and group_by in ("domain", "org", "province", "country"):
         if group_by == "domain":
-            rows = constrained_items(graph, c, keep="topic")
+            rows = constrained_items(graph, c, keep="topic", distinct=False)
             out = rows.groupBy(F.col("topic_name").alias("domain")).agg(distinct)
         elif group_by == "org":
-            out = constrained_items(graph, c, keep="party").groupBy(F.col("party_name").alias("org")).agg(distinct)
+            out = constrained_items(graph, c, keep="party", distinct=False).groupBy(F.col("party_name").alias("org")).agg(distinct)
         elif group_by == "country" and c.get("country") and not c.get("province"):
-            out = constrained_items(graph, c, keep="country").groupBy(F.col("country_name").alias("country")).agg(distinct)
+            out = constrained_items(graph, c, keep="country", distinct=False).groupBy(F.col("country_name").alias("country")).agg(distinct)
         else:
-            rows = constrained_items(graph, c, keep="party").drop("place_province", "place_country")
+            rows = constrained_items(graph, c, keep="party", distinct=False).drop("place_province", "place_country")
             places = graph.parties().select("party_id", "place_province", "place_country")
             rows = rows.join(places, "party_id").withColumn(group_by, F.col(f"place_{group_by}"))
             if group_by == "province":

@@ -127,12 +127,12 @@ def first_rows(df: DataFrame, order: list[Column], n: int, offset: int = 0) -> D
     """Rows `offset` to `offset + n` of a total order.
 
     A small page is a top-k; a large one is cut by global position, so its
-    rows never pass through one task or the driver.
+    rows never pass through one task or the driver. Both come in order.
     """
     if offset + n <= SORTED_LIMIT:
         return df.orderBy(*order).offset(offset).limit(n)
     placed = with_global_index(df, order, "_at")
-    return placed.filter((F.col("_at") >= offset) & (F.col("_at") < offset + n)).drop("_at")
+    return placed.filter((F.col("_at") >= offset) & (F.col("_at") < offset + n)).orderBy("_at").drop("_at")
 
 
 def with_group_index(df: DataFrame, keys: list[str], order: list[Column], name: str = "pos") -> DataFrame:
