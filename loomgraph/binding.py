@@ -86,6 +86,7 @@ class GraphBinding(ABC):
 
         parts = [
             part("party", F.lit("APPLIED_BY"), "Organization", "party_name"),
+            part("person", F.lit("APPLIED_BY"), "Person", "person_name"),
             part("topic", F.lit("BELONGS_TO"), "Topic", "topic_name"),
             part("code", F.lit("CLASSIFIED_AS"), "Code", "code"),
             part("status", F.lit("HAS_STATUS"), "Status", "status_name"),
@@ -202,6 +203,7 @@ class OrdersBinding(GraphBinding):
         ("LITIGATED_WITH", "Organization", "plaintiff"),
         ("LITIGATED_WITH", "Organization", "defendant"),
         *[(rel, "Organization", None) for rel in ACTIVITY_RELATIONS],
+        ("APPLIED_BY", "Person", None),
     ]
 
     def edges(self, distinct: bool = True) -> DataFrame:
@@ -210,7 +212,10 @@ class OrdersBinding(GraphBinding):
         Relation, label and role are one small number until the duplicates are
         gone, so the shuffle carries (item, number, name) only.
         """
-        number = {(rel, role): i + 1 for i, (rel, _, role) in enumerate(self.KINDS)}
+        number: dict[tuple[str, str | None], int] = {}
+        for i, (rel, _, role) in enumerate(self.KINDS):
+            number.setdefault((rel, role), i + 1)
+        person = F.lit(self.KINDS.index(("APPLIED_BY", "Person", None)) + 1)
 
         def edge(kind: Column | str, name: Column) -> Column:
             k = F.lit(number[(kind, None)]) if isinstance(kind, str) else kind
@@ -237,6 +242,7 @@ class OrdersBinding(GraphBinding):
             edge("BELONGS_TO", F.col("_topic")),
             edge("CLASSIFIED_AS", F.col("_code")),
             edge(activity, F.col("s_name")),
+            edge(person, F.col("s_name")),
             F.when(large, edge(side, F.col("s_name"))),
             F.when(large, edge("HAS_LITIGATION_TYPE", F.col("l_returnflag"))),
         )

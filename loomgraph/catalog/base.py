@@ -53,6 +53,7 @@ CTES = {
     "family": """SELECT o_orderkey AS item_id, o_custkey || '-' || year(o_orderdate) AS family_id
         FROM orders WHERE o_orderstatus <> 'O'""",
     "edges": """SELECT item_id AS src_id, 'APPLIED_BY' AS rel_type, 'Organization' AS dst_label, party_name AS dst_name, NULL AS role FROM party
+        UNION ALL SELECT item_id, 'APPLIED_BY', 'Person', person_name, NULL FROM (SELECT DISTINCT item_id, person_name FROM person)
         UNION ALL SELECT item_id, 'BELONGS_TO', 'Topic', topic_name, NULL FROM topic
         UNION ALL SELECT item_id, 'CLASSIFIED_AS', 'Code', code, NULL FROM code
         UNION ALL SELECT item_id, 'HAS_STATUS', 'Status', status_name, NULL FROM status

@@ -350,11 +350,25 @@ def resample(spark, path):
     return D.resample_by_score(responses(spark, path).select("pos", "uid", "score"), "score", "pos").select("draw", "pos", "score")
 
 
-@query(
-    "d22_micro_batches",
-    """SELECT count(DISTINCT m) AS batches, max(b) + 1 AS rows FROM (SELECT b, b % ((SELECT CAST(ceil(sum(n_chars) / 200000) AS BIGINT) FROM documents)) AS m FROM
-       (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS b FROM documents))""",
-)
+# serpentine deal into k batches, batches placed by load with the light ones at both ends
+def _micro_sql(batches: str) -> str:
+    return f"""WITH size AS (SELECT {batches} AS k FROM (SELECT count(*) AS n, sum(n_chars)::BIGINT AS s FROM documents)),
+        rows AS (SELECT doc_id, (24576::HUGEINT * n_chars + n_chars::HUGEINT * n_chars) AS w, row_number() OVER (ORDER BY doc_id) - 1 AS original_idx FROM documents),
+        dealt AS (SELECT *, (row_number() OVER (ORDER BY w DESC, doc_id) - 1) % (2 * k) AS step FROM rows, size),
+        parts AS (SELECT *, CASE WHEN step < k THEN step ELSE 2 * k - 1 - step END AS part FROM dealt),
+        loads AS (SELECT part, k, row_number() OVER (ORDER BY sum(w) DESC, min(original_idx) DESC) - 1 AS r FROM parts GROUP BY part, k)
+        SELECT doc_id, original_idx, CASE WHEN r % 2 = 0 THEN (l.k + 1) // 2 - 1 - r // 2 ELSE (l.k + 1) // 2 + r // 2 END AS micro_batch
+        FROM parts p JOIN loads l ON p.part = l.part"""
+
+
+@query("d22_micro_batches", _micro_sql("least(n, (s + 199999) // 200000)"))
 def micro_batches(spark, path):
     out = D.micro_batches(table(spark, path, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 200_000)
-    return out.agg(F.count_distinct("micro_batch").alias("batches"), (F.max("original_idx") + 1).alias("rows"))
+    return out.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("original_idx", "micro_batch")])
+
+
+@query("d22_micro_batches_minimum", _micro_sql("(least(n, greatest(30, (s + 999999) // 1000000)) + 7) // 8 * 8"))
+def micro_batches_minimum(spark, path):
+    docs = table(spark, path, "documents").select("doc_id", "n_chars")
+    out = D.micro_batches(docs, "doc_id", "n_chars", 1_000_000, minimum=30, divisor=8)
+    return out.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("original_idx", "micro_batch")])
\ No newline at end of file

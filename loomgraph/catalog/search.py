@@ -91,6 +91,16 @@ def supplement(spark, path):
     return S.supplement(few, [text_hits], "item_id", minimum=10_000)
 
 
+@query(
+    "t04_tfidf_weights",
+    f"""WITH words AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY 1, 2),
+        df AS (SELECT term, count(*) AS df FROM words GROUP BY 1)
+        SELECT doc_id, term, round(tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)), 6) AS weight FROM words JOIN df USING (term)""",
+)
+def tfidf_weights(spark, path):
+    return S.tfidf_weights(_docs(spark, path), "doc_id").withColumn("weight", F.round("weight", 6))
+
+
 @query("t04_tfidf_vectors")
 def tfidf_vectors(spark, path):
     return S.tfidf_vectors(_docs(spark, path), "doc_id", features=256, dims=64).select("doc_id", F.size("embedding").alias("dims"))

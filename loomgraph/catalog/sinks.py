@@ -202,7 +202,7 @@ def _sheet(spark, path):
 
 @query(
     "gb01_graph_build_edges",
-    """SELECT rel_type, count(*) AS count FROM edges WHERE rel_type NOT IN ('LITIGATED_WITH', 'HAS_LITIGATION_TYPE', 'IN_FAMILY', 'BELONGS_TO', 'CLASSIFIED_AS') GROUP BY 1
+    """SELECT rel_type, count(*) AS count FROM edges WHERE dst_label <> 'Person' AND rel_type NOT IN ('LITIGATED_WITH', 'HAS_LITIGATION_TYPE', 'IN_FAMILY', 'BELONGS_TO', 'CLASSIFIED_AS') GROUP BY 1
        UNION ALL SELECT unnest(['BELONGS_TO', 'CLASSIFIED_AS']), n FROM (SELECT count(*) AS n FROM orders)""",
 )
 def graph_build_edges(spark, path):

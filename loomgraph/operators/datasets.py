@@ -456,21 +456,26 @@ def imbalance(df: DataFrame, order: str, length: str, part: str, k: int) -> Data
     )
 
 
-def micro_batches(df: DataFrame, key: str, length: str, budget: int) -> DataFrame:
+def micro_batches(
+    df: DataFrame, key: str, length: str, budget: int, minimum: int | None = None, divisor: int | None = None
+) -> DataFrame:
     """Balanced micro-batches under a token budget.
 
-    Their number is min(rows, ceil(total / budget)). `micro_batch` is numbered
-    so that light batches sit at both ends; `original_idx` restores the rows.
+    Their number is ceil(total / budget), at least `minimum`, at most the rows,
+    and rounded up to a multiple of `divisor`. `micro_batch` is numbered so
+    that light batches sit at both ends; `original_idx` restores the rows.
     """
     totals = df.agg(F.count("*").alias("n"), F.sum(length).alias("s"), F.max(length).alias("mx")).first()
     if totals["mx"] > budget:
         raise ValueError("the budget must hold the longest row")
-    k = min(totals["n"], -(-totals["s"] // budget))
+    k = min(totals["n"], max(minimum or 1, -(-totals["s"] // budget)))
+    if divisor:
+        k = -(-k // divisor) * divisor
     rows = with_global_index(df, [F.col(key)], "original_idx")
     dealt = serpentine(rows, workload(F.col(length)), key, k)
     # one row per micro-batch from here on
     loads = dealt.groupBy("part").agg(F.sum(workload(F.col(length))).alias("load"), F.min("original_idx").alias("first"))
-    ranked = with_global_index(loads, [F.desc("load"), F.desc("first")], "r", partitions=1)
+    ranked = with_global_index(loads, [F.desc("load"), F.desc("first")], "r")
     # ranks 0, 2, 4, ... run down to the middle from the left end, 1, 3, ... from the right
     evens = (k + 1) // 2
     place = F.when(F.col("r") % 2 == 0, evens - 1 - F.floor(F.col("r") / 2)).otherwise(evens + F.floor(F.col("r") / 2))

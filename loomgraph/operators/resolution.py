@@ -22,10 +22,10 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
 
 
-def _blocked(names: DataFrame) -> DataFrame:
+def _blocked(names: DataFrame, prefix: int = 2) -> DataFrame:
     """`name, norm, block, chars`: chars are the characters numbered by occurrence, a set."""
     rows = names.select("name").distinct().withColumn("norm", comparison_name(F.col("name")))
-    rows = rows.withColumn("block", F.substring("norm", 1, 2))
+    rows = rows.withColumn("block", F.substring("norm", 1, prefix))
     letters = F.filter(F.split("norm", ""), lambda x: x != "")
 
     def numbered(p):
@@ -36,9 +36,13 @@ def _blocked(names: DataFrame) -> DataFrame:
     return rows.withColumn("chars", let(letters, numbered)).filter(F.size("chars") > 0)
 
 
-def similar_in_block(names: DataFrame, threshold: float) -> DataFrame:
+def similar_in_block(names: DataFrame, threshold: float, prefix: int = 2) -> DataFrame:
     """All pairs `(a, b, ratio)` of a block whose ratio reaches the threshold, exactly.
 
+    A block holds the names that agree in their first `prefix` characters, so
+    pairs that differ there are lost by design; `prefix=0` has no blocks and
+    finds every pair, by the same filters.
+
     The ratio is 2M / (|a| + |b|) and M is at most the number of shared
     characters. So a pair must share a character among the rarest
     n - ceil(n t / (2 - t)) + 1 of either name (prefix filter), have a length
@@ -46,7 +50,7 @@ def similar_in_block(names: DataFrame, threshold: float) -> DataFrame:
     Only pairs that pass all three reach the ratio itself; a block is never
     paired with itself in full.
     """
-    rows = _blocked(names)
+    rows = _blocked(names, prefix)
     keep = threshold / (2 - threshold)
     rarity = rows.select("block", F.explode("chars").alias("t")).groupBy("block", "t").agg(F.count("*").alias("df"))
     long = rows.select("name", "block", F.explode("chars").alias("t")).join(rarity, ["block", "t"])
@@ -73,10 +77,13 @@ def similar_in_block(names: DataFrame, threshold: float) -> DataFrame:
     return scored.filter(F.col("ratio") >= threshold).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "ratio")
 
 
-def similar_across_blocks(names: DataFrame, threshold: float, head: int = 10) -> DataFrame:
-    """Pairs between the first `head` names of a block and those of the next block."""
+def similar_across_blocks(names: DataFrame, threshold: float, head: int | None = 10) -> DataFrame:
+    """Pairs between the first `head` names of a block and those of the next block.
+
+    Later names of a block are left out by design; `head=None` takes them all.
+    """
     rows = _blocked(names).select("name", "norm", "block")
-    heads = top_k_per_group(rows, ["block"], [F.col("name")], head).drop("rank")
+    heads = rows if head is None else top_k_per_group(rows, ["block"], [F.col("name")], head).drop("rank")
     blocks = with_global_index(rows.select("block").distinct(), [F.col("block")], "i")
     here = heads.join(blocks, "block")
     left = here.select(F.col("name").alias("name_a"), F.col("norm").alias("norm_a"), (F.col("i") + 1).alias("i"))

@@ -165,6 +165,19 @@ def supplement(original: DataFrame, extra: Sequence[DataFrame], key: str, minimu
     return merge_results(original.select(key), fresh.filter(short), key, key)
 
 
+def tfidf_weights(texts: DataFrame, key: str) -> DataFrame:
+    """`(key, term, weight)`: the TF-IDF weights in long form, over the whole vocabulary.
+
+    `weight` is tf * ln((n + 1) / (df + 1)). Terms are counted map-side, so a
+    common word costs one row a task.
+    """
+    words = texts.select(key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    df = words.groupBy("term").agg(F.count("*").alias("df"))
+    total = texts.agg(F.count("*").alias("n"))
+    weight = F.col("tf") * F.log((F.col("g.n") + 1) / (F.col("df") + 1))
+    return with_scalars(words.join(df, "term"), total).select(key, "term", weight.alias("weight"))
+
+
 def tfidf_vectors(texts: DataFrame, key: str, features: int = 5000, dims: int = 1024) -> DataFrame:
     """TF-IDF reduced by principal components and padded with zeros to `dims`.
 
