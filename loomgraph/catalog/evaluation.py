@@ -91,6 +91,28 @@ def canonical_values(spark, path):
     return vec.select("vec_id", E.canonical_text(vec, "v").alias("v"), E.canonical_text(vec, "m").alias("m"))
 
 
+@query(
+    "e01_typed_values",
+    """SELECT event_id, true AS int_float, false AS int_text, value <> round(value) AS differs, k = 1 AS int_bool FROM
+       (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""",
+)
+def typed_values(spark, path):
+    """Numbers agree across their types, never with text."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    ev = table(spark, path, "events").select(
+        "event_id", k.alias("i"), k.cast("double").alias("d"), k.cast("string").alias("s"), "value",
+        F.round("value").cast("bigint").alias("r"), F.lit(True).alias("b"),
+    )
+    text = {c: E.canonical_text(ev, c) for c in ("i", "d", "s", "value", "r", "b")}
+    return ev.select(
+        "event_id",
+        (text["i"] == text["d"]).alias("int_float"),
+        (text["i"] == text["s"]).alias("int_text"),
+        (text["value"] != text["r"]).alias("differs"),
+        (text["i"] == text["b"]).alias("int_bool"),
+    )
+
+
 @query(
     "e01_normal_numbers",
     """SELECT event_id, json_extract_string(props, '$.k') AS a, json_extract_string(props, '$.k') AS b, event_type AS c FROM events""",

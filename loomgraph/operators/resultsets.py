@@ -24,10 +24,15 @@ from loomgraph.runtime import with_scalars
 
 NULL_MARK = "\u0000"
 SEP = "\u0001"
+NUMBER_MARK = "\u0002"
 
 
 def canonical_text(df: DataFrame, column: str) -> Column:
-    """Comparable text of a result value: ISO dates, sorted lists, sorted map entries."""
+    """Comparable text of a result value: ISO dates, sorted lists, sorted map entries.
+
+    Numbers and booleans are marked and in one form, so 1, 1.0 and true agree
+    with each other and with no text; a text stays what it is.
+    """
     kind = df.schema[column].dataType.typeName()
     c = F.col(column)
     if kind == "array":
@@ -37,13 +42,19 @@ def canonical_text(df: DataFrame, column: str) -> Column:
         text = F.concat(F.lit("{"), F.array_join(F.array_sort(pairs), ","), F.lit("}"))
     elif kind == "date":
         text = F.date_format(c, "yyyy-MM-dd")
+    elif kind == "boolean":
+        text = F.concat(F.lit(NUMBER_MARK), c.cast("int").cast("string"))
+    elif kind in ("byte", "short", "integer", "long"):
+        text = F.concat(F.lit(NUMBER_MARK), c.cast("string"))
+    elif kind in ("float", "double", "decimal"):
+        text = F.concat(F.lit(NUMBER_MARK), normal_number(c.cast("string")))
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit(NULL_MARK))
 
 
 def normal_number(c: Column) -> Column:
-    """Text of a value with numeric strings in one form: 100, 100.0 and ' 100 ' agree."""
+    """Text of a value with numbers and numeric strings in one form: 100, 100.0 and ' 100 ' agree."""
     number = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
     def form(s: Column) -> Column:
@@ -51,6 +62,7 @@ def normal_number(c: Column) -> Column:
         whole = (d == F.floor(d)) & (F.abs(d) < 2.0**53)
         return F.when(~s.rlike(number), c).when(whole, d.cast("bigint").cast("string")).otherwise(F.concat(F.lit("f"), d.cast("string")))
 
+    c = F.ltrim(c, F.lit(NUMBER_MARK))
     return let(strip(c), form)
 
 
