@@ -41,17 +41,20 @@ def folder_scan(
     key: str,
     names: Mapping[str, str] | None = None,
     fmt: str = "csv",
+    multi_line: bool = False,
 ) -> DataFrame:
     """Every file of a folder with every column as text; rows without a key are dropped.
 
-    Adds `file_name` and the topic the file name stands for. `names` maps
+    Files are split over tasks; `multi_line` is for values that hold line
+    breaks and reads each file in one task. Adds `file_name`, the start of the
+    split the row was read from and the topic the file name stands for. `names` maps
     headers to fields; without it the columns keep their names.
     """
     schema = StructType([StructField(c, StringType()) for c in columns])
     reader = spark.read.schema(schema)
-    raw = reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path) if fmt == "csv" else reader.parquet(path)
+    raw = reader.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path) if fmt == "csv" else reader.parquet(path)
     fields = header_map(columns, names) if names else {c: c for c in columns}
-    kept = raw.select(*[F.col(f"`{c}`").alias(f) for c, f in fields.items()], F.col("_metadata.file_name").alias("file_name"))
+    kept = raw.select(*[F.col(f"`{c}`").alias(f) for c, f in fields.items()], F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("file_start"))
     kept = kept.filter(F.col(key).isNotNull() & (F.trim(key) != ""))
     return kept.withColumn("tech_domain", topic_from_file(F.col("file_name")))
 
@@ -104,7 +107,7 @@ def unescape(c: Column) -> Column:
 
 def script_statements(spark: SparkSession, path: str) -> DataFrame:
     """Statements of graph scripts, one per line; comments and the final `;` dropped."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_name").alias("file_name"))
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("file_start"))
     lines = lines.filter((F.col("line") != "") & ~F.col("line").startswith("//"))
     return lines.select(F.regexp_replace("line", ";$", "").alias("statement"), "file_name").filter("statement <> ''")
 
@@ -140,6 +143,10 @@ def script_edges(statements: DataFrame) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, key: str) -> DataFrame:
-    """Keep-first deduplication in load order: file name, then the row as read."""
+    """Keep-first deduplication in load order: file name, start of the split, then the row as read in the split.
+
+    The order is that of the files however their splits are packed into tasks.
+    """
+    start = [F.col("file_start")] if "file_start" in df.columns else []
     rows = df.withColumn("_row", F.monotonically_increasing_id())
-    return keep_first(rows, [key], [F.col("file_name"), F.col("_row")]).drop("_row")
+    return keep_first(rows, [key], [F.col("file_name"), *start, F.col("_row")]).drop("_row")

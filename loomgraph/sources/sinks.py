@@ -13,17 +13,19 @@ from loomgraph.operators.datasets import instruction_rows
 BATCH_ROWS = 5000
 
 
-def write_graph(nodes: dict[str, DataFrame], edges: DataFrame, path: str, batch: int = BATCH_ROWS) -> DataFrame:
+def write_graph(nodes: dict[str, DataFrame], edges: DataFrame, path: str, batch: int | None = None) -> DataFrame:
     """Write in phases (dimension nodes, items, edges) and return the manifest `(phase, part, rows)`.
 
+    Files are as large as their tasks; `batch` bounds their rows, as for sinks
+    that take `BATCH_ROWS` statements at a time.
     Edges are partitioned by relation so that one relation is one folder to read.
     """
     spark = edges.sparkSession
     for name, df in nodes.items():
         if name != "item":
-            df.write.mode("overwrite").option("maxRecordsPerFile", batch).parquet(f"{path}/nodes/{name}")
-    nodes["item"].write.mode("overwrite").option("maxRecordsPerFile", batch).parquet(f"{path}/nodes/item")
-    edges.write.mode("overwrite").option("maxRecordsPerFile", batch).partitionBy("rel_type").parquet(f"{path}/edges")
+            df.write.mode("overwrite").option("maxRecordsPerFile", batch or 0).parquet(f"{path}/nodes/{name}")
+    nodes["item"].write.mode("overwrite").option("maxRecordsPerFile", batch or 0).parquet(f"{path}/nodes/item")
+    edges.write.mode("overwrite").option("maxRecordsPerFile", batch or 0).partitionBy("rel_type").parquet(f"{path}/edges")
     parts = []
     for name in nodes:
         phase = "items" if name == "item" else "dimension_nodes"
