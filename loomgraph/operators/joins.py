@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,22 +29,19 @@ def with_neighbours(items: DataFrame, rel: DataFrame, name: str, out: str, limit
     return items.join(lists, "item_id", "left")
 
 
-def _edge_sets(graph: GraphBinding, items: DataFrame, relations: Sequence[str] | None = None) -> DataFrame:
-    """`item_id, e`: the distinct (relation, name, role) edges of each given item, one aggregate for all."""
-    edges = graph.edges(distinct=False)
-    if relations:
-        edges = edges.filter(F.col("rel_type").isin(list(relations)))
+def _edge_lists(graph: GraphBinding, items: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """`item_id` and, for each output column, the sorted names at the end of its relation; a role follows its name.
+
+    One aggregate gathers the names of each (item, relation), a second one on
+    the same key turns the few relations of an item into columns.
+    """
+    edges = graph.edges(distinct=False).filter(F.col("rel_type").isin(list(columns.values())))
     edges = edges.join(items.select(F.col("item_id").alias("src_id")), "src_id", "left_semi")
-    return edges.groupBy(F.col("src_id").alias("item_id")).agg(
-        F.collect_set(F.struct("rel_type", "dst_name", "role")).alias("e")
+    per = edges.groupBy(F.col("src_id").alias("item_id"), "rel_type").agg(
+        F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "dst_name", "role"))), ";").alias("names")
     )
-
-
-def _names(relation: str, with_role: bool = False) -> Column:
-    """Sorted names of one relation out of the edge set."""
-    mine = F.filter("e", lambda x: x.rel_type == relation)
-    shown = F.transform(mine, lambda x: F.concat_ws(":", x.dst_name, x.role) if with_role else x.dst_name)
-    return F.array_join(F.array_sort(F.array_distinct(shown)), ";")
+    picked = [F.coalesce(F.max(F.when(F.col("rel_type") == rel, F.col("names"))), F.lit("")).alias(c) for c, rel in columns.items()]
+    return per.groupBy("item_id").agg(*picked)
 
 
 # output column -> relation
@@ -61,22 +58,19 @@ DETAIL = {
     "statuses": "HAS_STATUS",
     "countries": "PUBLISHED_IN",
     "families": "IN_FAMILY",
+    "litigations": "LITIGATED_WITH",
 }
 
 
 def item_detail(graph: GraphBinding, items: DataFrame) -> DataFrame:
     """All relations of the given items as lists, from one pass over their edges."""
-    sets = _edge_sets(graph, items)
-    cols = [_names(rel).alias(name) for name, rel in DETAIL.items()]
-    detail = sets.select("item_id", *cols, _names("LITIGATED_WITH", True).alias("litigations"))
-    return items.join(detail, "item_id", "left")
+    return items.join(_edge_lists(graph, items, DETAIL), "item_id", "left")
 
 
 def transfer_chain(graph: GraphBinding, items: DataFrame) -> DataFrame:
     """Original applicants, current owners and transferees of the given items."""
     chain = {"original_applicants": "APPLIED_BY", "current_owners": "OWNED_BY", "transferees": "TRANSFERRED_TO"}
-    sets = _edge_sets(graph, items, list(chain.values()))
-    return items.join(sets.select("item_id", *[_names(rel).alias(name) for name, rel in chain.items()]), "item_id", "left")
+    return items.join(_edge_lists(graph, items, chain), "item_id", "left")
 
 
 def collaboration(rel: DataFrame, name_part: str, limit: int | None = None) -> DataFrame:
