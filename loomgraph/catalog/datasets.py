@@ -63,7 +63,7 @@ def _patterns(spark, path):
 
 def _values(spark, path):
     g = OrdersBinding(spark, path)
-    topics = D.sample_values(g.topics().filter("topic_level = 3"), "topic_name", 30)
+    topics = g.topics().filter("topic_level = 3").select(F.col("topic_name").alias("value"))
     years = g.items().select(F.substring("item_date", 1, 4).alias("value")).distinct()
     return topics.select(F.lit("topic").alias("type"), "value").unionByName(years.select(F.lit("year").alias("type"), "value"))
 
@@ -72,12 +72,34 @@ def _instances(spark, path):
     return D.instantiate(_patterns(spark, path), _values(spark, path), 20)
 
 
-@query("d03_instantiate")
+_FILLED = {
+    "pool": """SELECT type, value, row_number() OVER (PARTITION BY type ORDER BY value) - 1 AS at, count(*) OVER (PARTITION BY type) AS n FROM
+        (SELECT DISTINCT 'topic' AS type, topic_name AS value FROM topics WHERE topic_level = 3
+         UNION ALL SELECT DISTINCT 'year', substr(item_date, 1, 4) FROM items)""",
+    "need": """SELECT DISTINCT pattern_id, copy, name, type, p_type FROM
+        (SELECT 'topic_' || p_type AS pattern_id, 'topic' AS name, 'topic' AS type, p_type FROM part
+         UNION ALL SELECT 'range_' || p_type, unnest(['year_start', 'year_end']), 'year', p_type FROM part), range(1, 21) c(copy)""",
+    "drawn_values": f"""SELECT pattern_id, copy, name, p_type, p.value FROM
+        (SELECT *, {_uniform('pattern_id', 'copy', 'name')} AS u FROM need) d JOIN pool p ON p.type = d.type AND p.at = floor(u * p.n)""",
+    "filled": """SELECT pattern_id, copy, 'topic' AS category, 'ITEMS OF ' || p_type || ' WHERE topic = ' || chr(39) || value || chr(39) AS text,
+            value AS context FROM drawn_values WHERE name = 'topic'
+        UNION ALL SELECT pattern_id, copy, 'range',
+            'ITEMS OF ' || p_type || ' FROM ' || chr(39) || min(value) || chr(39) || ' TO ' || chr(39) || max(value) || chr(39),
+            min(value) || ' to ' || max(value) FROM drawn_values WHERE name <> 'topic' GROUP BY pattern_id, copy, p_type""",
+}
+
+
+@query("d03_instantiate", "SELECT pattern_id, copy::INT AS copy, text, context FROM filled", _FILLED)
 def instantiate(spark, path):
     return _instances(spark, path).select("pattern_id", "copy", "text", "context")
 
 
-@query("d04_quota_generation")
+@query(
+    "d04_quota_generation",
+    """SELECT text, category, pattern_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('42:' || text), text) AS rank FROM
+       (SELECT DISTINCT text, category, pattern_id FROM filled)) WHERE rank <= CASE category WHEN 'topic' THEN 34 ELSE 16 END""",
+    _FILLED,
+)
 def quota_generation(spark, path):
     inst = _instances(spark, path).withColumn("category", F.split("pattern_id", "_")[0]).select("text", "category", "pattern_id")
     return D.take_quotas(inst, "text", "category", D.quotas(50, {"topic": 0.65, "range": 0.33}))

@@ -40,15 +40,15 @@ def subgraph_one(spark, path):
 
 @query(
     "g06_subgraph_two_hops",
-    """SELECT DISTINCT a.src_id AS item_id, dst_label AS type, dst_name AS name, rel_type, 1 AS hop FROM edges a JOIN big b ON a.src_id = b.item_id
-       UNION ALL SELECT DISTINCT a.src_id, 'Item', CAST(c.src_id AS VARCHAR), c.rel_type, 2 FROM edges a JOIN big b ON a.src_id = b.item_id
-       JOIN edges c ON c.dst_label = a.dst_label AND c.dst_name = a.dst_name AND c.src_id <> a.src_id""",
-    {"big": "SELECT o_orderkey AS item_id FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3"},
+    """SELECT DISTINCT src_id AS item_id, dst_label AS type, dst_name AS name, rel_type, 1 AS hop FROM walked
+       UNION ALL SELECT DISTINCT a.src_id, 'Item', CAST(c.src_id AS VARCHAR), c.rel_type, 2 FROM walked a
+       JOIN walked c ON c.dst_label = a.dst_label AND c.dst_name = a.dst_name AND c.src_id <> a.src_id""",
+    {"walked": "SELECT * FROM edges WHERE rel_type = 'IN_FAMILY'"},
 )
 def subgraph_two(spark, path):
+    """Around every item, over the families."""
     g = OrdersBinding(spark, path)
-    seed = table(spark, path, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(3)
-    return G.subgraph(g, seed.select(F.col("o_orderkey").alias("item_id")), 2)
+    return G.subgraph(g, g.items(), 2, ["IN_FAMILY"])
 
 
 _PARTY = {

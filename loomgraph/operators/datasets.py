@@ -18,6 +18,7 @@ from loomgraph.runtime import (
     first_rows,
     keep_first,
     seeded_digest,
+    with_group_index,
     top_k_per_group,
     with_global_index,
     with_group_running_sum,
@@ -115,17 +116,18 @@ def instantiate(patterns: DataFrame, values: DataFrame, copies: int, seed: int =
     """Fill every pattern `copies` times with drawn parameter values.
 
     `patterns(pattern_id, template, context, params array<struct<name,type>>)`,
-    `values(type, value)` with bounded lists per type. `x_start` / `x_end`
-    parameters are put in order.
+    `values(type, value)`. Values are numbered in order inside their type and a
+    draw is a number, so a type may have any number of values. `x_start` /
+    `x_end` parameters are put in order.
     """
-    pools = values.groupBy("type").agg(F.array_sort(F.collect_set("value")).alias("pool"))
+    pools = with_group_index(values.select("type", "value").distinct(), ["type"], [F.col("value")], "at")
+    sizes = pools.groupBy("type").agg(F.count("*").alias("n"))
     inst = patterns.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     need = inst.select("pattern_id", "copy", F.posexplode("params").alias("p", "param")).select(
         "pattern_id", "copy", "p", F.col("param.name").alias("name"), F.col("param.type").alias("type")
     )
-    drawn = need.join(pools, "type")
-    at = F.floor(uniform(seed, "pattern_id", "copy", "name") * F.size("pool")).cast("int") + 1
-    drawn = drawn.withColumn("value", F.element_at("pool", at))
+    at = F.floor(uniform(seed, "pattern_id", "copy", "name") * F.col("n"))
+    drawn = need.join(sizes, "type").withColumn("at", at).join(pools, ["type", "at"])
     got = drawn.groupBy("pattern_id", "copy").agg(F.array_sort(F.collect_list(F.struct("p", "name", "value"))).alias("drawn"))
     out = inst.join(got, ["pattern_id", "copy"], "left")
     complete = F.size("params") == F.coalesce(F.size("drawn"), F.lit(0))

@@ -72,18 +72,24 @@ def item_neighbourhood(graph: GraphBinding, items: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def subgraph(graph: GraphBinding, items: DataFrame, hops: int = 1) -> DataFrame:
+def subgraph(graph: GraphBinding, items: DataFrame, hops: int = 1, relations: list[str] | None = None) -> DataFrame:
     """`(item_id, hop, type, name, rel_type)` around a list of items, one or two hops.
 
     The second hop leads from each neighbour to its other items; the walk
     starts from the given items, so only their neighbours are expanded.
+    `relations` names the relations to walk: over those that end in a hub (a
+    status, a country) a second hop pairs nearly all items with each other.
     """
     one = item_neighbourhood(graph, items).withColumn("hop", F.lit(1))
+    if relations:
+        one = one.filter(F.col("rel_type").isin(relations))
     if hops == 1:
         return one
     back = graph.edges().select(
         F.col("dst_label").alias("type"), F.col("dst_name").alias("name"), F.col("rel_type").alias("rel2"), "src_id"
     )
+    if relations:
+        back = back.filter(F.col("rel2").isin(relations))
     two = one.join(back, ["type", "name"]).filter(F.col("src_id") != F.col("item_id"))
     two = two.select(
         "item_id",
