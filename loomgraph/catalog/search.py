@@ -158,11 +158,16 @@ def exact_top_k(spark, path):
     return near.select("qid", "vid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("v03_hashed_search")
+@query(
+    "v03_hashed_search",
+    f"""SELECT b.vec_id AS vid, b.label, round({_COS}, 6) AS score FROM unit a, unit b WHERE a.vec_id = 0 ORDER BY {_COS} DESC, 1 LIMIT 10""",
+    {"unit": _UNIT},
+)
 def hashed_search(spark, path):
+    """Buckets wider than a projection of unit vectors, so that the tables lose none of the true neighbours."""
     vec = _vectors(spark, path)
     asked = vec.filter("vid = 0").first()
-    return V.hashed_search(vec, list(asked["embedding"]), 10).select("vid", "label", F.round("score", 6).alias("score"))
+    return V.hashed_search(vec, list(asked["embedding"]), 10, bucket=4.0, tables=32).select("vid", "label", F.round("score", 6).alias("score"))
 
 
 @query(
