@@ -292,15 +292,27 @@ def fit(rows: list[tuple[str, bool]], rounds: int = 3) -> Classifier:
         bent = [(v, witness[int(i)]) for i in pos for v in variants(words[kept[i]])]
         bent_x = np.hstack([kernel.values([v for v, _ in bent]) @ nystrom, np.ones((len(bent), 1))])
         sides = np.concatenate([np.ones(len(pos)), -np.ones(len(neg)), np.ones(len(bent))])
-        cost = np.concatenate([cost, [0.2 * n for _, n in bent]])
+        cost = np.concatenate([cost, [0.5 * n for _, n in bent]])
         w = solve_svm(np.concatenate([x[pos], x[neg], bent_x]), sides, cost, 1.0)
         score = x @ w
     if w is None:
         return Classifier(kernel, np.zeros(len(landmarks)), -1.0, np.array([np.log(prior / (1 - prior)), 0, 0, 0, 0, 0]), prior)
     model = Classifier(kernel, (nystrom @ w[:-1]), float(w[-1]), np.zeros(6), prior)
     all_scores = np.concatenate([model.word_scores(words[i : i + 20000]) for i in range(0, len(words), 20000)])
-    features = np.array([document_features(all_scores[[number[w] for s in word_sentences(t) for w in s]]) for t, _ in texts])
-    model.document = solve_logistic(features, np.array(toxic, float))
+    rows_of = [np.array([number[w] for s in word_sentences(t) for w in s], np.int64) for t, _ in texts]
+    features = [document_features(all_scores[rows]) for rows in rows_of]
+    # each toxic document once more with its telling words bent, so that the document level knows their scores too
+    told = [int(i) for i in np.flatnonzero(all_scores > 0)]
+    forms = {i: variants(words[i]) or [words[i]] for i in told}
+    flat = iter(model.word_scores([v for i in told for v in forms[i]]).tolist())
+    bent_scores = {i: [next(flat) for _ in forms[i]] for i in told}
+    answers = [*toxic]
+    for n, (rows, is_toxic) in enumerate(zip(rows_of, toxic)):
+        if is_toxic and (all_scores[rows] > 0).any():
+            scores = [bent_scores[i][n % len(bent_scores[i])] if i in bent_scores else all_scores[i] for i in rows.tolist()]
+            features.append(document_features(np.array(scores)))
+            answers.append(True)
+    model.document = solve_logistic(np.array(features), np.array(answers, float))
     return model
 
 
