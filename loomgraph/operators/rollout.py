@@ -243,12 +243,29 @@ def throughput(lengths: DataFrame, step_seconds: float, workers: int) -> DataFra
     )
 
 
+DRAW_BLOCK = 50
+# rows that may travel to every task; more are joined by a shuffle
+BROADCAST_ROWS = 200_000
+
+
+def _picked(draws: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+    """The drawn rows: there are many draws to a row, so a small table of rows goes to the draws."""
+    small = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return draws.join(F.broadcast(rows) if small else rows, on)
+
+
 def _draws(df: DataFrame, keys: Sequence[str], draws: int, seed: int) -> DataFrame:
     """(keys, n, draw, idx): seeded index draws for n = 2, 4, ... and the group size."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("total")).filter(F.col("total") > 1)
     powers = F.filter(F.array(*[F.lit(2**i) for i in range(1, 31)]), lambda p: p < F.col("total"))
     ns = F.array_append(powers, F.col("total").cast("int"))
-    grid = sizes.withColumn("n", F.explode(ns)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    grid = sizes.withColumn("n", F.explode(ns))
+    # dealt out in blocks of draws before they are made, so that neither few nor large groups end in few tasks
+    grid = grid.withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(draws), F.lit(DRAW_BLOCK))))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = grid.repartition(parts, *keys, "n", "block")
+    last = F.least(F.col("block") + DRAW_BLOCK - 1, F.lit(draws))
+    grid = grid.withColumn("draw", F.explode(F.sequence("block", last)))
     grid = grid.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
     head = F.substring(seeded_digest(seed, *keys, "n", "draw", "i"), 1, 8)
     idx = F.conv(head, 16, 10).cast("long") % F.col("total")
@@ -263,7 +280,8 @@ def bootstrap_extremes(
     `index` numbers the rows of a group from 0. Draws are rows, so the work of a
     large group is spread over the cluster.
     """
-    picked = _draws(df, keys, draws, seed).join(df.select(*keys, F.col(index).alias("idx"), F.col(value).alias("v")), [*keys, "idx"])
+    rows = df.select(*keys, F.col(index).alias("idx"), F.col(value).alias("v"))
+    picked = _picked(_draws(df, keys, draws, seed), rows, [*keys, "idx"])
     per_draw = picked.groupBy(*keys, "n", "draw").agg(F.max("v").alias("b"), F.min("v").alias("w"))
     return per_draw.groupBy(*keys, "n").agg(
         F.avg("b").alias("best_mean"),
@@ -284,7 +302,7 @@ def bootstrap_majority(
 ) -> DataFrame:
     """Mean and population std of the majority value of n draws; ties go to the vote drawn first."""
     rows = df.select(*keys, F.col(index).alias("idx"), F.col(value).alias("v"), F.col(vote).alias("p"))
-    picked = _draws(df, keys, draws, seed).join(rows, [*keys, "idx"])
+    picked = _picked(_draws(df, keys, draws, seed), rows, [*keys, "idx"])
     votes = picked.groupBy(*keys, "n", "draw", "p").agg(
         F.count("*").alias("c"), F.min("i").alias("first"), F.min_by("v", "i").alias("v")
     )
