@@ -19,11 +19,23 @@ PATTERNS = {
     "ssn": r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
     r"|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
-    "number": r"(?<![\d])\d(?:[ -]?\d){12,18}(?![\d])",
+    # two digits glued to capitals are no part of a number that is whole without them
+    "number": r"(?<![\d])(?!(?<=[A-Z]{2})\d\d \d(?:[ -]?\d){12,18}(?!\d))\d(?:[ -]?\d){12,18}(?![\d])",
 }
+# IBAN lengths of the countries that have them (ISO 13616)
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+SIZED_IBAN = r"\b(?=((?:%s)\b))" % "|".join(
+    rf"(?:{codes.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, codes in IBAN_SIZES.items()
+)
 # a match is what the first of these patterns says; what none matches whole is a secret
 KINDS = ["email", "iban", "date", "ip", "ssn", "phone", "number"]
-ANY = "|".join(f"(?:{PATTERNS[k]})" for k in ["email", "secret", *KINDS[1:]])
+BEFORE_IBAN, AFTER_IBAN = ("|".join(f"(?:{PATTERNS[k]})" for k in ks) for ks in (["email", "secret"], KINDS[2:]))
 
 
 def keyed(key: str, *parts: Column) -> Column:
@@ -189,13 +201,32 @@ def masked_secret(m: Column, key: str) -> Column:
     return F.rpad(F.lit(""), F.char_length(m), name)
 
 
+def pattern_of(text: Column) -> Column:
+    """What to look for in `text`: all patterns, with the IBANs that are valid in place of their shape.
+
+    An IBAN may begin at any word and ends after its country's length, whatever
+    follows; the longest shape is tried as well, for other codes. What fails
+    the remainder takes nothing from the patterns after it.
+    """
+    shapes = [SIZED_IBAN, rf"\b(?=({PATTERNS['iban'][2:]}))"]
+    candidates = F.concat(*[F.regexp_extract_all(text, F.lit(s), F.lit(1)) for s in shapes])
+
+    def join(valid: Column) -> Column:
+        ibans = F.concat(F.lit(r"|(?:\b(?:"), F.array_join(valid, "|"), F.lit(r")\b)"))
+        return F.concat(F.lit(BEFORE_IBAN), F.when(F.size(valid) > 0, ibans).otherwise(""), F.lit("|" + AFTER_IBAN))
+
+    return F.when(text.rlike(PATTERNS["iban"]), bound(F.array_distinct(F.filter(candidates, iban_valid)), join)).otherwise(
+        F.lit(BEFORE_IBAN + "|" + AFTER_IBAN)
+    )
+
+
 def kind_of(m: Column) -> Column:
     kind = F.lit("secret")
     for k in reversed(KINDS):
-        kind = F.when(m.rlike(rf"^(?:{PATTERNS[k]})$"), k).otherwise(kind)
-    # what is only shaped like a date or an IBAN is no personal datum
-    kind = F.when((kind == "date") & real_date(m).isNull(), F.lit(None)).when((kind == "iban") & ~iban_valid(m), F.lit(None)).otherwise(kind)
-    return kind
+        whole = m.rlike(rf"^(?:{PATTERNS[k]})$")
+        kind = F.when(whole & iban_valid(m) if k == "iban" else whole, k).otherwise(kind)
+    # what is only shaped like a date is no personal datum
+    return F.when((kind == "date") & real_date(m).isNull(), F.lit(None)).otherwise(kind)
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
@@ -227,14 +258,15 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """
     docs = docs.drop("masked", "found")
     some = F.col("text").rlike("[0-9@]|(?i:token|secret|passw|api_?key)")
-    matches = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
+    docs = docs.withColumn("_pattern", F.when(some, pattern_of(F.col("text"))))
+    matches = F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))
     found = F.transform(matches, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     marked = docs.withColumn("_found", F.when(some, found))
     with_names = F.transform(
         "_found", lambda s: F.struct(s["kind"].alias("kind"), pseudonym(s["m"], s["kind"], key).alias("pseudonym"))
     )
     named = marked.withColumn("_named", F.when(F.size("_found") > 0, with_names))
-    pieces = F.split("text", ANY, -1)
+    pieces = F.split("text", F.col("_pattern"), -1)
     joined = F.array_join(
         F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_named"), i)["pseudonym"], F.lit("")))), ""
     )
@@ -243,5 +275,5 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     return (
         named.withColumn("masked", F.when(F.col("_named").isNull(), F.col("text")).otherwise(joined))
         .withColumn("found", F.coalesce(kept, empty))
-        .drop("_found", "_named")
+        .drop("_pattern", "_found", "_named")
     )

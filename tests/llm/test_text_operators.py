@@ -153,6 +153,19 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert kinds[8] == ["ssn"] and got[9:] == texts[9:] and kinds[9:] == [[]] * 4
 
 
+def test_iban_ends_where_its_country_ends(spark):
+    spain, poland, card = "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "4111 1111 1111 1111"
+    texts = [f"{spain} BIC CAIXESBB", f"{spain} {poland} IBAN", f"BE12 {spain} X", f"AB12 {card}", f"BE12 {card} END", card, 'secret = "AB12CDEF34567890"']
+    got, kinds = masked(spark, texts)
+    assert kinds == [["iban"], ["iban", "iban"], ["iban"], ["number"], ["number"], ["number"], ["secret"]]
+    assert got[0].endswith(" BIC CAIXESBB") and got[1].endswith(" IBAN") and got[2] == f"BE12 {got[0][:29]} X" and got[1][:29] == got[0][:29]
+    assert not any(x in g for g in got for x in (spain[5:], poland[5:], card))
+    assert got[3] == f"AB12 {got[5]}" and got[4] == f"BE12 {got[5]} END"
+    for iban in (got[0][:29], got[1][30:64]):
+        plain = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 def test_permutations_are_one_to_one(spark):
     three = [f"{n:03d}" for n in range(1000)]
     from pyspark.sql import functions as F
