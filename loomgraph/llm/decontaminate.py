@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import digest, keep
+
 BLOCK_CHARS = 4_000_000  # benchmark text that travels to the tasks at once
 CHUNK = 1_000_000  # words of documents worked on at once
 WALKS, TABLES, SAMPLES = 8, 6, 4
@@ -21,6 +23,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(KEEP).split()
 
 
+def mixed(words: np.ndarray) -> np.ndarray:
+    """64 well-spread bits of each word number (splitmix64)."""
+    x = (words.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def allowed_edits(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
@@ -42,7 +52,8 @@ class LengthClass:
     """Items of about the same number of words, with their hash tables.
 
     A CGK walk reads a word at each step and moves on by a random bit that
-    step and word decide. Item and window take the same walk, so after an edit
+    step and word decide: the top bit of the mixed word times the step's odd
+    number, so a walk takes no memory by word. Item and window take the same walk, so after an edit
     they soon fall into step again and most samples agree. Samples are taken
     where the walk is still inside the shortest item of the class.
     """
@@ -51,19 +62,19 @@ class LengthClass:
     edits: int
     items: list[int] = field(default_factory=list)
     member: np.ndarray | None = None  # whether a word is in any item of the class
-    walks: list = field(default_factory=list)  # (bits[step][word], sampled steps -> tables, tables)
+    walks: list = field(default_factory=list)  # (odd numbers by step, sampled steps -> tables, tables)
 
-    def embed(self, words: np.ndarray, at: np.ndarray, walk: tuple) -> np.ndarray:
-        """Sample keys of every table for the windows that begin at `at`."""
-        bits, sampled = walk
+    def embed(self, spread: np.ndarray, at: np.ndarray, walk: tuple) -> np.ndarray:
+        """Sample keys of every table for the windows of mixed words that begin at `at`."""
+        odd, sampled = walk
         keys = np.zeros((TABLES, len(at)), np.uint64)
         here = at.copy()
-        for step in range(len(bits)):
-            word = words[here]
+        for step in range(len(odd)):
+            word = spread[here]
             for t in sampled[step]:
-                keys[t] = (keys[t] + word.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+                keys[t] = (keys[t] + word) * np.uint64(0x9E3779B97F4A7C15)
                 keys[t] ^= keys[t] >> np.uint64(29)
-            here += bits[step][word]
+            here += ((word * odd[step]) >> np.uint64(63)).view(np.int64)
         return keys
 
 
@@ -96,31 +107,33 @@ class Index:
         rng = np.random.default_rng(7)
         for c in classes:
             steps = max(1, int(1.8 * c.shortest))
-            flat, starts = self.flat(c.items)
-            c.member = np.zeros(len(self.vocabulary) + 1, np.int32)
+            flat, starts = self.flat(c.items, steps)
+            spread = mixed(flat)
+            c.member = np.zeros(len(self.vocabulary) + 1, np.int8)
             c.member[flat] = 1
             c.member[0] = 0
             for _ in range(WALKS):
-                bits = rng.integers(0, 2, (steps, len(self.vocabulary) + 1), dtype=np.int8).astype(np.int64)
+                odd = rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
                 chosen = [sorted(rng.choice(steps, min(SAMPLES, steps), replace=False)) for _ in range(TABLES)]
                 sampled = [[t for t in range(TABLES) if s in chosen[t]] for s in range(steps)]
-                keys = c.embed(flat, starts, (bits, sampled))
+                keys = c.embed(spread, starts, (odd, sampled))
                 tables = []
                 for t in range(TABLES):
                     order = np.argsort(keys[t], kind="stable")
                     tables.append((keys[t][order], np.array(c.items)[order]))
-                c.walks.append(((bits, sampled), tables))
+                c.walks.append(((odd, sampled), tables))
         return classes
 
-    def flat(self, items: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def flat(self, items: list[int], gap: int) -> tuple[np.ndarray, np.ndarray]:
+        """The items one after another, `gap` steps apart, and where each begins."""
         pieces, starts, at = [], [], 0
         for i in items:
             starts.append(at)
-            pieces += [self.words[i], np.zeros(self.gap, np.int32)]
-            at += len(self.words[i]) + self.gap
-        return np.concatenate([*pieces, self.tail]), np.array(starts)
+            pieces += [self.words[i], np.zeros(gap, np.int32)]
+            at += len(self.words[i]) + gap
+        return np.concatenate(pieces), np.array(starts)
 
-    def candidates(self, c: LengthClass, words: np.ndarray) -> set[tuple[int, int]]:
+    def candidates(self, c: LengthClass, words: np.ndarray, spread: np.ndarray) -> set[tuple[int, int]]:
         """`(item, position)`: windows that share a sample key with an item.
 
         Only windows with enough words of the class are embedded: a match has
@@ -134,7 +147,7 @@ class Index:
         if not len(at):
             return found
         for walk, tables in c.walks:
-            keys = c.embed(words, at, walk)
+            keys = c.embed(spread, at, walk)
             for t, (table, items) in enumerate(tables):
                 lo, hi = np.searchsorted(table, keys[t]), np.searchsorted(table, keys[t], side="right")
                 for p in np.flatnonzero(hi > lo):
@@ -143,10 +156,10 @@ class Index:
 
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """`(item, end position, edits)` of verified matches; windows inside a match are not verified again."""
-        out = []
+        out, spread = [], mixed(words)
         for c in self.classes:
             done: dict[int, int] = {}
-            for i, p in sorted(self.candidates(c, words)):
+            for i, p in sorted(self.candidates(c, words, spread)):
                 n, limit = len(self.words[i]), allowed_edits(len(self.words[i]), self.similarity)
                 if p < done.get(i, -1):
                     continue  # inside a region that has been verified
@@ -192,14 +205,18 @@ class Index:
         return [[(item, edits, n) for (item, n), edits in f.items()] for f in found]
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """The benchmark in blocks of about `BLOCK_CHARS`, whatever its size; each travels to the tasks by itself."""
+def item_blocks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple]]]:
+    """The number of blocks of about `BLOCK_CHARS` and the blocks, each collected when it is asked for."""
     rows = benchmark.select("item_id", "text").filter(F.length(F.coalesce("text", F.lit(""))) > 0).distinct()
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_CHARS)
-    for k in range(blocks):
-        block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield sorted(((r.item_id, r.text) for r in block.collect()), key=repr)
+
+    def collected() -> Iterator[list[tuple]]:
+        for k in range(blocks):
+            block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+            yield sorted(((r.item_id, r.text) for r in block.collect()), key=repr)
+
+    return blocks, collected()
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -211,7 +228,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, similarity: float
     hold and match nothing; equal item rows count once; ids pass through,
     nulls included; document rows that repeat give their own rows; extra
     columns are ignored; empty tables give an empty table. The documents are
-    read once for each block of the benchmark and nothing is shuffled.
+    read once for each block of the benchmark and nothing is shuffled. Of
+    several blocks each is searched, and its pairs are written, before the
+    next one is collected.
     """
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {doc_kind}, item_id {item_kind}, edits int, item_words int, similarity double"
@@ -237,22 +256,36 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, similarity: float
 
     kind_of = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in item_blocks(benchmark):
-        out = out.union(docs.select("doc_id", "text").mapInArrow(found_by(items), schema))
+    n, blocks = item_blocks(benchmark)
+    for items in blocks:
+        found = docs.select("doc_id", "text").mapInArrow(found_by(items), schema)
+        out = out.union(found if n == 1 else keep(found, "decontaminate"))
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs`, all columns kept, whose text holds no benchmark item."""
+    """The rows of `docs`, all columns kept, whose text holds no benchmark item.
+
+    One block filters the rows in place. Of several, each writes the digests
+    of the texts that it finds before the next one is collected.
+    """
 
-    def clean_of(items: list[tuple]):
+    def having(items: list[tuple], clean: bool):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(items, similarity)
             for b in batches:
-                yield b.filter(pa.array([not f for f in index.scan(b.column("text").to_pylist())], pa.bool_()))
+                yield b.filter(pa.array([bool(f) != clean for f in index.scan(b.column("text").to_pylist())], pa.bool_()))
 
         return work
 
-    for items in item_blocks(benchmark):
-        docs = docs.mapInArrow(clean_of(items), docs.schema)
-    return docs
+    n, blocks = item_blocks(benchmark)
+    if n <= 1:
+        for items in blocks:
+            docs = docs.mapInArrow(having(items, True), docs.schema)
+        return docs
+    row = digest(F.coalesce("text", F.lit("")))
+    texts, found = docs.select("text"), None
+    for items in blocks:
+        held = keep(texts.mapInArrow(having(items, False), "text string").select(row.alias("_row")).distinct(), "decontaminate")
+        found = held if found is None else found.union(held)
+    return docs.withColumn("_row", row).join(found.distinct(), "_row", "left_anti").select(*docs.columns)

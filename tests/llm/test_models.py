@@ -150,6 +150,30 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(12)]
 
 
+def test_decontamination_blocks_are_collected_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 40)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(8))) for i in range(6)]
+    n, blocks = decontaminate.item_blocks(spark.createDataFrame(items, "item_id long, text string"))
+    assert n > 1 and iter(blocks) is blocks and sum(len(b) for b in blocks) == 6
+    rows = items + [(7, "clean"), (8, None), (8, None), (9, items[0][1])]
+    left = decontaminate.drop_contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == [7, 8, 8] and left.columns == ["doc_id", "text", "fp", "held_out"]
+
+
+def test_decontamination_memory_follows_the_benchmark_text():
+    import tracemalloc
+
+    rng = random.Random(6)
+    voc = [f"v{i}" for i in range(20_000)]
+    items = [(i, " ".join(rng.choices(voc, k=rng.choice([12, 60, 500])))) for i in range(150)]
+    tracemalloc.start()
+    index = decontaminate.Index(items, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * sum(len(t) for _, t in items)
+    assert index.scan([items[3][1], "other words"])[0][0][:2] == (3, 0)
+
+
 # ---- language model
 
 @pytest.mark.parametrize("shard", [2_000_000, 300])
