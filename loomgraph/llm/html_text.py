@@ -69,7 +69,7 @@ class Page:
         self.items: list[tuple[str, int, int, int]] = []
         self.pieces: list[str] = []  # of each item; tags have none
         self.names, self.parents, self.contexts = ["page"], [-1], ["body"]
-        self.unwanted, self.article = [False], [False]
+        self.unwanted, self.article, self.framing = [False], [False], [False]
         self.labelled = bool(SEMANTIC.search(source))
         block, stack = 0, [0]
         for m in TOKEN.finditer(source):
@@ -113,6 +113,9 @@ class Page:
         self.parents.append(parent)
         self.unwanted.append(kind is not None or (self.unwanted[parent] and not content))
         self.article.append(content or inside)
+        # menus, headers and footers at the level of the page frame the main text; other unwanted elements only interrupt it
+        frame = kind in ("menu", "header", "footer") and self.names[parent] in ("page", "html", "body")
+        self.framing.append(self.unwanted[-1] and (self.framing[parent] if self.unwanted[parent] else frame))
         if self.unwanted[-1]:
             context = kind or self.contexts[parent]
         elif self.article[-1]:
@@ -123,10 +126,15 @@ class Page:
         return len(self.names) - 1
 
     def region(self, weights: dict[str, float]) -> tuple[int, int]:
-        """First and last item of the contiguous run with the largest score; one linear scan."""
+        """First and last item of the contiguous run with the largest score; one linear scan.
+
+        Unwanted elements are left out of the text, so they score nothing, however long, unless they frame it.
+        """
         best = (0.0, 0, -1)
         score, start = 0.0, 0
-        for at, (key, n, _, _) in enumerate(self.items):
+        for at, (key, n, _, c) in enumerate(self.items):
+            if self.unwanted[c] and not self.framing[c]:
+                continue
             if score <= 0:
                 score, start = 0.0, at
             score += n * weight(weights, key)
@@ -148,7 +156,7 @@ class Page:
         return "\n\n".join(b for b in blocks if b)
 
     def root(self, used: set[int]) -> int:
-        """The innermost element around all of `used`."""
+        """The innermost element around all of `used`; inside an article, the article."""
         common: list[int] | None = None
         for c in used:
             path = []
@@ -157,6 +165,9 @@ class Page:
                 c = self.parents[c]
             path.reverse()
             common = path if common is None else [a for a, b in zip(common, path) if a == b]
+        for c in reversed(common):
+            if self.names[c] in ("article", "main") and not self.unwanted[c]:
+                return c
         return common[-1]
 
     def within(self, root: int) -> list[bool] | None:
@@ -211,7 +222,8 @@ def extract_text(pages: DataFrame, weights: dict[str, float] | None = None) -> D
 
     Words score positive and tags negative; the best contiguous run is found by
     a linear scan and snapped to the element around it. Unwanted elements
-    inside it (menus, adverts, forms, comments and so on) are left out. Blocks
+    inside it (menus, adverts, forms, comments and so on) neither end it nor
+    stay in the text. Blocks
     are unescaped, white space inside one becomes a single space, and blocks
     are joined by a blank line. A null, empty or text-free page gives the empty
     text; ids and urls pass through, nulls included; extra columns are ignored;

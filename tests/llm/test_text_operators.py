@@ -206,6 +206,24 @@ def test_page_text(spark):
     assert [got[i] for i in (2, 3, 4)] == ["", "", ""] and got[5] == "just text" and got[7] == "x" * 100000
 
 
+def test_page_text_goes_on_after_long_unwanted_elements(spark):
+    first, last, other = "first word " * 15, "last word " * 50, "<aside>" + "buy this " * 100 + "</aside>"
+    parts = {
+        "paragraphs": f"<h1>Title</h1><p>{first}</p>{other}<p>{last}</p>",
+        "sections": f"<section><h1>Title</h1>{first}</section>{other}<section>{last}</section>",
+        "form": f"<h1>Title</h1><p>{first}</p><div class=ad><form>{'sign here ' * 300}</form></div><p>{last}</p>",
+        "menu": f"<h1>Title</h1><p>{first}</p><nav>{'<a>see also</a> ' * 200}</nav><p>{last}</p>",
+        "cells": f"<h1>Title</h1><p>{first}</p>{'<ul><li></ul>' * 300}<p>{last}</p>",
+    }
+    wholes = ["article", "main", "div", "section"]
+    pages = {(k, w): PAGE % f"<{w}>{p}</{w}>" for k, p in parts.items() for w in wholes if k != "cells" or w in ("article", "main")}
+    pages["sections", "body"] = PAGE % parts["sections"]
+    rows = spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages.values())], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(rows).collect()}
+    want = ["Title", first.strip(), last.strip()]
+    assert {k: got[i].split("\n\n") for i, k in enumerate(pages)} == dict.fromkeys(pages, want)
+
+
 def test_page_text_of_nothing(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
