@@ -53,3 +53,10 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def unused(df: DataFrame, *names: str) -> None:
+    """Refuse to overwrite columns of the input."""
+    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"the input already has columns {sorted(taken)}; give other names for the results")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontaminate, html_text, language_model, line_dedup, mixing, pii, simhash, toxicity, vector_dedup
+from loomgraph.llm import bpe, chat, decontaminate, html_text, language_model, line_dedup, mixing, pii, simhash, toxicity, vector_dedup
 from loomgraph.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -182,3 +182,18 @@ def op10_simhash(spark: SparkSession, path: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, path, "documents"))
     printed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return groups.select("doc_id", printed.alias("fingerprint"), "component_id", "kept")
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, path: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, path, "documents").select("doc_id", "text"), vocabulary)
+    done = bpe.decode(encoded.drop("text"), vocabulary)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
