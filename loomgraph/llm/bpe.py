@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,9 +38,9 @@ CONTRACTIONS = {"s": STMD, "t": STMD, "m": STMD, "d": STMD, "r": RV, "v": RV, "e
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 
 CHUNK = 1 << 20  # code points scanned at once
-BATCH = 1 << 21  # code points of one batch of texts; a longer text is a batch of its own
+BATCH = 1 << 19  # code points of one batch of texts; a longer text is a batch of its own
 SHORT_PIECE, NO_RANK = 100, 1 << 40
-CACHED = 1 << 24  # code points of cached pre-tokens, beyond which a worker forgets them
+CACHED = 1 << 22  # code points of cached pre-tokens, beyond which a worker forgets them
 
 
 def step(state: int, given: int) -> tuple[int, bool]:
@@ -108,23 +109,31 @@ def functions() -> Functions:
 
 
 @lru_cache(1)
-def code_point_classes() -> np.ndarray:
-    """Class of every code point. Letters and numbers are those of the tokenizer library's own Unicode tables."""
+def code_point_classes() -> bytes:
+    """Class of every code point, compressed to some kilobytes. Letters and numbers are those of the tokenizer
+    library's own Unicode tables; the driver asks it once, a range of code points at a time."""
     import tiktoken
 
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     single = {bytes([b]): b for b in range(256)}
     out = np.full(0x110000, OTHER, np.uint8)
     for name, kind in ((r"\p{L}", PLAIN), (r"\p{N}", NUMBER)):
         told = tiktoken.Encoding(name, pat_str=name, mergeable_ranks=single, special_tokens={})
-        members = bytes(told.encode_ordinary(every)).decode()
-        out[np.frombuffer(members.encode("utf-32-le"), np.uint32)] = kind
+        for start in range(0, 0x110000, 0x800):
+            if 0xD800 <= start < 0xE000:
+                continue
+            members = bytes(told.encode_ordinary("".join(map(chr, range(start, start + 0x800))))).decode()
+            out[np.frombuffer(members.encode("utf-32-le"), np.uint32)] = kind
     out[WHITE_SPACE] = WIDE
     out[32] = SPACE
     out[ord("'")] = APOSTROPHE
     for letter, kind in CONTRACTIONS.items():
         out[ord(letter)] = kind
-    return out
+    return zlib.compress(out.tobytes())
+
+
+@lru_cache(1)
+def class_table(compressed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(compressed), np.uint8)
 
 
 def inputs_of(classes: np.ndarray, n: int, first: np.ndarray) -> np.ndarray:
@@ -148,9 +157,9 @@ def inputs_of(classes: np.ndarray, n: int, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def pre_token_starts(text: str, text_starts: np.ndarray) -> np.ndarray:
+def pre_token_starts(text: str, text_starts: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Positions in `text` at which pre-tokens start; `text` joins several texts, each starting anew."""
-    tables, classes = functions(), code_point_classes()
+    tables = functions()
     found, state = [], NEW
     for at in range(0, len(text), CHUNK):
         part = np.frombuffer(text[at : at + CHUNK + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -247,14 +256,11 @@ class PieceIds(dict):
 
 
 class Vocabulary:
-    """Ranks of a public vocabulary, read once on the driver; half a megabyte that travels with the tasks."""
+    """Ranks of a public vocabulary and the classes of code points, read once on the driver; half a megabyte that
+    travels with the tasks. Each worker unpacks them once."""
 
     def __init__(self, path: str):
-        self.raw = Path(path).read_bytes()
-
-    @property
-    def ranks(self) -> dict[bytes, int]:
-        return ranks_of(self.raw)
+        self.raw, self.classes = Path(path).read_bytes(), code_point_classes()
 
 
 @lru_cache(4)
@@ -276,14 +282,14 @@ def pieces_of(raw: bytes) -> PieceIds:
     return PieceIds(ranks_of(raw))
 
 
-def encode_texts(texts: list[str], raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in order, and where each text's ids start, with the end as the last entry."""
     lengths = np.array([len(t) for t in texts], np.int64)
     text_starts = np.concatenate([[0], np.cumsum(lengths)])
     joined = "".join(texts)
-    starts = pre_token_starts(joined, np.unique(text_starts[:-1][lengths > 0]))
+    starts = pre_token_starts(joined, np.unique(text_starts[:-1][lengths > 0]), class_table(vocabulary.classes))
     edges = [*starts.tolist(), len(joined)]
-    ids, counts = pieces_of(raw).of([joined[a:b] for a, b in zip(edges, edges[1:])])
+    ids, counts = pieces_of(vocabulary.raw).of([joined[a:b] for a, b in zip(edges, edges[1:])])
     bounds = np.concatenate([[0], np.cumsum(counts)])
     return ids, bounds[np.searchsorted(starts, text_starts)]
 
@@ -303,19 +309,19 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
     """`docs` with the token `ids` of each text and the byte `offsets` at which they start in its UTF-8 form.
 
     A null or empty text has no ids. Special tokens are ordinary text. All columns stay; `ids` and `offsets`
-    must be new names. One pass without a shuffle: memory follows a batch of 2 million code points or the longest text.
+    must be new names. One pass without a shuffle: memory follows a batch of half a million code points or the longest text.
     """
     unused(docs, ids, offsets)
-    raw = Vocabulary(vocabulary).raw
+    model = Vocabulary(vocabulary)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(offsets, T.ArrayType(T.LongType()))])
 
     def run(batches):
-        _, lengths = tokens_of(raw)
+        _, lengths = tokens_of(model.raw)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in batches_of(texts):
-                values, bounds = encode_texts(texts[a:b], raw)
+                values, bounds = encode_texts(texts[a:b], model)
                 ends = np.concatenate([[0], np.cumsum(lengths[values])])
                 counts = np.diff(bounds)
                 places = ends[:-1] - np.repeat(ends[bounds[:-1]], counts)

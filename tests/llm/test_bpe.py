@@ -9,18 +9,18 @@ import tiktoken
 from loomgraph.llm import bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
-RAW = bpe.Vocabulary(PATH).raw
+MODEL = bpe.Vocabulary(PATH)
 PIECES = ["a", "s", "t", "e", "l", "r", "'", "''", "'s", "'re", "'ll", "'v", " ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "1", "²"]
 PIECES += ["é", "日", "!", "?", "😀", "̀", "ǅ", "S", "՘", "<|endoftext|>", "the", " ing"]
 
 
 @pytest.fixture(scope="module")
 def library():
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(RAW), special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(MODEL.raw), special_tokens={})
 
 
 def both(library, texts):
-    ids, bounds = bpe.encode_texts(texts, RAW)
+    ids, bounds = bpe.encode_texts(texts, MODEL)
     got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
     assert got == [library.encode_ordinary(t) for t in texts]
 
