@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, decontaminate, html_text, language_model, line_dedup, mixing, pii, simhash, toxicity, vector_dedup
+from loomgraph.llm import bpe, chat, decontaminate, html_text, language_model, line_dedup, mixing, pii, prefix_trie, simhash, toxicity, vector_dedup
 from loomgraph.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -197,3 +197,63 @@ def op12_byte_bpe(spark: SparkSession, path: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, path: str) -> DataFrame:
+    turns = prefix_trie.turn_keys(table(spark, path, "conversations"))
+    return prefix_trie.prefix_trie(rebuilt_turns(turns))
+
+
+def rebuilt_turns(turns: DataFrame) -> DataFrame:
+    """Conversation c starts with the first h turns of conversation c - c % 20 and goes on with its own turns after its first h."""
+    in_order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "key")
+    placed = turns.filter("conv_id IS NOT NULL").withColumn("turn", F.row_number().over(in_order) - 1)
+
+    def head(c):
+        return F.crc32(c.cast("string").cast("binary")) % 4
+
+    heir = F.transform(F.sequence(F.lit(-19), F.lit(19)), lambda i: F.col("conv_id") + i)
+    heir = F.filter(heir, lambda c: (c - c % 20 == F.col("conv_id")) & (head(c) > F.col("turn")))
+    turn, words = F.col("turn").cast("long").alias("turn"), F.col("words").alias("words")
+    lent = F.transform(heir, lambda c: F.struct(c.alias("conv_id"), turn, F.col("key").alias("key"), words))
+    kept = F.when(F.col("turn") >= head(F.col("conv_id")), F.col("key")).alias("key")
+    own = F.array(F.struct("conv_id", turn, kept, words))
+    lends = (F.col("conv_id") % 20 == 0) & (F.col("turn") < 3)
+    rows = placed.select(F.inline(F.when(lends, F.concat(own, lent)).otherwise(own)))
+    there = turns.select("conv_id").distinct()
+    return rows.join(there, "conv_id", "left_semi")
+
+
+# crc32 of the digits of a number, bit by bit
+CRC = """(4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))))"""
+
+ORACLES["op13_prefix_trie"] = rf"""
+WITH turns AS (
+    SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+    FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) - 1 AS pos FROM turns),
+heads AS (SELECT c, {CRC.format('c')} % 4 AS h FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (
+    SELECT h.c, p.pos, p.k, p.text FROM heads h JOIN placed p ON p.c = h.c - h.c % 20 AND p.pos < h.h
+    UNION ALL SELECT h.c, p.pos, p.k, p.text FROM heads h JOIN placed p ON p.c = h.c AND p.pos >= h.h),
+paths AS (
+    SELECT c, text, row_number() OVER w AS depth, string_agg(k, '') OVER w AS node
+    FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+every AS (
+    SELECT c, depth, node, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM paths
+    UNION ALL SELECT c, 0, '', 0 FROM heads),
+last AS (SELECT c, max(depth) AS depth FROM every GROUP BY c),
+nodes AS (
+    SELECT e.node, any_value(e.depth) AS depth, min(e.c) AS conv_id, count(*) AS n_convs, any_value(e.words) AS words,
+        sha256(coalesce(string_agg(e.c::VARCHAR, ',' ORDER BY e.c) FILTER (l.depth = e.depth), '')) AS ends_sha256
+    FROM every e JOIN last l USING (c) GROUP BY e.node),
+children AS (SELECT n.*, n.node[:-33] AS parent, (SELECT count(*) FROM nodes m WHERE m.depth = n.depth + 1 AND m.node[:-33] = n.node) AS n_children FROM nodes n),
+below AS (
+    SELECT left(node, 32 * d::INT) AS top, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+    FROM (SELECT *, unnest(range(depth + 1)) AS d FROM children) GROUP BY top)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+FROM children c JOIN below ON below.top = c.node LEFT JOIN children p ON c.depth > 0 AND p.node = c.parent"""
