@@ -14,7 +14,7 @@ import base64
 import heapq
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -305,58 +305,74 @@ def batches_of(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def encode_batches(batches: Iterable[pa.RecordBatch], model: Vocabulary, at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches with ids and offsets of column `at`, in parts of bounded text."""
+    _, lengths = tokens_of(model.raw)
+    for batch in batches:
+        texts = [t or "" for t in batch.column(at).to_pylist()]
+        for a, b in batches_of(texts):
+            values, bounds = encode_texts(texts[a:b], model)
+            ends = np.concatenate([[0], np.cumsum(lengths[values])])
+            places = ends[:-1] - np.repeat(ends[bounds[:-1]], np.diff(bounds))
+            bounds = pa.array(bounds, pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(v, pa.int32())) for v in (values, places)]
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([*part.columns, *lists], names=[*part.schema.names, *names])
+
+
+def decode_batches(batches: Iterable[pa.RecordBatch], raw: bytes, at: int, place: int, name: str) -> Iterator[pa.RecordBatch]:
+    """Batches with the bytes of the ids in column `at`, whose offsets are in column `place`."""
+    tokens, lengths = tokens_of(raw)
+    for batch in batches:
+        out = []
+        for i in range(batch.num_rows):
+            row, told = batch.column(at)[i].values, batch.column(place)[i].values
+            given = row.to_numpy() if row is not None else np.empty(0, np.int32)
+            starts = told.to_numpy() if told is not None else np.empty(0, np.int32)
+            sizes = lengths[given]
+            if len(starts) != len(given) or not np.array_equal(starts, np.cumsum(sizes) - sizes):
+                raise ValueError("offsets do not fit the ids")
+            out.append(b"".join(map(tokens.__getitem__, given.tolist())))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, name])
+
+
+def with_fields(df: DataFrame, **kinds: T.DataType) -> T.StructType:
+    unused(df, *kinds)
+    return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in kinds.items())])
+
+
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", offsets: str = "offsets") -> DataFrame:
     """`docs` with the token `ids` of each text and the byte `offsets` at which they start in its UTF-8 form.
 
-    A null or empty text has no ids. Special tokens are ordinary text. All columns stay; `ids` and `offsets`
-    must be new names. One pass without a shuffle: memory follows a batch of half a million code points or the longest text.
+    A null or empty text has no ids. Special tokens are ordinary text. All columns and rows stay; `ids` and `offsets`
+    must be new names. One pass without a shuffle: memory follows a part of half a million code points or the longest text.
     """
-    unused(docs, ids, offsets)
-    model = Vocabulary(vocabulary)
-    at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(offsets, T.ArrayType(T.LongType()))])
-
-    def run(batches):
-        _, lengths = tokens_of(model.raw)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in batches_of(texts):
-                values, bounds = encode_texts(texts[a:b], model)
-                ends = np.concatenate([[0], np.cumsum(lengths[values])])
-                counts = np.diff(bounds)
-                places = ends[:-1] - np.repeat(ends[bounds[:-1]], counts)
-                bounds = pa.array(bounds, pa.int32())
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.ListArray.from_arrays(bounds, pa.array(values)), pa.ListArray.from_arrays(bounds, pa.array(places))],
-                    names=[*part.schema.names, ids, offsets],
-                )
-
-    return docs.mapInArrow(run, schema)
+    model, at = Vocabulary(vocabulary), docs.columns.index(text)
+    schema = with_fields(docs, **{ids: T.ArrayType(T.IntegerType()), offsets: T.ArrayType(T.IntegerType())})
+    return docs.mapInArrow(lambda batches: encode_batches(batches, model, at, [ids, offsets]), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", offsets: str = "offsets", decoded: str = "decoded") -> DataFrame:
     """`encoded` with the bytes that its `ids` stand for; null ids give no bytes, an id outside the vocabulary fails.
 
-    The kept `offsets` say where each token's bytes start; they must agree with the lengths of the tokens.
+    The kept `offsets` say where each token's bytes start; they must agree with the lengths of the tokens. Spark hands over
+    `spark.sql.execution.arrow.maxRecordsPerBatch` rows at a time: lower it where documents have many tokens.
     """
-    unused(encoded, decoded)
-    raw = Vocabulary(vocabulary).raw
-    at, place = encoded.columns.index(ids), encoded.columns.index(offsets)
-    schema = T.StructType([*encoded.schema.fields, T.StructField(decoded, T.BinaryType())])
+    raw, at, place = Vocabulary(vocabulary).raw, encoded.columns.index(ids), encoded.columns.index(offsets)
+    schema = with_fields(encoded, **{decoded: T.BinaryType()})
+    return encoded.mapInArrow(lambda batches: decode_batches(batches, raw, at, place, decoded), schema)
+
+
+def round_trip(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+    """`docs` without the text, with its `ids`, `offsets` and the bytes `decoded` from them, in one pass: the parts of a
+    batch are encoded and decoded one after the other, so no more than one of them is held."""
+    model, at = Vocabulary(vocabulary), docs.columns.index(text)
+    n = len(docs.columns)
+    schema = with_fields(docs, ids=T.ArrayType(T.IntegerType()), offsets=T.ArrayType(T.IntegerType()), decoded=T.BinaryType())
 
     def run(batches):
-        tokens, lengths = tokens_of(raw)
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                row, told = batch.column(at)[i].values, batch.column(place)[i].values
-                given = row.to_numpy() if row is not None else np.empty(0, np.int32)
-                starts = told.to_numpy() if told is not None else np.empty(0, np.int64)
-                sizes = lengths[given]
-                if len(starts) != len(given) or not np.array_equal(starts, np.cumsum(sizes) - sizes):
-                    raise ValueError("offsets do not fit the ids")
-                out.append(b"".join(map(tokens.__getitem__, given.tolist())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, decoded])
-
-    return encoded.mapInArrow(run, schema)
+        encoded = encode_batches(batches, model, at, ["ids", "offsets"])
+        for part in decode_batches(encoded, model.raw, n, n + 1, "decoded"):
+            yield part.drop_columns([text])
+
+    return docs.mapInArrow(run, T.StructType([f for f in schema.fields if f.name != text]))

@@ -57,8 +57,11 @@ def test_long_runs_without_a_boundary(library):
 def test_round_trip_in_spark(spark, library):
     texts = ["Ein Text, it's fine.\n\n", None, "", "日本 'll 😀" * 400, "  twice", "  twice"]
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, decoded_text string, size string")
-    rows = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
+    encoded = bpe.decode(bpe.encode(docs, PATH), PATH)
+    rows = encoded.collect()
     assert len(rows) == len(texts)
+    both_ways = bpe.round_trip(docs, PATH)
+    assert sorted(both_ways.collect()) == sorted(encoded.select(both_ways.columns).collect())
     for r in rows:
         assert r.ids == library.encode_ordinary(texts[r.doc_id] or "")
         assert bytes(r.decoded).decode() == (texts[r.doc_id] or "")
