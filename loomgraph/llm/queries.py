@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, decontaminate, html_text, language_model, line_dedup, mixing, pii, prefix_trie, simhash, toxicity, vector_dedup
+from loomgraph.llm import bpe, chat, decontaminate, html_text, language_model, line_dedup, mixing, pii, pipelined_search, prefix_trie, simhash, toxicity, vector_dedup
 from loomgraph.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -184,13 +184,39 @@ def op10_simhash(spark: SparkSession, path: str) -> DataFrame:
     return groups.select("doc_id", printed.alias("fingerprint"), "component_id", "kept")
 
 
+@query
+def op11_ranked_search(spark: SparkSession, path: str) -> DataFrame:
+    return pipelined_search.ranked_search(table(spark, path, "documents"), table(spark, path, "benchmark"), top=50)
+
+
+ORACLES["op11_ranked_search"] = rf"""
+WITH terms AS (
+    SELECT r, doc_id, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark),
+counts AS (SELECT r, doc_id, term, count(*)::BIGINT AS tf FROM terms GROUP BY ALL),
+lengths AS (SELECT r, sum(tf)::BIGINT AS n FROM counts GROUP BY r),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM lengths),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counts, totals WHERE term IN (SELECT term FROM asked) GROUP BY term, docs),
+scores AS (
+    SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (r), totals GROUP BY item_id, r, doc_id),
+ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+    FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50"""
+
+
 @query
 def op12_byte_bpe(spark: SparkSession, path: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(table(spark, path, "documents").select("doc_id", "text"), vocabulary)
-    done = bpe.decode(encoded.drop("text"), vocabulary)
+    done = bpe.round_trip(table(spark, path, "documents").select("doc_id", "text"), vocabulary)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
