@@ -6,6 +6,7 @@ from loomgraph.binding import OrdersBinding
 from loomgraph.catalog.base import query, table
 from loomgraph.operators import search as S
 from loomgraph.operators import sets
+from loomgraph.operators import vector_index as I
 from loomgraph.operators import vectors as V
 
 _TOK = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -158,16 +159,32 @@ def exact_top_k(spark, path):
     return near.select("qid", "vid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+_ASKED_BEST = f"""SELECT a.vec_id AS qid, b.vec_id AS vid, b.label, {_COS} AS score,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS n FROM unit a, unit b WHERE a.vec_id % 100 = 0"""
+
+
+def _asked(vec):
+    return vec.filter("vid % 100 = 0").select(F.col("vid").alias("qid"), "embedding")
+
+
 @query(
     "v03_hashed_search",
-    f"""SELECT b.vec_id AS vid, b.label, round({_COS}, 6) AS score FROM unit a, unit b WHERE a.vec_id = 0 ORDER BY {_COS} DESC, 1 LIMIT 10""",
-    {"unit": _UNIT},
+    """SELECT qid, vid, label, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid) AS rank
+        FROM best WHERE n <= 20 AND label IN (0, 2, 4, 6, 8) QUALIFY rank <= 10""",
+    {"unit": _UNIT, "best": _ASKED_BEST},
 )
-def hashed_search(spark, path):
-    """Buckets wider than a projection of unit vectors, so that the tables lose none of the true neighbours."""
+def index_search(spark, path):
+    """Every hundredth vector asks the index; cells beyond the probed ones are visited where they can matter."""
+    vec = _vectors(spark, path)
+    hits = V.index_search(I.build_index(vec.select("vid", "embedding")), vec, _asked(vec), 10, {"label": [0, 2, 4, 6, 8], "unknown": 1}, exact=True)
+    return hits.select("qid", "vid", "label", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("v03_probed_search")
+def probed_search(spark, path):
+    """The default number of probes alone, which may lose some neighbours; its recall is tested against all pairs."""
     vec = _vectors(spark, path)
-    asked = vec.filter("vid = 0").first()
-    return V.hashed_search(vec, list(asked["embedding"]), 10, bucket=4.0, tables=32).select("vid", "label", F.round("score", 6).alias("score"))
+    return I.search(I.build_index(vec.select("vid", "embedding")), _asked(vec), 10)
 
 
 @query(
@@ -178,9 +195,8 @@ def hashed_search(spark, path):
 )
 def post_filter(spark, path):
     vec = _vectors(spark, path)
-    near = V.top_k_cosine(vec.filter("vid = 0").select(F.col("vid").alias("qid"), "embedding"), vec, vec.count())
-    hits = near.join(vec.select("vid", "label"), "vid")
-    kept = V.post_filter(hits, {"label": [1, 3, 5], "unknown": 7})
+    scored = V.scored_against(vec, list(vec.filter("vid = 0").first()["embedding"]))
+    kept = V.post_filter(scored, {"label": [1, 3, 5], "unknown": 7})
     return kept.orderBy(F.desc("score"), "vid").limit(20).select("vid", "label", F.round("score", 6).alias("score"))
 
 
@@ -197,7 +213,7 @@ def hybrid_context(spark, path):
     docs = table(spark, path, "documents")
     vec = _vectors(spark, path)
     text_hits = S.text_search(_docs(spark, path), "the thing", "doc_id")
-    near = V.top_k_cosine(vec.filter("vid = 3").select(F.col("vid").alias("qid"), "embedding"), vec, 15)
+    near = V.scored_against(vec, list(vec.filter("vid = 3").first()["embedding"])).orderBy(F.desc("score"), "vid").limit(15)
     best = V.hybrid_ranking(text_hits, near.select(F.col("vid").alias("doc_id"), "score"), "doc_id", 15)
     none = F.lit(None).cast("string")
     ctx = V.context_text(F.col("source"), F.col("doc_id").cast("string"), F.col("lang"), none, F.col("text"), none)

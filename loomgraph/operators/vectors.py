@@ -1,24 +1,17 @@
-"""Vector search: exact blocked top-k, hashed search, filters and hybrid ranking."""
+"""Vector search over an inverted file: exact and probed top k, filters and hybrid ranking."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import let
+from loomgraph.operators import vector_index
 from loomgraph.runtime import top_k_per_group
 
-# most query vectors that travel with the task closure; larger sets use the block grid
-QUERY_BLOCK = 4096
-VECTOR_BLOCK = 65536
-
 
 def unit(c: Column) -> Column:
     """L2-normalised vector; a zero vector stays zero."""
@@ -36,83 +29,27 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _matrix(values: pd.Series) -> np.ndarray:
-    m = np.array(values.tolist(), dtype=np.float64)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norm == 0, 1.0, norm)
-
-
-def _best(qids: np.ndarray, vids: np.ndarray, scores: np.ndarray, k: int, drop_self: bool) -> pd.DataFrame:
-    """Top k columns of every row of a score block; equal scores keep the smaller id."""
-    if drop_self:
-        scores = np.where(qids[:, None] == vids[None, :], -np.inf, scores)
-    order = np.argsort(vids, kind="stable")
-    scores, vids = scores[:, order], vids[order]
-    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(qids)), top.shape[1])
-    out = pd.DataFrame({"qid": qids[rows], "vid": vids[top.ravel()], "score": scores[rows, top.ravel()]})
-    return out[np.isfinite(out["score"])]
+def top_k_cosine(queries: DataFrame, vectors: DataFrame, k: int, drop_self: bool = False) -> DataFrame:
+    """Exact top k by cosine of every query: `queries(qid, embedding)`, `vectors(vid, embedding)`, bigint ids.
 
+    The vectors are indexed by cell; a query meets only the cells that can hold one of its best. Keep the index with
+    `vector_index.build_index` where many searches follow.
+    """
+    return vector_index.search(vector_index.build_index(vectors), queries, k, exact=True, drop_self=drop_self)
 
-def top_k_cosine(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    drop_self: bool = False,
-    query_block: int = QUERY_BLOCK,
-    vector_block: int = VECTOR_BLOCK,
-) -> DataFrame:
-    """Exact top k by cosine: `queries(qid, embedding)`, `vectors(vid, embedding)`, bigint ids.
 
-    Up to `query_block` queries are shipped to the vectors, which are then
-    scanned once without a shuffle. Beyond that both sides are cut into blocks
-    and each (query block, vector block) cell is one task of bounded size.
-    Cells emit only their own top k, merged by a second round.
-    """
-    schema = "qid bigint, vid bigint, score double"
-    head = queries.limit(query_block + 1).toPandas()
-    if len(head) <= query_block:
-        if head.empty:
-            return queries.sparkSession.createDataFrame([], schema + ", rank int")
-        qids, qmat = head["qid"].to_numpy(), _matrix(head["embedding"])
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                part = _best(qids, pdf["vid"].to_numpy(), qmat @ _matrix(pdf["embedding"]).T, k, drop_self)
-                both = part if best is None else pd.concat([best, part])
-                both = both.sort_values(["qid", "score", "vid"], ascending=[True, False, True])
-                best = both.groupby("qid", sort=False).head(k)
-            if best is not None:
-                yield best
-
-        partial = vectors.select("vid", "embedding").mapInPandas(scan, schema)
-    else:
-        nq = math.ceil(queries.count() / query_block)
-        nv = math.ceil(vectors.count() / vector_block)
-        q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)))
-        q = q.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nv - 1).cast("bigint"))))
-        # a fresh name, since both sides may come from the same table
-        v = vectors.select("vid", F.col("embedding").alias("vec")).withColumn("vb", F.pmod(F.xxhash64("vid"), F.lit(nv)))
-        v = v.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))))
-
-        def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame({"qid": [], "vid": [], "score": []})
-            scores = _matrix(left["embedding"]) @ _matrix(right["vec"]).T
-            return _best(left["qid"].to_numpy(), right["vid"].to_numpy(), scores, k, drop_self)
-
-        partial = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(cell, schema)
-    return top_k_per_group(partial, ["qid"], [F.desc("score"), F.col("vid")], k)
+def scored_against(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
+    """`vectors` with their cosine to one query as `score`; filter and cut it like any other column."""
+    norm = math.sqrt(sum(x * x for x in query)) or 1.0
+    target = F.array(*[F.lit(x / norm) for x in query])
+    return vectors.withColumn("score", cosine(unit(F.col("embedding")), target))
 
 
 def candidate_pairs(vectors: DataFrame, k: int = 8, threshold: float = 0.45) -> DataFrame:
-    """Nearest-neighbour pairs `(a, b, score)`, each kept once with a < b."""
+    """Nearest-neighbour pairs `(a, b, score)` among each vector's best `k`, each kept once with a < b."""
     asked = vectors.select(F.col("vid").alias("qid"), "embedding")
-    near = top_k_cosine(asked, vectors, k, drop_self=True)
-    near = near.filter((F.col("vid") > F.col("qid")) & (F.col("score") >= threshold))
+    near = vector_index.search(vector_index.build_index(vectors), asked, k, exact=True, drop_self=True, least=threshold)
+    near = near.filter(F.col("vid") > F.col("qid"))
     return near.select(F.col("qid").alias("a"), F.col("vid").alias("b"), "score")
 
 
@@ -125,29 +62,19 @@ def post_filter(hits: DataFrame, filters: Mapping[str, object]) -> DataFrame:
     return hits
 
 
-def hashed_search(
+def index_search(
+    index: vector_index.VectorIndex,
     vectors: DataFrame,
-    query: Sequence[float],
+    queries: DataFrame,
     k: int,
     filters: Mapping[str, object] | None = None,
-    bucket: float = 0.5,
-    tables: int = 8,
-    seed: int = 42,
+    probes: int = vector_index.PROBES,
+    exact: bool = False,
 ) -> DataFrame:
-    """Approximate top k of one query: random projections, 2k over-fetch, filter, cut.
-
-    The score is 1 - L2^2 / 2 on unit vectors, which is the cosine.
-    """
-    from pyspark.ml.linalg import Vectors
-
-    norm = math.sqrt(sum(x * x for x in query)) or 1.0
-    target = Vectors.dense([x / norm for x in query])
-    data = vectors.withColumn("_v", array_to_vector(unit(F.col("embedding"))))
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=seed)
-    model = lsh.fit(data)
-    near = model.approxNearestNeighbors(data, target, 2 * k, distCol="_d")
-    hits = near.withColumn("score", 1 - F.col("_d") * F.col("_d") / 2).drop("_v", "_h", "_d")
-    return post_filter(hits, filters or {}).orderBy(F.desc("score"), "vid").limit(k)
+    """Top k of every query with the columns of `vectors`: twice as many from the index, then the filter, then the cut."""
+    hits = vector_index.search(index, queries, 2 * k, probes, exact).drop("rank")
+    named = hits.join(vectors.drop("embedding"), "vid")
+    return top_k_per_group(post_filter(named, filters or {}), ["qid"], [F.desc("score"), F.col("vid")], k)
 
 
 def hybrid_ranking(text_hits: DataFrame, vector_hits: DataFrame, key: str, k: int) -> DataFrame:

@@ -126,24 +126,6 @@ def test_connected_components(spark, seed):
     assert got == {i: find(i) for i in range(n)}
 
 
-def test_top_k_cosine_grid_equals_closure(spark):
-    rng = np.random.default_rng(0)
-    data = rng.normal(size=(60, 5))
-    data[7] = 0
-    vec = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vid bigint, embedding array<double>")
-    asked = vec.select(F.col("vid").alias("qid"), "embedding")
-    norm = np.linalg.norm(data, axis=1, keepdims=True)
-    unit = data / np.where(norm == 0, 1, norm)
-    scores = unit @ unit.T
-    np.fill_diagonal(scores, -np.inf)
-    for block in (4096, 16):
-        got = V.top_k_cosine(asked, vec, 4, True, query_block=block, vector_block=13).collect()
-        for q in range(60):
-            want = sorted(range(60), key=lambda j: (-round(scores[q, j], 12), j))[:4]
-            mine = [r["vid"] for r in sorted((r for r in got if r["qid"] == q), key=lambda r: r["rank"])]
-            assert np.allclose([scores[q, j] for j in mine], [scores[q, j] for j in want])
-
-
 def results(spark, gold, pred):
     rows = []
     for side, table in (("gold", gold), ("pred", pred)):
