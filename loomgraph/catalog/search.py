@@ -6,6 +6,7 @@ from loomgraph.binding import OrdersBinding
 from loomgraph.catalog.base import query, table
 from loomgraph.operators import search as S
 from loomgraph.operators import sets
+from loomgraph.operators import text_index as TI
 from loomgraph.operators import vector_index as I
 from loomgraph.operators import vectors as V
 
@@ -35,6 +36,10 @@ def _docs(spark, path):
     return table(spark, path, "documents").select("doc_id", "text")
 
 
+def _index(spark, path):
+    return TI.build_text_index(_docs(spark, path), "doc_id")
+
+
 @query(
     "t01_text_search",
     f"SELECT doc_id, round(score, 6) AS score FROM ({_bm25('documents', 'doc_id', ['the', 'thing', 'und'])}) ORDER BY score DESC, doc_id LIMIT 50",
@@ -70,8 +75,25 @@ def search_items(spark, path):
 )
 def search_many(spark, path):
     asked = spark.createDataFrame([("q1", "the and"), ("q2", "Elle que")], "qid string, query string")
-    hits = S.search_many(_docs(spark, path), asked, "doc_id", 20)
-    return hits.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    hits = TI.search_many(_index(spark, path), asked, 20)
+    return hits.select("qid", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+_BENCH_SEARCH = f"""WITH words AS (SELECT doc_id, {_TOK} AS w FROM documents),
+    counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM counts GROUP BY 1),
+    asked AS (SELECT DISTINCT item_id AS qid, unnest({_TOK}) AS term FROM benchmark),
+    scores AS (SELECT qid, c.doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(w) / mean))) AS score
+        FROM asked JOIN counts c USING (term) JOIN df USING (term) JOIN words w USING (doc_id), (SELECT count(*) AS n, avg(len(w)) AS mean FROM words) GROUP BY 1, 2)
+    SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores QUALIFY rank <= 10"""
+
+
+@query("t01_index_search", _BENCH_SEARCH)
+def index_text_search(spark, path):
+    """Every benchmark text asks the stored postings of all documents."""
+    asked = table(spark, path, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    hits = TI.search_many(_index(spark, path), asked, 10)
+    return hits.select("qid", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("t02_contains_fallback", "SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE contains(text, 'thing') ORDER BY doc_id LIMIT 20")
@@ -88,10 +110,19 @@ def contains_fallback(spark, path):
 def supplement(spark, path):
     g = OrdersBinding(spark, path)
     few = g.relation("family").filter("family_id = '42-1998'").select("item_id")
-    text_hits = S.text_search(g.texts(), "red anvil", "item_id", 0.3)
+    text_hits = TI.search(TI.build_text_index(g.texts()), "red anvil", minimum=0.3)
     return S.supplement(few, [text_hits], "item_id", minimum=10_000)
 
 
+@query("t03_supplement_enough", "SELECT item_id, 0 AS source FROM family WHERE family_id LIKE '%-1998'")
+def supplement_enough(spark, path):
+    """As many results as asked for: the search adds nothing."""
+    g = OrdersBinding(spark, path)
+    few = g.relation("family").filter("family_id LIKE '%-1998'").select("item_id")
+    text_hits = S.text_search(g.texts(), "red anvil", "item_id", 0.3)
+    return S.supplement(few, [text_hits], "item_id", minimum=10)
+
+
 @query(
     "t04_tfidf_weights",
     f"""WITH words AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY 1, 2),
@@ -129,7 +160,7 @@ def rank_with_keywords(spark, path):
     from loomgraph.operators.ranking import rank_target
 
     g = OrdersBinding(spark, path)
-    return rank_target(g, "orgs", n=10, base=S.search_then_filter(g, "hot gear", {}))
+    return rank_target(g, "orgs", n=10, base=S.search_then_filter(g, "hot gear", {}, hits=TI.search(TI.build_text_index(g.texts()), "hot gear")))
 
 
 def _vectors(spark, path):
@@ -212,7 +243,7 @@ def post_filter(spark, path):
 def hybrid_context(spark, path):
     docs = table(spark, path, "documents")
     vec = _vectors(spark, path)
-    text_hits = S.text_search(_docs(spark, path), "the thing", "doc_id")
+    text_hits = TI.search(_index(spark, path), "the thing", 15)
     near = V.scored_against(vec, list(vec.filter("vid = 3").first()["embedding"])).orderBy(F.desc("score"), "vid").limit(15)
     best = V.hybrid_ranking(text_hits, near.select(F.col("vid").alias("doc_id"), "score"), "doc_id", 15)
     none = F.lit(None).cast("string")

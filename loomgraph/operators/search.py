@@ -16,7 +16,7 @@ from loomgraph.binding import GraphBinding
 from loomgraph.operators.filters import FLAG_KEYS, FULLTEXT_KEYS, filtered_items
 from loomgraph.operators.joins import with_neighbours
 from loomgraph.operators.sets import merge_results
-from loomgraph.runtime import cut_lineage, top_k_per_group, with_scalars
+from loomgraph.runtime import with_scalars
 
 # fixed values: BM25 parameters
 BM25_K1 = 1.2
@@ -47,14 +47,14 @@ def _bm25(tf: Column, df: Column, n: Column, length: Column, mean: Column) -> Co
 def text_search(texts: DataFrame, query: str, key: str = "item_id", minimum: float = 0.0) -> DataFrame:
     """Documents that hold a query word, with their BM25 score above `minimum`.
 
-    Term frequencies are computed row by row and kept as a few numbers per
-    document, so the texts are read and split once; only the collection
-    statistics (one row) are aggregated and no postings are shuffled.
+    One search over texts that are not indexed: term frequencies are computed row by row, only the collection
+    statistics (one row) are aggregated, and a shuffle below `texts` serves both. Many searches over the same texts
+    should use `text_index`.
     """
     words = keywords_of(query)
     docs = texts.select(key, tokens(F.col("text")).alias("w"))
     tf = [_occurrences("w", t).alias(f"tf{i}") for i, t in enumerate(words)]
-    docs = cut_lineage(docs.select(key, F.size("w").alias("length"), *tf))
+    docs = docs.select(key, F.size("w").alias("length"), *tf)
     stats = docs.agg(
         F.count("*").alias("n"),
         F.avg("length").alias("mean"),
@@ -70,32 +70,6 @@ def text_search(texts: DataFrame, query: str, key: str = "item_id", minimum: flo
     return scored.select(key, score.alias("score")).filter(F.col("score") > minimum)
 
 
-def postings(texts: DataFrame, key: str) -> DataFrame:
-    """`(term, key, tf, length)`, the table to store when many searches follow."""
-    docs = texts.select(key, tokens(F.col("text")).alias("w"))
-    words = docs.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
-    return words.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
-def search_many(texts: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
-    """Top k per query for a table of queries `(qid, query)`.
-
-    Postings are cut to the asked terms before they are grouped; the top k is
-    taken in salted sub-groups first.
-    """
-    asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    docs = texts.select(key, tokens(F.col("text")).alias("w")).withColumn("length", F.size("w"))
-    size = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    words = docs.select(key, "length", F.explode("w").alias("term"))
-    words = words.join(asked.select("term").distinct(), "term", "left_semi")
-    post = words.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    part = _bm25(F.col("tf"), F.col("df"), F.col("g.n"), F.col("length"), F.col("g.mean"))
-    scored = with_scalars(post.join(df, "term"), size).withColumn("part", part)
-    hits = scored.join(asked, "term").groupBy("qid", key).agg(F.sum("part").alias("score"))
-    return top_k_per_group(hits, ["qid"], [F.desc("score"), F.col(key)], k)
-
-
 def contains_search(texts: DataFrame, query: str, key: str, k: int) -> DataFrame:
     """Fallback: the first keyword as a substring, every score 1.0."""
     first = query.split()[0] if query.split() else ""
@@ -112,15 +86,24 @@ def search_items(graph: GraphBinding, query: str, k: int = 20, minimum: float =
 
 
 def search_then_filter(
-    graph: GraphBinding, query: str, filters: Mapping[str, object], minimum: float = 0.0, keep: str | None = None
+    graph: GraphBinding,
+    query: str,
+    filters: Mapping[str, object],
+    minimum: float = 0.0,
+    keep: str | None = None,
+    hits: DataFrame | None = None,
 ) -> DataFrame:
-    """Text hits first, then the structured filters that act on this path; others are ignored."""
+    """Text hits first, then the structured filters that act on this path; others are ignored.
+
+    `hits(item_id, score)` come from an index where there is one, else the texts of the graph are searched.
+    """
     active = {k: v for k, v in filters.items() if k in FULLTEXT_KEYS}
     for key in FLAG_KEYS:
         if active.get(key) is False and key != "has_transfer":
             active.pop(key)
     flags = any(active.get(k) is not None for k in FLAG_KEYS)
-    hits = text_search(graph.texts(), query, "item_id", minimum)
+    if hits is None:
+        hits = text_search(graph.texts(), query, "item_id", minimum)
     base = graph.items(counters=flags).join(hits, "item_id")
     return filtered_items(graph, active, keep=keep, base=base)
 
