@@ -7,7 +7,6 @@ compared by signed counts per (query, column order, row).
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -20,7 +19,8 @@ from loomgraph.functions.columns import let, strip
 from loomgraph.operators.filters import filtered_items, without_group
 from loomgraph.operators.ranking import exact_percentiles
 from loomgraph.operators.sets import jaccard, over_retrieval
-from loomgraph.runtime import with_scalars
+from loomgraph.operators.graph import connected_components
+from loomgraph.runtime import cut_lineage, with_scalars
 
 NULL_MARK = "\u0000"
 SEP = "\u0001"
@@ -72,17 +72,71 @@ def long_results(df: DataFrame, qid: str, side: str, columns: Sequence[str], ord
     return df.select(F.col(qid).alias("qid"), F.lit(side).alias("side"), F.col(order).alias("row_no"), values.alias("values"))
 
 
+def column_orders(gold: Sequence, pred: Sequence, gold_pairs: Mapping, pred_pairs: Mapping, equal: Mapping[int, int]) -> list[list[int]]:
+    """Orders of the predicted columns in which columns, and pairs of columns, agree as bags with the gold ones.
+
+    Columns are placed one after the other, each agreeing with those before it. Of predicted columns that are equal in
+    every row (`equal` names the first of each such class) only one is tried, since swapping them changes nothing.
+    Without pairs the columns alone decide.
+    """
+    n = len(gold)
+    if n != len(pred):
+        return []
+    out, todo = [], [[]]
+    while todo:
+        order = todo.pop()
+        i = len(order)
+        if i == n:
+            out.append(order)
+            continue
+        tried = set()
+        for j in range(n):
+            if j in order or pred[j] != gold[i] or equal.get(j, j) in tried:
+                continue
+            if all(gold_pairs.get((k, i)) == pred_pairs.get((order[k], j)) for k in range(i)):
+                tried.add(equal.get(j, j))
+                todo.append([*order, j])
+    return out
+
+
 @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
-def _column_orders(gold: pd.Series, pred: pd.Series) -> pd.Series:
-    """Orders of the predicted columns whose column fingerprints fit the gold columns."""
+def _column_orders(gold: pd.Series, pred: pd.Series, pairs: pd.Series) -> pd.Series:
+    def orders(g, p, told):
+        sides: dict[str, dict] = {"gold": {}, "pred": {}}
+        equal: dict[int, int] = {}
+        for t in told if told is not None else []:
+            sides[t["side"]][t["i"], t["j"]] = t["m"]
+            if t["side"] == "pred" and t["same"]:
+                equal[t["j"]] = min(equal.get(t["j"], t["j"]), t["i"])
+        return column_orders(list(g), list(p), sides["gold"], sides["pred"], equal)
+
+    return pd.Series([orders(*row) for row in zip(gold, pred, pairs)])
+
+
+def _bag_mark(*values: str | Column) -> list[Column]:
+    """Two sums of hashes that stand for a bag of rows."""
+    return [
+        F.sum(F.xxhash64(*values).cast("decimal(20,0)")).alias("h1"),
+        F.sum(F.xxhash64(*reversed(values), F.lit(1)).cast("decimal(20,0)")).alias("h2"),
+    ]
 
-    def orders(g, p):
-        if len(g) != len(p):
-            return []
-        choices = [[j for j, x in enumerate(p) if x == want] for want in g]
-        return [list(c) for c in itertools.product(*choices) if len(set(c)) == len(c)]
 
-    return pd.Series([orders(list(g), list(p)) for g, p in zip(gold, pred)])
+def _pair_marks(rows: DataFrame) -> DataFrame:
+    """`(qid, pairs(side, i, j, m, same))`: the bag of every pair of columns, and whether they are equal in all rows."""
+    n = F.size("values")
+    pairs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.transform(
+                F.sequence(F.lit(0), n - 1),
+                lambda j: F.struct(i.alias("i"), j.alias("j"), F.col("values")[i].alias("v"), F.col("values")[j].alias("w")),
+            ),
+        )
+    )
+    cells = rows.filter(n > 0).select("qid", "side", "pos", F.inline(pairs)).filter("i <> j")
+    marks = cells.groupBy("qid", "side", "i", "j").agg(*_bag_mark("pos", "v", "w"), F.bool_and(F.col("v") == F.col("w")).alias("same"))
+    pair = F.struct("side", "i", "j", F.concat_ws(":", "h1", "h2").alias("m"), "same")
+    return marks.groupBy("qid").agg(F.collect_list(pair).alias("pairs"))
 
 
 def execution_accuracy(queries: DataFrame, results: DataFrame) -> DataFrame:
@@ -93,7 +147,9 @@ def execution_accuracy(queries: DataFrame, results: DataFrame) -> DataFrame:
     is 0. If the gold text orders its rows, the row number is part of the row.
 
     Column orders are limited to those whose columns agree as bags (an exact
-    necessary condition), then every remaining order is checked row by row.
+    necessary condition); where several predicted columns agree with one gold
+    column, pairs of columns must agree as well and equal columns count as one.
+    Every remaining order is checked row by row.
     """
     q = queries.withColumn("same_text", F.trim("gold_text") == F.trim("pred_text"))
     q = q.withColumn("ordered", F.lower("gold_text").contains("order by"))
@@ -114,11 +170,7 @@ def execution_accuracy(queries: DataFrame, results: DataFrame) -> DataFrame:
     rows = rows.withColumn("pos", F.when(F.col("ordered"), F.col("row_no").cast("string")).otherwise(F.lit("")))
 
     cells = rows.select("qid", "side", "pos", F.posexplode("values").alias("col", "v"))
-    marks = [
-        F.sum(F.xxhash64("pos", "v").cast("decimal(20,0)")).alias("h1"),
-        F.sum(F.xxhash64("v", "pos", F.lit(1)).cast("decimal(20,0)")).alias("h2"),
-    ]
-    columns = cells.groupBy("qid", "side", "col").agg(*marks)
+    columns = cells.groupBy("qid", "side", "col").agg(*_bag_mark("pos", "v"))
     prints = columns.groupBy("qid").agg(
         *[
             F.transform(
@@ -128,7 +180,10 @@ def execution_accuracy(queries: DataFrame, results: DataFrame) -> DataFrame:
             for s in ("gold", "pred")
         ]
     )
-    orders = prints.select("qid", F.posexplode(_column_orders("gold", "pred")).alias("order_id", "order"))
+    unclear = prints.filter((F.size("gold") == F.size("pred")) & (F.size(F.array_distinct("pred")) < F.size("pred")))
+    pairs = _pair_marks(rows.join(unclear.select("qid"), "qid", "left_semi"))
+    prints = prints.join(pairs, "qid", "left")
+    orders = prints.select("qid", F.posexplode(_column_orders("gold", "pred", "pairs")).alias("order_id", "order"))
 
     tried = rows.join(orders, "qid")
     moved = F.when(F.col("side") == "gold", F.col("values")).otherwise(
@@ -218,12 +273,11 @@ def lenient_match_ordered(results: DataFrame) -> DataFrame:
 def lenient_match(results: DataFrame) -> DataFrame:
     """Each gold row's value set lies in a tool row of its own, as many rows on both sides.
 
-    Most queries are settled by counts: different numbers of rows, a gold set
-    that no tool row covers, or sets of one size, where "contained" means
-    "equal" and bags decide. Only what is left (tool rows wider than gold rows,
-    all gold rows covered) needs the assignment itself, which goes through the
-    gold rows in order and gives each the first free tool row; that is one
-    query's result per task.
+    Gold rows go in order and each takes the first free tool row that holds its values. Most queries are settled by
+    counts: different numbers of rows, a gold set that no tool row covers, or sets of one size, where "contained" means
+    "equal" and bags decide. The rest are split into components of the containment graph between distinct sets, found
+    through each set's rarest value; rows of different components never compete. A component with one gold or one tool
+    set is settled by its counts as well, so only rows with a choice are assigned one by one.
     """
     gold = _value_sets(results, "gold", True).withColumn("side", F.lit("gold"))
     pred = _value_sets(results, "pred", True).withColumn("side", F.lit("pred"))
@@ -242,26 +296,61 @@ def lenient_match(results: DataFrame) -> DataFrame:
         .when(F.coalesce("uncovered", F.lit(False)), 0)
         .when(F.col("min_w") == F.col("max_w"), F.col("bag_equal").cast("int"))
     )
-    state = state.select("qid", verdict.alias("match"))
+    state = cut_lineage(state.select("qid", verdict.alias("match")))
     rest = results.join(state.filter("match IS NULL").select("qid"), "qid", "left_semi")
-    rest = rest.select("qid", "side", "row_no", F.array_distinct(F.transform("values", normal_number)).alias("s"))
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_no")
-        free = [frozenset(s) for s in pdf.loc[pdf["side"] == "pred", "s"]]
+    assigned = _assigned_in_order(rest)
+    return state.filter("match IS NOT NULL").unionByName(assigned)
+
+
+def _assigned_in_order(results: DataFrame) -> DataFrame:
+    """`(qid, match)` of queries whose gold sets are all covered and whose sides have as many rows."""
+    values = F.array_sort(F.array_distinct(F.transform("values", normal_number)))
+    node = F.md5(F.to_json(F.struct("qid", "side", "s")).cast("binary"))
+    rows = cut_lineage(results.select("qid", "side", "row_no", values.alias("s")).withColumn("node", node))
+    sets = rows.groupBy("qid", "side", "node").agg(F.first("s").alias("s"), F.count("*").alias("n"))
+    gold, pred = (sets.filter(F.col("side") == side) for side in ("gold", "pred"))
+    where = pred.select("qid", F.explode("s").alias("v"), F.col("node").alias("holder"), F.col("s").alias("ps"))
+    rare = where.groupBy("qid", "v").agg(F.count("*").alias("df"))
+    cells = gold.select("qid", "node", "s", F.explode("s").alias("v")).join(rare, ["qid", "v"])
+    probe = cells.groupBy("qid", "node", "s").agg(F.min_by("v", F.struct("df", "v")).alias("v"))
+    fits = probe.join(where, ["qid", "v"]).filter(F.size(F.array_except("s", "ps")) == 0)
+    fits = cut_lineage(fits.select("qid", F.col("node").alias("a"), F.col("holder").alias("b")))
+    nodes = sets.select("node")
+    parts = connected_components(nodes, fits.select("a", "b"))
+    placed = sets.join(parts, "node").select("qid", "component", "node", "side", "n")
+
+    def total(column: Column, side: str) -> Column:
+        return F.sum(F.when(F.col("side") == side, column).otherwise(0))
+
+    shape = placed.groupBy("qid", "component").agg(
+        total(F.lit(1), "gold").alias("gold_sets"),
+        total(F.lit(1), "pred").alias("pred_sets"),
+        (total(F.col("n"), "gold") <= total(F.col("n"), "pred")).cast("int").alias("enough"),
+    )
+    simple = (F.col("gold_sets") <= 1) | (F.col("pred_sets") <= 1)
+    settled = shape.filter(simple | (F.col("enough") == 0)).select("qid", F.col("enough").alias("ok"))
+    choice = shape.filter(~simple & (F.col("enough") == 1)).select("component")
+    mine = placed.join(choice, "component", "left_semi").select(F.col("component").alias("part"), F.col("node").alias("of"))
+    numbered = rows.join(mine, F.col("node") == F.col("of")).select("part", "qid", "side", "node", "row_no")
+    theirs = mine.select(F.col("part").alias("in_part"), F.col("of").alias("known"))
+    allowed = fits.join(theirs, F.col("a") == F.col("known")).select("in_part", "a", "b")
+
+    def assign(rows: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("row_no", kind="stable")
+        free = {node: list(g)[::-1] for node, g in rows[rows["side"] == "pred"].groupby("node")["row_no"]}
+        holders = fits.groupby("a")["b"].agg(list).to_dict()
         ok = 1
-        for s in pdf.loc[pdf["side"] == "gold", "s"]:
-            wanted = frozenset(s)
-            hit = next((i for i, t in enumerate(free) if wanted <= t), None)
-            if hit is None:
+        for node in rows.loc[rows["side"] == "gold", "node"]:
+            left = [b for b in holders.get(node, []) if free[b]]
+            if not left:
                 ok = 0
                 break
-            free.pop(hit)
-        return pd.DataFrame({"qid": [pdf["qid"].iloc[0]], "match": [ok]})
+            free[min(left, key=lambda b: (free[b][-1], b))].pop()
+        return pd.DataFrame({"qid": [rows["qid"].iloc[0]], "ok": [ok]}) if len(rows) else pd.DataFrame({"qid": [], "ok": []})
 
     qid_type = results.schema["qid"].dataType.simpleString()
-    slow = rest.groupBy("qid").applyInPandas(assign, f"qid {qid_type}, match int")
-    return state.filter("match IS NOT NULL").unionByName(slow)
+    chosen = numbered.groupBy("part").cogroup(allowed.groupBy("in_part")).applyInPandas(assign, f"qid {qid_type}, ok int")
+    return settled.unionByName(chosen).groupBy("qid").agg(F.min("ok").alias("match"))
 
 
 def provenance_similarity(nodes: DataFrame, queries: DataFrame) -> DataFrame:

@@ -13,10 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import DoubleType
 
 from loomgraph.functions.columns import let
-from loomgraph.runtime import first_rows, top_k_per_group, with_group_running_sum, with_group_stats, with_scalars
+from loomgraph.runtime import cut_lineage, first_rows, top_k_per_group, with_group_index, with_group_running_sum, with_group_stats, with_scalars
 
 EPS = 1e-6
 SAFETY = 20.0
@@ -60,35 +60,48 @@ def whiten(df: DataFrame, values: str, mask: str, out: str, shift_mean: bool = T
     return stats.withColumn(out, F.transform(values, one)).drop("w")
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _returns(rewards: pd.Series, mask: pd.Series, gamma: pd.Series) -> pd.Series:
-    out = []
-    for r, m, g in zip(rewards, mask, gamma):
-        run, back = 0.0, np.zeros(len(r))
-        for t in range(len(r) - 1, -1, -1):
-            back[t] = run = r[t] + g * run
-            run *= m[t]
-        out.append(back)
-    return pd.Series(out)
+def from_the_end(factor: Column, term: Column) -> Column:
+    """y with `y[t] = term[t] + factor[t] * y[t + 1]` and 0 beyond the end, for arrays of one length.
+
+    Each token is the map x -> factor * x + term. Composing every map with the one 1, 2, 4, ... tokens later
+    makes each of them span the rest of the row after log n rounds; what they give for 0 is y.
+    """
+    maps = F.zip_with(factor, term, lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
+
+    def compose(x: Column, y: Column) -> Column:
+        both = F.struct((x["a"] * y["a"]).alias("a"), (x["a"] * y["b"] + x["b"]).alias("b"))
+        return F.when(y.isNull(), x).otherwise(both)
+
+    def spans(first: Column) -> Column:
+        rounds = F.when(F.size(first) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(first))).cast("int") - 1))
+        step = lambda k: F.call_function("shiftleft", F.lit(1), k)
+        later = lambda acc, k: F.slice(acc, step(k) + 1, F.size(acc))
+        return F.aggregate(
+            F.coalesce(rounds, F.array().cast("array<int>")), first, lambda acc, k: F.zip_with(acc, later(acc, k), compose)
+        )
+
+    return F.transform(let(maps, spans), lambda m: m["b"])
+
+
+def next_tokens(values: Column, last: float = 0.0) -> Column:
+    """The value of the following token at each token, `last` at the end."""
+    return F.when(F.size(values) > 0, F.concat(F.slice(values, 2, F.size(values)), F.array(F.lit(last)))).otherwise(values)
 
 
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Reverse discounted sum; a masked token cuts the sum that reaches earlier tokens."""
-    return _returns(rewards, mask, F.lit(gamma))
+    kept = F.transform(mask, lambda m: m.cast("double"))
+    return from_the_end(F.transform(next_tokens(kept), lambda m: m * gamma), rewards)
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _gae(rewards: pd.Series, values: pd.Series, mask: pd.Series, gamma: pd.Series, lam: pd.Series) -> pd.Series:
-    out = []
-    for r, v, m, g, lm in zip(rewards, values, mask, gamma, lam):
-        adv, nxt, last = np.zeros(len(r)), 0.0, 0.0
-        for t in range(len(r) - 1, -1, -1):
-            if m[t]:
-                last = r[t] + g * nxt - v[t] + g * lm * last
-                nxt = v[t]
-            adv[t] = last
-        out.append(adv)
-    return pd.Series(out)
+def gae_advantages(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
+    """Exponentially weighted temporal differences; masked tokens are passed over and repeat what follows them."""
+    here = F.transform(mask, lambda m: m.cast("double") != 0)
+    passing = lambda through, a: F.transform(here, lambda h: F.when(h, a).otherwise(through))
+    seen = F.zip_with(here, values, lambda h, v: F.when(h, v.cast("double")).otherwise(0.0))
+    following = next_tokens(from_the_end(passing(1.0, 0.0), seen))
+    delta = F.zip_with(rewards, F.zip_with(following, values, lambda n, v: gamma * n - v), lambda r, d: r + d)
+    return from_the_end(passing(1.0, gamma * lam), F.zip_with(here, delta, lambda h, d: F.when(h, d).otherwise(0.0)))
 
 
 # --- group statistics ------------------------------------------------------
@@ -201,7 +214,7 @@ def gpg(df: DataFrame, f_norm: float = 1.0) -> DataFrame:
 
 def gae(df: DataFrame, gamma: float, lam: float) -> DataFrame:
     """Generalised advantage estimation; masked tokens are skipped, advantages whitened."""
-    raw = _gae("rewards", "values", "mask", F.lit(gamma), F.lit(lam))
+    raw = gae_advantages(F.col("rewards"), F.col("values"), F.col("mask"), gamma, lam)
     rows = df.withColumn("_raw", raw)
     rows = rows.withColumn("returns", F.zip_with("_raw", "values", lambda a, v: a + v))
     return whiten(rows, "_raw", "mask", "advantages").drop("_raw")
@@ -298,33 +311,88 @@ def softmean_baseline(df: DataFrame, beta: float) -> DataFrame:
     return with_scalars(df, base, "o").withColumn("advantage", F.col("score") - F.col("o.b")).drop("o")
 
 
+# positions that a task compares with each other
+RANK_BLOCK = 1 << 16
+
+
+def _weigh_blocks(code: np.ndarray, idx: np.ndarray, label: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of label differences over the pairs of every group that are in order and out of order by label.
+
+    Two positions differ first at one bit; at each bit, the rows of a block with the bit clear come before those with it
+    set. In label order, running counts and sums of the former give the differences to the latter: n log n, no pairs.
+    """
+    groups = int(code.max()) + 1
+    right, wrong = np.zeros(groups), np.zeros(groups)
+    for bit in range(bits):
+        block = idx >> (bit + 1)
+        order = np.lexsort((label, block, code))
+        c, l, later = code[order], label[order], (idx[order] >> bit & 1).astype(bool)
+        start = np.ones(len(order), bool)
+        start[1:] = (c[1:] != c[:-1]) | (block[order][1:] != block[order][:-1])
+        first = np.flatnonzero(start)
+        node = np.cumsum(start) - 1
+        early, weight = np.cumsum(~later), np.cumsum(np.where(later, 0.0, l))
+        n_before = early - (early[first] - ~later[first])[node]
+        sum_before = weight - (weight[first] - np.where(later[first], 0.0, l[first]))[node]
+        n_all = np.bincount(node, ~later)
+        sum_all = np.bincount(node, np.where(later, 0.0, l))
+        gain = np.where(later, l * n_before - sum_before, 0.0)
+        loss = np.where(later, (sum_all[node] - sum_before) - l * (n_all[node] - n_before), 0.0)
+        right += np.bincount(c, gain, groups)
+        wrong += np.bincount(c, loss, groups)
+    return right, wrong
+
+
 def pairwise_accuracy(df: DataFrame, group: str = "uid", label: str = "label") -> DataFrame:
     """Share of pairs in a group that the score orders as the label does, weighted by label difference.
 
-    In (score, pos) order a pair counts as right exactly when the row with the
-    smaller label comes first. So it is enough to count, for every step between
-    neighbouring label values, the rows below the step that precede each row
-    above it: running counts instead of pairs. 0.5 when all labels are equal.
-    The work is the rows times the steps of their group, one for 0/1 labels.
+    In (score, pos) order a pair counts as right exactly when the row with the smaller label comes first. Rows get their
+    position in that order; pairs inside a block of positions are weighed in one task, many blocks at a time, and pairs
+    of blocks of a larger group by distributed running sums, one round for each doubling of the group beyond a block.
+    Labels may be any numbers; rows with a null label are in no pair. 0.5 when no labels of a group differ.
     """
-    levels = df.select(group, label).distinct()
-    steps = levels.withColumnRenamed(label, "low").join(
-        levels.groupBy(group).agg(F.array_sort(F.collect_set(label)).alias("all")), group
+    rows = df.filter(F.col(label).isNotNull()).select(
+        F.struct(F.col(group)).alias("g"), F.col("score"), F.col("pos"), F.col(label).cast("double").alias("l")
     )
-    nxt = F.element_at(F.filter("all", lambda x: x > F.col("low")), 1)
-    above = F.size(F.filter("all", lambda x: x > F.col("low")))
-    steps = steps.filter(above > 0).select(group, "low", (nxt - F.col("low")).alias("width"))
-    rows = df.join(steps, group).withColumn("under", (F.col(label) <= F.col("low")).cast("bigint"))
-    run = with_group_running_sum(rows, [group, "low"], [F.col("score"), F.col("pos")], F.col("under"), "before")
-    over = 1 - F.col("under")
-    per_step = run.groupBy(group, "low", "width").agg(
-        F.sum(F.col("before") * over).alias("right"), F.sum("under").alias("u"), F.sum(over).alias("o")
-    )
-    per_group = per_step.groupBy(group).agg(
-        F.sum(F.col("right") * F.col("width")).alias("r"), F.sum(F.col("u") * F.col("o") * F.col("width")).alias("t")
-    )
-    out = df.select(group).distinct().join(per_group, group, "left")
-    return out.select(group, F.coalesce(F.try_divide("r", F.col("t").cast("double")), F.lit(0.5)).alias("accuracy"))
+    placed = cut_lineage(with_group_index(rows, ["g"], [F.col("score"), F.col("pos")], "idx").select("g", "idx", "l"))
+    n, longest = placed.agg(F.count("*"), F.max("idx")).first()
+    local = RANK_BLOCK.bit_length() - 1
+    block = F.shiftright("idx", local)
+    # a task takes about as many rows as a block has, whole blocks of one or many groups
+    task = F.pmod(F.xxhash64("g", block), F.lit(max(1, -(-n // RANK_BLOCK))))
+
+    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
+        code = pdf.groupby(["key", "block"], sort=False, dropna=False).ngroup().to_numpy()
+        idx = pdf["idx"].to_numpy() & (RANK_BLOCK - 1)
+        right, wrong = _weigh_blocks(code, idx, pdf["l"].to_numpy(), int(idx.max()).bit_length())
+        first = pdf.assign(code=code).drop_duplicates("code").sort_values("code")
+        return pd.DataFrame({"key": first["key"], "right": right, "wrong": wrong})
+
+    # groups travel as text, which null and repeated values of any type have
+    keyed = placed.withColumn("key", F.to_json("g"))
+    inner = keyed.select("key", "idx", "l", block.alias("block"), task.alias("task"))
+    sums = inner.groupBy("task").applyInPandas(weigh, "key string, right double, wrong double")
+    for bit in range(local, int(longest or 0).bit_length()):
+        node = keyed.withColumn("node", F.shiftright("idx", bit + 1)).withColumn("late", F.shiftright("idx", bit) % 2 == 1)
+        early = F.when(F.col("late"), 0).otherwise(1)
+        run = with_group_running_sum(node, ["key", "node"], [F.col("l"), F.col("idx")], early, "n_before")
+        run = with_group_running_sum(run, ["key", "node"], [F.col("l"), F.col("idx")], early * F.col("l"), "sum_before")
+        late = F.col("late").cast("int")
+        told = run.groupBy("key", "node").agg(
+            F.sum(late * (F.col("l") * F.col("n_before") - F.col("sum_before"))).alias("right"),
+            F.sum(late).alias("n_late"),
+            F.sum(late * F.col("l")).alias("sum_late"),
+            F.sum(early).alias("n_early"),
+            F.sum(early * F.col("l")).alias("sum_early"),
+        )
+        # all differences early minus late, plus those that are late minus early
+        wrong = F.col("n_late") * F.col("sum_early") - F.col("n_early") * F.col("sum_late") + F.col("right")
+        sums = sums.unionByName(told.select("key", "right", wrong.alias("wrong")))
+    per_group = sums.groupBy("key").agg(F.sum("right").alias("r"), F.sum("wrong").alias("w"))
+    every = df.select(F.struct(F.col(group)).alias("g")).distinct().withColumn("of", F.to_json("g"))
+    out = every.join(per_group, F.col("of") == F.col("key"), "left")
+    total = F.col("r") + F.col("w")
+    return out.select(F.col(f"g.{group}").alias(group), F.coalesce(F.when(total > 0, F.col("r") / total), F.lit(0.5)).alias("accuracy"))
 
 
 def sign_accuracy(df: DataFrame, label: str = "label") -> DataFrame:
