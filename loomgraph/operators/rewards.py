@@ -7,7 +7,7 @@ statistics are aggregates joined back, so a group of any size is fine.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from loomgraph.functions.columns import let
-from loomgraph.runtime import cut_lineage, first_rows, top_k_per_group, with_group_index, with_group_running_sum, with_group_stats, with_scalars
+from loomgraph.runtime import cut_lineage, first_rows, top_k_per_group, with_group_index, with_group_running_sum, with_group_stats, with_once, with_scalars
 
 EPS = 1e-6
 SAFETY = 20.0
@@ -60,48 +60,57 @@ def whiten(df: DataFrame, values: str, mask: str, out: str, shift_mean: bool = T
     return stats.withColumn(out, F.transform(values, one)).drop("w")
 
 
-def from_the_end(factor: Column, term: Column) -> Column:
-    """y with `y[t] = term[t] + factor[t] * y[t + 1]` and 0 beyond the end, for arrays of one length.
+# tokens that a fold gathers before it adds them to the row's result, which keeps long rows from being copied per token
+FOLD_BLOCK = 256
 
-    Each token is the map x -> factor * x + term. Composing every map with the one 1, 2, 4, ... tokens later
-    makes each of them span the rest of the row after log n rounds; what they give for 0 is y.
+
+def from_the_end(tokens: Column, start: Mapping[str, Column], step: Callable[[Column, Column], dict[str, Column]], out: str) -> Column:
+    """State `out` at every token of a recurrence that runs from the last token to the first.
+
+    `step(state, token)` gives the next state, of which each part is an affine map of the one before.
     """
-    maps = F.zip_with(factor, term, lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
-
-    def compose(x: Column, y: Column) -> Column:
-        both = F.struct((x["a"] * y["a"]).alias("a"), (x["a"] * y["b"] + x["b"]).alias("b"))
-        return F.when(y.isNull(), x).otherwise(both)
-
-    def spans(first: Column) -> Column:
-        rounds = F.when(F.size(first) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(first))).cast("int") - 1))
-        step = lambda k: F.call_function("shiftleft", F.lit(1), k)
-        later = lambda acc, k: F.slice(acc, step(k) + 1, F.size(acc))
-        return F.aggregate(
-            F.coalesce(rounds, F.array().cast("array<int>")), first, lambda acc, k: F.zip_with(acc, later(acc, k), compose)
-        )
 
-    return F.transform(let(maps, spans), lambda m: m["b"])
+    def state(parts: Mapping[str, Column], values: Column) -> Column:
+        return F.struct(*[c.cast("double").alias(n) for n, c in parts.items()], values.alias("values"))
+
+    nothing = F.array().cast("array<double>")
+
+    def one(s: Column, t: Column) -> Column:
+        moved = F.struct(*[c.cast("double").alias(n) for n, c in step(s, t).items()])
+        return let(moved, lambda m: state({n: m[n] for n in start}, F.concat(F.array(m[out]), s["values"])))
 
+    def block(s: Column, part: Column) -> Column:
+        inner = F.aggregate(part, state({n: s[n] for n in start}, nothing), one)
+        return let(inner, lambda r: state({n: r[n] for n in start}, F.concat(r["values"], s["values"])))
 
-def next_tokens(values: Column, last: float = 0.0) -> Column:
-    """The value of the following token at each token, `last` at the end."""
-    return F.when(F.size(values) > 0, F.concat(F.slice(values, 2, F.size(values)), F.array(F.lit(last)))).otherwise(values)
+    def blocks(back: Column) -> Column:
+        firsts = F.when(F.size(back) > 0, F.sequence(F.lit(1), F.size(back), F.lit(FOLD_BLOCK)))
+        return F.transform(F.coalesce(firsts, F.array().cast("array<int>")), lambda i: F.slice(back, i, FOLD_BLOCK))
+
+    return F.aggregate(let(F.reverse(tokens), blocks), state(start, nothing), block, lambda s: s["values"])
 
 
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Reverse discounted sum; a masked token cuts the sum that reaches earlier tokens."""
-    kept = F.transform(mask, lambda m: m.cast("double"))
-    return from_the_end(F.transform(next_tokens(kept), lambda m: m * gamma), rewards)
+    tokens = F.zip_with(rewards, mask, lambda r, m: F.struct(r.cast("double").alias("r"), m.cast("double").alias("m")))
+
+    def step(s: Column, t: Column) -> dict[str, Column]:
+        here = t["r"] + gamma * s["run"]
+        return {"back": here, "run": here * t["m"]}
+
+    return from_the_end(tokens, {"back": F.lit(0.0), "run": F.lit(0.0)}, step, "back")
 
 
 def gae_advantages(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
     """Exponentially weighted temporal differences; masked tokens are passed over and repeat what follows them."""
-    here = F.transform(mask, lambda m: m.cast("double") != 0)
-    passing = lambda through, a: F.transform(here, lambda h: F.when(h, a).otherwise(through))
-    seen = F.zip_with(here, values, lambda h, v: F.when(h, v.cast("double")).otherwise(0.0))
-    following = next_tokens(from_the_end(passing(1.0, 0.0), seen))
-    delta = F.zip_with(rewards, F.zip_with(following, values, lambda n, v: gamma * n - v), lambda r, d: r + d)
-    return from_the_end(passing(1.0, gamma * lam), F.zip_with(here, delta, lambda h, d: F.when(h, d).otherwise(0.0)))
+    pairs = F.zip_with(rewards, values, lambda r, v: F.struct(r.cast("double").alias("r"), v.cast("double").alias("v")))
+    tokens = F.zip_with(pairs, mask, lambda p, m: F.struct(p["r"].alias("r"), p["v"].alias("v"), (m.cast("double") != 0).alias("here")))
+
+    def step(s: Column, t: Column) -> dict[str, Column]:
+        moved = t["r"] + gamma * s["next"] - t["v"] + gamma * lam * s["last"]
+        return {"last": F.when(t["here"], moved).otherwise(s["last"]), "next": F.when(t["here"], t["v"]).otherwise(s["next"])}
+
+    return from_the_end(tokens, {"last": F.lit(0.0), "next": F.lit(0.0)}, step, "last")
 
 
 # --- group statistics ------------------------------------------------------
@@ -192,14 +201,14 @@ def reinforce_pp_baseline(df: DataFrame) -> DataFrame:
 
 def reinforce_pp(df: DataFrame, gamma: float = 1.0) -> DataFrame:
     """Discounted returns, whitened over all tokens."""
-    rows = df.withColumn("returns", discounted_returns(F.col("rewards"), F.col("mask"), gamma))
+    rows = with_once(df, "returns", discounted_returns(F.col("rewards"), F.col("mask"), gamma))
     out = whiten(rows, "returns", "mask", "_a")
     return out.select(*df.columns, "returns", F.zip_with("_a", "mask", lambda a, m: a * m).alias("advantages"))
 
 
 def remax(df: DataFrame, baseline: str = "baseline") -> DataFrame:
     """Reverse cumulative rewards minus the row's baseline."""
-    rows = df.withColumn("returns", discounted_returns(F.zip_with("rewards", "mask", lambda r, m: r * m), F.transform("mask", lambda m: F.lit(1.0)), 1.0))
+    rows = with_once(df, "returns", discounted_returns(F.zip_with("rewards", "mask", lambda r, m: r * m), F.transform("mask", lambda m: F.lit(1.0)), 1.0))
     adv = F.zip_with("returns", "mask", lambda r, m: r - F.col(baseline) * m)
     return rows.withColumn("advantages", adv)
 
@@ -214,8 +223,7 @@ def gpg(df: DataFrame, f_norm: float = 1.0) -> DataFrame:
 
 def gae(df: DataFrame, gamma: float, lam: float) -> DataFrame:
     """Generalised advantage estimation; masked tokens are skipped, advantages whitened."""
-    raw = gae_advantages(F.col("rewards"), F.col("values"), F.col("mask"), gamma, lam)
-    rows = df.withColumn("_raw", raw)
+    rows = with_once(df, "_raw", gae_advantages(F.col("rewards"), F.col("values"), F.col("mask"), gamma, lam))
     rows = rows.withColumn("returns", F.zip_with("_raw", "values", lambda a, v: a + v))
     return whiten(rows, "_raw", "mask", "advantages").drop("_raw")
 

@@ -16,7 +16,7 @@ from loomgraph.binding import GraphBinding
 from loomgraph.operators.filters import FLAG_KEYS, FULLTEXT_KEYS, filtered_items
 from loomgraph.operators.joins import with_neighbours
 from loomgraph.operators.sets import merge_results
-from loomgraph.runtime import with_scalars
+from loomgraph.runtime import with_once, with_scalars
 
 # fixed values: BM25 parameters
 BM25_K1 = 1.2
@@ -52,9 +52,9 @@ def text_search(texts: DataFrame, query: str, key: str = "item_id", minimum: flo
     should use `text_index`.
     """
     words = keywords_of(query)
-    docs = texts.select(key, tokens(F.col("text")).alias("w"))
-    tf = [_occurrences("w", t).alias(f"tf{i}") for i, t in enumerate(words)]
-    docs = docs.select(key, F.size("w").alias("length"), *tf)
+    docs = with_once(texts.select(key, "text"), "w", tokens(F.col("text")))
+    counts = F.struct(F.size("w").alias("length"), *[_occurrences("w", t).alias(f"tf{i}") for i, t in enumerate(words)])
+    docs = with_once(docs.select(key, "w"), "c", counts).select(key, "c.*")
     stats = docs.agg(
         F.count("*").alias("n"),
         F.avg("length").alias("mean"),

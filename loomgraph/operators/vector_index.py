@@ -73,7 +73,7 @@ def fit_cells(units: DataFrame, cells: int, dims: int, seed: int) -> tuple[np.nd
     sample = units.orderBy(F.xxhash64("vid", F.lit(seed)), "vid").limit(SAMPLE)
     data = sample.select(array_to_vector("unit").alias("features")).cache()
     try:
-        model = KMeans(k=cells, seed=seed, maxIter=5, initSteps=1).fit(data)
+        model = KMeans(k=cells, seed=seed, maxIter=4, initMode="random").fit(data)
         sizes = np.array(model.summary.clusterSizes, float)
         return np.array(model.clusterCenters()).reshape(-1, dims), sizes / sizes.sum()
     finally:

@@ -63,6 +63,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Attach a costly column that later steps use several times, worked out once a row.
+
+    Plain columns are merged into each of their uses; a one-element explode keeps them apart.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def with_scalars(df: DataFrame, one_row: DataFrame, name: str = "g") -> DataFrame:
     """Attach a one-row aggregate as the struct `name` through a scalar subquery."""
     return df.withColumn(name, one_row.select(F.struct("*")).scalar())

@@ -30,7 +30,7 @@ def plain_gae(r, v, m, g, lam):
 def test_recurrences(spark):
     rng = random.Random(1)
     rows = []
-    for i, n in enumerate([0, 1, 2, 3, 4, 7, 8, 9, 31, 64, 300]):
+    for i, n in enumerate([0, 1, 2, 3, 4, 7, 8, 9, 31, 64, 256, 257, 1200]):
         rows.append((i, [rng.gauss(0, 1) for _ in range(n)], [rng.gauss(0, 1) for _ in range(n)], [float(rng.random() < 0.7) for _ in range(n)]))
     df = spark.createDataFrame(rows, "i int, r array<double>, v array<double>, m array<double>")
     out = df.select(
