@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from loomgraph.catalog.aggregation import _METRICS, _metric_rows
 from loomgraph.catalog.base import query, table
 from loomgraph.runtime import scratch_path
+from loomgraph.streaming import queues as Q
 from loomgraph.streaming import rollouts as ST
 
 
@@ -54,28 +55,61 @@ def freshness(spark, path):
     return ST.newest_per_key(spark, out, ["day", "param_version"])
 
 
+_SAMPLE, _OLDEST_FIRST = ["event_id", "ts", "param_version"], ["ts", "event_id"]
+
+
+def _queues(spark, path, name, requests=0):
+    """Samples through queues of 50 a kind; then, after a restart, `requests` samples asked of each kind."""
+    put = lambda s, p: _samples(s, p).select(*_SAMPLE, "kind", F.lit(None).cast("bigint").alias("take"))
+    folder, schema = _files(spark, path, put, name)
+    out, cp = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-cp")
+
+    def run():
+        with Q.keyed_state(spark):
+            stream = ST.file_stream(spark, folder, schema, 1)
+            ST.run_available(Q.bounded_queues(stream, "kind", _SAMPLE, _OLDEST_FIRST, 50), cp, ST.to_batches(out), "update")
+
+    run()
+    if requests:
+        kinds = _samples(spark, path).select("kind").distinct().withColumn("take", F.lit(requests).cast("bigint"))
+        empty = spark.createDataFrame([], schema)
+        empty.unionByName(kinds, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(folder)
+        run()
+    return out, cp
+
+
 @query(
     "st2_bounded_buffer",
     "SELECT event_id, kind, param_version FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts DESC, event_id DESC) AS rn FROM s) WHERE rn <= 50",
     _S,
 )
 def bounded_buffer(spark, path):
-    stream, out, cp = _stream(spark, path, "st2")
-    order = [lambda: F.desc("ts"), lambda: F.desc("event_id")]
-    ST.run_available(stream, cp, ST.buffer_sink(out, "kind", order, 50))
-    return ST.newest_batch(spark, f"{out}/buffer").select("event_id", "kind", "param_version")
+    _, cp = _queues(spark, path, "st2")
+    return Q.queue_contents(spark, cp, "kind").select("event_id", "kind", "param_version")
+
+
+@query(
+    "st2_consume",
+    """SELECT event_id, kind, param_version FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts DESC, event_id DESC) AS rn,
+         least(50, count(*) OVER (PARTITION BY kind)) AS held FROM s) WHERE rn <= held AND rn > held - 20""",
+    _S,
+)
+def consume(spark, path):
+    """The 20 oldest of each queue, asked for after a restart."""
+    out, _ = _queues(spark, path, "st2c", 20)
+    return spark.read.parquet(out).filter("event = 'taken'").select("event_id", "kind", "param_version")
 
 
 @query(
     "st3_queue_statistics",
-    "SELECT kind, count(*) AS produced, least(count(*), 50) AS queue_size, count(*) - least(count(*), 50) AS dropped FROM s GROUP BY 1",
+    """SELECT kind, count(*) AS produced, least(count(*), 20) AS consumed, count(*) - least(count(*), 50) AS dropped,
+         greatest(least(count(*), 50) - 20, 0) AS queue_size FROM s GROUP BY 1""",
     _S,
 )
 def queue_statistics(spark, path):
-    stream, out, cp = _stream(spark, path, "st3")
-    order = [lambda: F.desc("ts"), lambda: F.desc("event_id")]
-    ST.run_available(stream, cp, ST.buffer_sink(out, "kind", order, 50))
-    return ST.newest_batch(spark, f"{out}/counters")
+    out, _ = _queues(spark, path, "st3", 20)
+    states = ST.newest_per_key(spark, out, ["kind", "event"]).filter("event = 'state'")
+    return states.select("kind", "produced", "consumed", "dropped", "queue_size")
 
 
 @query("st3_window_counters", "SELECT day || ' 00:00:00' AS start, kind, count(*) AS produced FROM s GROUP BY 1, 2", _S)
