@@ -23,15 +23,55 @@ def disambiguate(spark, path):
     return G.disambiguate_persons(person.join(party, "item_id").join(status, "item_id"))
 
 
-@query(
-    "g05_neighbourhood",
-    """SELECT dst_name AS entity, rel_type, 'Item' AS related_type, CAST(src_id AS VARCHAR) AS related_name FROM edges
-       WHERE dst_label = 'Organization' AND contains(dst_name, 'Supplier#00000001') ORDER BY 1, 2, 4 LIMIT 50""",
-)
+_BETWEEN = """SELECT DISTINCT * FROM (
+    SELECT 'Organization' AS src_label, party_name AS src_name, 'LOCATED_IN' AS rel_type, 'Location' AS dst_label, place_name AS dst_name FROM parties
+    UNION ALL SELECT 'Location', place_name, 'PARENT_LOCATION', 'Location', place_country FROM parties
+    UNION ALL SELECT 'Topic', topic_name, 'PARENT_DOMAIN', 'Topic', topic_parent FROM topics WHERE topic_parent IS NOT NULL)"""
+
+
+def _around(label: str, part: str) -> str:
+    return f"""SELECT DISTINCT * FROM (
+        SELECT dst_name AS entity, rel_type, 'in' AS direction, 'Item' AS related_type, CAST(src_id AS VARCHAR) AS related_name FROM edges
+            WHERE dst_label = '{label}' AND contains(dst_name, '{part}')
+        UNION ALL SELECT dst_name, rel_type, 'in', src_label, src_name FROM between_entities WHERE dst_label = '{label}' AND contains(dst_name, '{part}')
+        UNION ALL SELECT src_name, rel_type, 'out', dst_label, dst_name FROM between_entities WHERE src_label = '{label}' AND contains(src_name, '{part}'))
+        ORDER BY 1, 2, 3, 4, 5 LIMIT 50"""
+
+
+@query("g05_entity_edges", "SELECT * FROM between_entities", {"between_entities": _BETWEEN})
+def entity_edges(spark, path):
+    return G.entity_edges(OrdersBinding(spark, path))
+
+
+@query("g05_neighbourhood", _around("Organization", "Supplier#00000001"), {"between_entities": _BETWEEN})
 def neighbourhood(spark, path):
     return G.neighbourhood(OrdersBinding(spark, path), "Supplier#00000001", "Organization")
 
 
+@query("g05_explore_party", _around("Organization", "Customer#00000001"), {"between_entities": _BETWEEN})
+def explore_party(spark, path):
+    return G.neighbourhood(OrdersBinding(spark, path), "Customer#00000001", "Organization")
+
+
+@query("g05_explore_place", _around("Location", "I"), {"between_entities": _BETWEEN})
+def explore_place(spark, path):
+    return G.neighbourhood(OrdersBinding(spark, path), "I", "Location")
+
+
+@query("g05_explore_topic", _around("Topic", "ECONOMY"), {"between_entities": _BETWEEN})
+def explore_topic(spark, path):
+    return G.neighbourhood(OrdersBinding(spark, path), "ECONOMY", "Topic")
+
+
+@query(
+    "g05_explore_item",
+    """SELECT DISTINCT CAST(src_id AS VARCHAR) AS entity, rel_type, 'out' AS direction, dst_label AS related_type, dst_name AS related_name
+       FROM edges WHERE src_id IN (1, 2, 3) ORDER BY 1, 2, 4, 5 LIMIT 50""",
+)
+def explore_item(spark, path):
+    return G.explore_items(OrdersBinding(spark, path), [1, 2, 3])
+
+
 @query("g06_subgraph_one_hop", "SELECT DISTINCT src_id AS item_id, dst_label AS type, dst_name AS name, rel_type, 1 AS hop FROM edges")
 def subgraph_one(spark, path):
     g = OrdersBinding(spark, path)

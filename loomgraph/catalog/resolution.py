@@ -8,20 +8,32 @@ from loomgraph.operators import resolution as R
 from loomgraph.operators import vectors as V
 
 
-def _words(spark, path):
-    """Capitalised words of the conversations, with their frequency, as names."""
+def _names(spark, path):
+    """Every party and part name and every word of the conversations, with how often it occurs."""
+    parts = [table(spark, path, t).select(F.col(c).alias("name")) for t, c in (("customer", "c_name"), ("supplier", "s_name"), ("part", "p_name"))]
     words = table(spark, path, "conversations").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("name"))
-    return words.filter(F.col("name").rlike(r"^\p{Lu}\p{L}{5,}$")).groupBy("name").agg(F.count("*").alias("n"))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(words)
+    return every.filter("name <> ''").groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("j12_blocked_similarity")
 def blocked_similarity(spark, path):
-    return R.similar_in_block(_words(spark, path), 0.85)
+    return R.similar_in_block(_names(spark, path), 0.95)
+
+
+@query("j12_unblocked_similarity")
+def unblocked_similarity(spark, path):
+    return R.similar_in_block(_names(spark, path), 0.95, prefix=0)
 
 
 @query("j12_neighbour_blocks")
 def neighbour_blocks(spark, path):
-    return R.similar_across_blocks(_words(spark, path), 0.7)
+    return R.similar_across_blocks(_names(spark, path), 0.7)
+
+
+@query("j12_neighbour_blocks_whole")
+def neighbour_blocks_whole(spark, path):
+    return R.similar_across_blocks(_names(spark, path), 0.9, head=None)
 
 
 _UNIT = """SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM
@@ -92,8 +104,8 @@ def canonical_names(spark, path):
 
 @query("g03_resolve_words")
 def resolve_words(spark, path):
-    words = _words(spark, path)
-    pairs = R.similar_in_block(words, 0.9).select("a", "b").unionByName(R.similar_across_blocks(words, 0.9).select("a", "b"))
+    words = _names(spark, path)
+    pairs = R.similar_in_block(words, 0.95).select("a", "b").unionByName(R.similar_across_blocks(words, 0.9).select("a", "b"))
     return R.resolve_names(words, R.rule_filter(pairs))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.binding import GraphBinding
@@ -51,17 +53,59 @@ def chunk_groups(members: DataFrame, group: str, member: str, size: int = 30) ->
     return placed.withColumn("chunk", F.floor(F.col("pos") / size)).drop("pos")
 
 
+def entity_edges(graph: GraphBinding) -> DataFrame:
+    """Edges between entities `(src_label, src_name, rel_type, dst_label, dst_name)`: where a party is, what a place and a
+    topic belong to."""
+    place = F.coalesce("place_name", "place_country")
+    parties = graph.parties()
+
+    def edge(rows: DataFrame, label: str, name: Column, rel: str, to: str, parent: Column) -> DataFrame:
+        kept = rows.filter(name.isNotNull() & parent.isNotNull() & (name != parent))
+        return kept.select(F.lit(label).alias("src_label"), name.alias("src_name"), F.lit(rel).alias("rel_type"), F.lit(to).alias("dst_label"), parent.alias("dst_name"))
+
+    located = edge(parties, "Organization", F.col("party_name"), "LOCATED_IN", "Location", place)
+    within = edge(parties, "Location", place, "PARENT_LOCATION", "Location", F.col("place_country"))
+    topics = edge(graph.topics(), "Topic", F.col("topic_name"), "PARENT_DOMAIN", "Topic", F.col("topic_parent"))
+    return located.unionByName(within).unionByName(topics).distinct()
+
+
+def _first_edges(rows: DataFrame, limit: int) -> DataFrame:
+    order = ["entity", "rel_type", "direction", "related_type", "related_name"]
+    return rows.distinct().orderBy(*order).limit(limit).select("entity", "rel_type", "direction", "related_type", "related_name")
+
+
 def neighbourhood(graph: GraphBinding, name_part: str, label: str, limit: int = 50) -> DataFrame:
-    """Edges around the entities whose name contains `name_part`, both directions."""
-    edges = graph.edges()
-    incoming = edges.filter((F.col("dst_label") == label) & F.col("dst_name").contains(name_part))
-    out = incoming.select(
-        F.col("dst_name").alias("entity"),
-        "rel_type",
-        F.lit("Item").alias("related_type"),
-        F.col("src_id").cast("string").alias("related_name"),
+    """The first `limit` edges around the entities whose name contains `name_part`, in both directions:
+    `(entity, rel_type, direction, related_type, related_name)`, 'in' for edges that end at the entity."""
+
+    def named(side: str) -> Column:
+        return (F.col(f"{side}_label") == label) & F.col(f"{side}_name").contains(name_part)
+
+    def edges_of(rows: DataFrame, entity: str, direction: str, kind: Column, name: Column) -> DataFrame:
+        return rows.select(
+            F.col(entity).alias("entity"), "rel_type", F.lit(direction).alias("direction"), kind.alias("related_type"), name.alias("related_name")
+        )
+
+    items = edges_of(graph.edges(distinct=False).filter(named("dst")), "dst_name", "in", F.lit("Item"), F.col("src_id").cast("string"))
+    between = entity_edges(graph)
+    arriving = edges_of(between.filter(named("dst")), "dst_name", "in", F.col("src_label"), F.col("src_name"))
+    leaving = edges_of(between.filter(named("src")), "src_name", "out", F.col("dst_label"), F.col("dst_name"))
+    return _first_edges(items.unionByName(arriving).unionByName(leaving), limit)
+
+
+def explore_items(graph: GraphBinding, item_ids: Sequence, limit: int = 50) -> DataFrame:
+    """The first `limit` edges of the given items, in the form of `neighbourhood`."""
+    edges = graph.edges(distinct=False).filter(F.col("src_id").isin(list(item_ids)))
+    return _first_edges(
+        edges.select(
+            F.col("src_id").cast("string").alias("entity"),
+            "rel_type",
+            F.lit("out").alias("direction"),
+            F.col("dst_label").alias("related_type"),
+            F.col("dst_name").alias("related_name"),
+        ),
+        limit,
     )
-    return out.orderBy("entity", "rel_type", "related_name").limit(limit)
 
 
 def item_neighbourhood(graph: GraphBinding, items: DataFrame) -> DataFrame:

@@ -6,11 +6,10 @@ from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from loomgraph.functions.columns import let
 from loomgraph.functions.text import comparison_name, entity_type, is_invalid_name, place_by_rules
 from loomgraph.operators.graph import canonical_names, connected_components
 from loomgraph.runtime import top_k_per_group, with_global_index
@@ -23,58 +22,97 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _blocked(names: DataFrame, prefix: int = 2) -> DataFrame:
-    """`name, norm, block, chars`: chars are the characters numbered by occurrence, a set."""
+    """`name, norm, n, block` of every distinct name that has a comparable form."""
     rows = names.select("name").distinct().withColumn("norm", comparison_name(F.col("name")))
-    rows = rows.withColumn("block", F.substring("norm", 1, prefix))
-    letters = F.filter(F.split("norm", ""), lambda x: x != "")
+    rows = rows.filter(F.length("norm") > 0).withColumn("n", F.length("norm"))
+    return rows.withColumn("block", F.substring("norm", 1, prefix))
 
-    def numbered(p):
-        return F.transform(
-            p, lambda x, i: F.concat(x, F.size(F.filter(F.slice(p, 1, i + 1), lambda y: y == x)).cast("string"))
-        )
 
-    return rows.withColumn("chars", let(letters, numbered)).filter(F.size("chars") > 0)
+def _longest(n: Column, threshold: float) -> Column:
+    """Length of the longest name that one of length n can agree with."""
+    return F.floor(n * (2 - threshold) / threshold + 1e-9).cast("int")
 
 
-def similar_in_block(names: DataFrame, threshold: float, prefix: int = 2) -> DataFrame:
-    """All pairs `(a, b, ratio)` of a block whose ratio reaches the threshold, exactly.
-
-    A block holds the names that agree in their first `prefix` characters, so
-    pairs that differ there are lost by design; `prefix=0` has no blocks and
-    finds every pair, by the same filters.
-
-    The ratio is 2M / (|a| + |b|) and M is at most the number of shared
-    characters. So a pair must share a character among the rarest
-    n - ceil(n t / (2 - t)) + 1 of either name (prefix filter), have a length
-    within t / (2 - t) of each other, and enough shared characters in all.
-    Only pairs that pass all three reach the ratio itself; a block is never
-    paired with itself in full.
+def _errors(n: Column, m: Column, threshold: float) -> Column:
+    """Most unmatched characters of two names of these lengths, whose number is even or odd as the sum of the lengths is."""
+    most = F.floor((1 - threshold) * (n + m) + 1e-9).cast("int")
+    return most - F.pmod(most + n + m, F.lit(2))
+
+
+def _pieces(n: Column, threshold: float) -> Column:
+    """Number of segments of a name of length n: more than the errors, and more still while they stay three characters long."""
+    errors = F.floor((1 - threshold) * (n + _longest(n, threshold)) + 1e-9).cast("int")
+    wanted = F.greatest(errors + 1, F.least(2 * (errors + 1), F.floor(n / 3).cast("int")))
+    return F.least(n, wanted)
+
+
+def _start(i: Column, n: Column, k: Column) -> Column:
+    return F.floor(i * n / k).cast("int")
+
+
+def _segment_pairs(rows: DataFrame, threshold: float, apart: Column | None = None) -> DataFrame:
+    """Pairs `(a, b, ratio)` of `rows(name, norm, n, block)` within a block whose ratio reaches the threshold, exactly.
+
+    Of two names the shorter one is cut into k segments by its length. At a ratio of t at most e = (1 - t)(|a| + |b|)
+    characters are not matched, fewer by one where that is odd and the lengths add up to an even number. Each spoils one segment, so one of any e + 1 segments stands in the longer name
+    unchanged, moved by no more than the errors allow. The rarest e + 1 segments are the keys of a name; the longer name
+    probes with its own pieces of those lengths. A segment that many names share is no key unless a name has no rarer
+    ones. `apart` is a further condition on the columns of both sides, ending in _a and _b.
     """
-    rows = _blocked(names, prefix)
+    n = F.col("n")
+    k = _pieces(n, threshold)
+    cut = F.transform(
+        F.sequence(F.lit(0), k - 1),
+        lambda i: F.struct(
+            i.cast("int").alias("i"), F.substring(F.col("norm"), _start(i, n, k) + 1, _start(i + 1, n, k) - _start(i, n, k)).alias("seg")
+        ),
+    )
+    cells = rows.select("name", "block", "n", F.inline(cut))
+    common = cells.groupBy("block", "n", "i", "seg").agg(F.count("*").alias("df"))
+    ranked = cells.join(common, ["block", "n", "i", "seg"]).groupBy("name", "block", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "i", "seg"))).alias("s")  # the segments of one name
+    )
+    ranked = ranked.withColumn("m", F.explode(F.sequence(n, _longest(n, threshold))))
+    chosen = F.slice("s", F.lit(1), F.least(F.size("s"), _errors(n, F.col("m"), threshold) + 1))
+    keys = ranked.select(F.col("name").alias("short"), "block", "n", "m", F.inline(chosen)).drop("df")
+
+    # the longer name: for every length the other can have, its pieces at every place where a segment can have moved to
     keep = threshold / (2 - threshold)
-    rarity = rows.select("block", F.explode("chars").alias("t")).groupBy("block", "t").agg(F.count("*").alias("df"))
-    long = rows.select("name", "block", F.explode("chars").alias("t")).join(rarity, ["block", "t"])
-    # one name's characters only: bounded by the length of a name
-    ranked = long.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
-    n = F.size("o")
-    cut = (n - F.ceil(n * F.lit(keep) - 1e-9) + 1).cast("int")
-    ranked = ranked.select("name", F.slice(F.col("o.t"), F.lit(1), F.least(n, cut)).alias("prefix"))
-    rows = rows.join(ranked, "name").withColumn("n", F.size("chars"))
-    probe = rows.withColumn("t", F.explode("prefix"))
+    shorter = F.sequence(F.greatest(F.lit(1), F.ceil(n * keep - 1e-9).cast("int")), n)
+    by_length = rows.select("name", "block", "norm", F.col("n").alias("m"), F.explode(shorter).alias("n"))
+    by_length = by_length.withColumn("k", _pieces(F.col("n"), threshold)).withColumn("e", _errors(F.col("n"), F.col("m"), threshold))
+    placed = by_length.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+    at, size = _start(F.col("i"), F.col("n"), F.col("k")), _start(F.col("i") + 1, F.col("n"), F.col("k")) - _start(F.col("i"), F.col("n"), F.col("k"))
+    gap = F.col("m") - F.col("n")
+    low = F.greatest(F.lit(0), at - F.floor((F.col("e") - gap) / 2).cast("int"))
+    high = F.least(F.col("m") - size, at + F.floor((F.col("e") + gap) / 2).cast("int"))
+    places = F.when(low <= high, F.sequence(low, high))
+    pieces = F.array_distinct(F.transform(places, lambda p: F.substring(F.col("norm"), p + 1, size)))
+    probes = placed.select(F.col("name").alias("long"), "block", "n", "m", "i", F.explode(pieces).alias("seg"))
+    met = keys.join(probes, ["block", "n", "m", "i", "seg"]).filter("short <> long").select("block", "short", "long").distinct()
 
     def side(tag: str) -> DataFrame:
-        return probe.select("block", "t", *[F.col(c).alias(f"{c}_{tag}") for c in ("name", "norm", "chars", "prefix", "n")])
-
-    a, b = F.col("n_a"), F.col("n_b")
-    pairs = side("a").join(side("b"), ["block", "t"]).filter(
-        (F.col("name_a") < F.col("name_b"))
-        & (F.least(a, b) >= F.greatest(a, b) * keep - 1e-9)
-        # a pair meets once per shared prefix character: keep the first meeting
-        & (F.array_intersect("prefix_a", "prefix_b")[0] == F.col("t"))
-        & (2 * F.size(F.array_intersect("chars_a", "chars_b")) >= threshold * (a + b) - 1e-9)
-    )
-    scored = pairs.select("name_a", "name_b", matching_ratio("norm_a", "norm_b").alias("ratio"))
-    return scored.filter(F.col("ratio") >= threshold).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "ratio")
+        return rows.select(*[F.col(c).alias(f"{c}_{tag}") for c in rows.columns])
+
+    pairs = met.join(side("a"), (F.col("short") == F.col("name_a")) & (F.col("block") == F.col("block_a")))
+    pairs = pairs.join(side("b"), (F.col("long") == F.col("name_b")) & (F.col("block") == F.col("block_b")))
+    if apart is not None:
+        pairs = pairs.filter(apart)
+    # the ratio is not quite symmetric: always from the smaller name
+    smaller = F.col("name_a") < F.col("name_b")
+    first, second = F.when(smaller, F.col("norm_a")).otherwise(F.col("norm_b")), F.when(smaller, F.col("norm_b")).otherwise(F.col("norm_a"))
+    names = pairs.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"), first.alias("x"), second.alias("y"))
+    scored = names.distinct().select("a", "b", matching_ratio("x", "y").alias("ratio"))
+    return scored.filter(F.col("ratio") >= threshold)
+
+
+def similar_in_block(names: DataFrame, threshold: float, prefix: int = 2) -> DataFrame:
+    """All pairs `(a, b, ratio)` of a block whose ratio reaches the threshold above 0, exactly.
+
+    A block holds the names that agree in their first `prefix` characters, so pairs that differ there are lost by
+    design; `prefix=0` has no blocks and finds every pair, by the same index.
+    """
+    return _segment_pairs(_blocked(names, prefix), threshold)
 
 
 def similar_across_blocks(names: DataFrame, threshold: float, head: int | None = 10) -> DataFrame:
@@ -82,15 +120,13 @@ def similar_across_blocks(names: DataFrame, threshold: float, head: int | None =
 
     Later names of a block are left out by design; `head=None` takes them all.
     """
-    rows = _blocked(names).select("name", "norm", "block")
+    rows = _blocked(names)
     heads = rows if head is None else top_k_per_group(rows, ["block"], [F.col("name")], head).drop("rank")
     blocks = with_global_index(rows.select("block").distinct(), [F.col("block")], "i")
-    here = heads.join(blocks, "block")
-    left = here.select(F.col("name").alias("name_a"), F.col("norm").alias("norm_a"), (F.col("i") + 1).alias("i"))
-    right = here.select(F.col("name").alias("name_b"), F.col("norm").alias("norm_b"), "i")
-    scored = left.join(right, "i").select("name_a", "name_b", matching_ratio("norm_a", "norm_b").alias("ratio"))
-    kept = scored.filter(F.col("ratio") >= threshold)
-    return kept.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"), "ratio")
+    # two neighbours share a bridge, on which they are on different sides
+    here = heads.join(blocks.select("block", F.col("i").cast("long").alias("at")), "block")
+    bridges = here.select("name", "norm", "n", "at", F.explode(F.array("at", F.col("at") - 1)).alias("block"))
+    return _segment_pairs(bridges, threshold, F.col("at_a") != F.col("at_b"))
 
 
 def rule_filter(pairs: DataFrame, minimum: float = 0.15) -> DataFrame:

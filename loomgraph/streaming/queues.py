@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 COUNTERS = "produced bigint, consumed bigint, dropped bigint"
+ROOM = 64  # samples beyond four times the size of a queue before the oldest go
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -29,31 +29,38 @@ class BoundedQueue(StatefulProcessor):
         self.queue = handle.getListState("queue", self.schema)
         self.counters = handle.getValueState("counters", COUNTERS)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows), ignore_index=True)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         produced, consumed, dropped = self.counters.get() if self.counters.exists() else (0, 0, 0)
-        held = pd.DataFrame([tuple(r) for r in self.queue.get()], columns=self.sample) if self.queue.exists() else arrived[self.sample].iloc[:0]
-        fresh = arrived[arrived["take"].isna()][self.sample]
-        wanted = int(arrived["take"].fillna(0).sum())
-        both = pd.concat([held, fresh], ignore_index=True) if len(held) else fresh
-        both = both.sort_values(self.order, kind="stable")
-        kept = both.iloc[max(0, len(both) - self.size) :]
-        taken, left = kept.iloc[:wanted], kept.iloc[wanted:]
-        produced, consumed, dropped = produced + len(fresh), consumed + len(taken), dropped + len(both) - len(kept)
+        held = list(self.queue.get()) if self.queue.exists() else []
+        place = [self.sample.index(c) for c in self.order]
+
+        def age(sample: tuple) -> tuple:
+            return tuple((sample[i] is not None, sample[i]) for i in place)  # a null is oldest
+
+        wanted = lost = 0
+        for row in rows:
+            if row["take"] is None:
+                held.append(tuple(row[c] for c in self.sample))
+                produced += 1
+                if len(held) > 4 * self.size + ROOM:
+                    held.sort(key=age)
+                    lost, held = lost + len(held) - self.size, held[len(held) - self.size :]
+            else:
+                wanted += row["take"]
+        held.sort(key=age)
+        over = max(0, len(held) - self.size)
+        lost, held = lost + over, held[over:]
+        taken, left = held[:wanted], held[wanted:]
+        consumed, dropped = consumed + len(taken), dropped + lost
         self.counters.update((produced, consumed, dropped))
-        if len(left):
-            self.queue.put([tuple(None if pd.isna(v) else v for v in row) for row in left.astype(object).itertuples(index=False)])
+        if left:
+            self.queue.put([tuple(s) for s in left])
         else:
             self.queue.clear()
-        # one row more for the state, without a sample; nullable types keep whole numbers whole
-        out = taken.convert_dtypes().reset_index(drop=True).reindex(range(len(taken) + 1)).assign(event="taken")
-        told = {"event": "state", "queue_size": len(left), "produced": produced, "consumed": consumed, "dropped": dropped}
-        for name, value in told.items():
-            if name != "event":
-                out[name] = pd.Series([None] * len(out), dtype="Int64")
-            out.loc[len(taken), name] = value
-        out[self.key] = key[0]
-        yield out[[self.key, "event", *self.sample, "queue_size", "produced", "consumed", "dropped"]]
+        fields = [self.key, "event", *self.sample, "queue_size", "produced", "consumed", "dropped"]
+        for sample in taken:
+            yield Row(*fields)(key[0], "taken", *sample, None, None, None, None)
+        yield Row(*fields)(key[0], "state", *([None] * len(self.sample)), len(left), produced, consumed, dropped)
 
     def close(self) -> None:
         pass
@@ -65,13 +72,13 @@ def bounded_queues(stream: DataFrame, key: str, sample: list[str], order: list[s
     A row with a null `take` puts its sample, one with a number asks for so many. In a batch a queue takes in the
     samples, drops its oldest by `order` beyond `size`, and hands out its oldest. Rows of `event` 'taken' are the samples
     handed out; one row of `event` 'state' per touched key has `queue_size` and the counters so far. Requests beyond the
-    queue are not kept. A null key is a queue too. A task holds one key's rows of one batch: bound the files of a batch.
+    queue are not kept. A null key is a queue too. A task holds a few times `size` samples of a key.
     """
     fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     schema = ", ".join(f"{c} {fields[c]}" for c in sample)
     out = f"{key} {fields[key]}, event string, {schema}, queue_size bigint, {COUNTERS}"
     queue = BoundedQueue(key, sample, schema, order, size)
-    return stream.select(key, *sample, "take").groupBy(key).transformWithStateInPandas(
+    return stream.select(key, *sample, "take").groupBy(key).transformWithState(
         statefulProcessor=queue, outputStructType=out, outputMode="Update", timeMode="None"
     )
 

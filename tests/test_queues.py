@@ -11,7 +11,8 @@ from loomgraph.streaming import rollouts as ST
 SCHEMA = "kind string, n bigint, score double, take bigint"
 
 
-def test_queues_against_plain_lists(spark):
+def test_queues_against_plain_lists(spark, monkeypatch):
+    monkeypatch.setattr(Q, "ROOM", -18)  # the oldest go while the rows pass
     rng = random.Random(2)
     folder, out, cp = (scratch_path(spark, n) for n in ("q-in", "q-out", "q-cp"))
     held, counts, taken, n = {}, {}, [], 0
