@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -83,18 +84,25 @@ def bounded_queues(stream: DataFrame, key: str, sample: list[str], order: list[s
     )
 
 
+_users: list[str | None] = []  # the setting before each of the queries that run now
+_lock = Lock()
+
+
 @contextmanager
 def keyed_state(spark: SparkSession):
-    """The state store that list state needs, while a query starts and runs."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """The state store that list state needs, while a query starts and runs; the last one out restores the setting."""
+    with _lock:
+        _users.append(_users[0] if _users else spark.conf.get(PROVIDER, None))
+        spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        with _lock:
+            before = _users.pop()
+            if not _users and before is None:
+                spark.conf.unset(PROVIDER)
+            elif not _users:
+                spark.conf.set(PROVIDER, before)
 
 
 def queue_contents(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
