@@ -76,12 +76,17 @@ def bounded_queues(stream: DataFrame, key: str, sample: list[str], order: list[s
     queue are not kept. A null key is a queue too. A task holds a few times `size` samples of a key.
     """
     fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    # timestamps live in the state as microseconds, which have no time zone
+    times = [c for c in sample if fields[c] == "timestamp"]
+    stream = stream.withColumns({c: F.unix_micros(c) for c in times})
+    fields |= {c: "bigint" for c in times}
     schema = ", ".join(f"{c} {fields[c]}" for c in sample)
     out = f"{key} {fields[key]}, event string, {schema}, queue_size bigint, {COUNTERS}"
     queue = BoundedQueue(key, sample, schema, order, size)
-    return stream.select(key, *sample, "take").groupBy(key).transformWithState(
+    updates = stream.select(key, *sample, "take").groupBy(key).transformWithState(
         statefulProcessor=queue, outputStructType=out, outputMode="Update", timeMode="None"
     )
+    return updates.withColumns({c: F.timestamp_micros(c) for c in times})
 
 
 _users: list[str | None] = []  # the setting before each of the queries that run now
@@ -106,7 +111,7 @@ def keyed_state(spark: SparkSession):
 
 
 def queue_contents(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
-    """What the queues hold at the end of a checkpoint: the key and the samples."""
+    """What the queues hold at the end of a checkpoint: the key and the samples, timestamps as microseconds."""
     with keyed_state(spark):
         rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "queue").load()
     return rows.select(F.col(f"key.{key}").alias(key), "list_element.*")
