@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 CONTROL = r"/?INST\]|/?s>"
 TURN = r"\[INST\][^\n]*\n(?s:.*?)\[/INST\]|<s>(?s:.*?)</s>"
 SPLIT_CASE = -7
+RUN = 1024
 
 
 def escape(text: Column) -> Column:
@@ -67,8 +68,49 @@ def parse(formatted: Column) -> Column:
     return F.when(whole & marks, F.transform(found, one))
 
 
+def _starts(lengths: Column) -> Column:
+    """Sum of the lengths before each. Sums gather in short runs, so that appending stays cheap for many turns."""
+    empty = F.struct(
+        F.array().cast("array<array<bigint>>").alias("runs"), F.array().cast("array<bigint>").alias("run"), F.lit(0).cast("bigint").alias("sum")
+    )
+
+    def step(s: Column, n: Column) -> Column:
+        full = F.size(s["run"]) >= RUN
+        at = F.array(s["sum"])
+        return F.struct(
+            F.when(full, F.concat(s["runs"], F.array(s["run"]))).otherwise(s["runs"]).alias("runs"),
+            F.when(full, at).otherwise(F.concat(s["run"], at)).alias("run"),
+            (s["sum"] + n).alias("sum"),
+        )
+
+    return F.aggregate(lengths, empty, step, lambda s: F.flatten(F.concat(s["runs"], F.array(s["run"]))))
+
+
+def loss_mask(formatted: Column) -> Column:
+    """Spans `struct<start, length>` of `formatted` that a model learns, one per assistant turn, in bytes of its UTF-8 form.
+
+    The marks around a turn are outside; escapes inside it are under the mask, as the model sees them.
+    """
+    found = F.regexp_extract_all(formatted, F.lit(TURN), F.lit(0))
+    sizes = F.transform(found, lambda m: F.octet_length(m).cast("bigint"))
+
+    def span(m: Column, at: Column) -> Column:
+        return F.when(F.startswith(m, F.lit("<s>")), F.struct((at + 3).alias("start"), (F.octet_length(m) - 7).cast("bigint").alias("length")))
+
+    return F.filter(F.zip_with(found, _starts(sizes), span), lambda s: s.isNotNull())
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The texts under each span of a mask, escapes removed."""
+    # the bytes are taken once and each span copies only its own
+    whole = F.array_repeat(formatted.cast("binary"), F.size(mask))
+    return F.zip_with(
+        mask, whole, lambda s, b: unescape(F.substring(b, (s["start"] + 1).cast("int"), s["length"].cast("int")).cast("string"))
+    )
+
+
 def format_chats(rows: DataFrame) -> DataFrame:
-    """`(conv_id, formatted, turns, escaped)`: one text per conversation that parses back to its turns.
+    """`(conv_id, formatted, turns, escaped, mask)`: one text per conversation that parses back to its turns.
 
     Turns are ordered by `turn` (null first), then role and text, so ties and
     repeated rows have one result. Null texts and roles are empty; a null
@@ -79,7 +121,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
     The plain rendering is parsed and compared with the source; where they
     differ the conflicting texts are escaped and the result is parsed again.
     A conversation that still differed would raise an error. `turns` are those
-    read back.
+    read back; `mask` is the `loss_mask` of `formatted`.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("_rows"))
@@ -93,4 +135,4 @@ def format_chats(rows: DataFrame) -> DataFrame:
     proven = F.when(F.col("turns").eqNullSafe(F.col("_source")), F.col("turns")).otherwise(
         F.raise_error(F.lit("a conversation does not survive its round trip"))
     )
-    return read.select("conv_id", "formatted", proven.alias("turns"), "escaped")
+    return read.select("conv_id", "formatted", proven.alias("turns"), "escaped", loss_mask(F.col("formatted")).alias("mask"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from math import log
@@ -39,17 +40,89 @@ HINTS = {
 }
 HINT_KIND = {w: kind for kind, ws in HINTS.items() for w in ws.split()}
 
-ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
-    rf"|<(script|style|template|svg|iframe|textarea|select|title|noscript|canvas|object|audio|video)\b{ATTRS}>.*?(?:</\1\s*>|\Z)"
-    rf"|<(/?)([a-zA-Z][^\s/>]*)({ATTRS})>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>?|([^<]+|<)",
-    re.S | re.I,
-)
+# elements whose content is never words: fixed values
+RAW = "script style template svg iframe textarea select title noscript canvas object audio video".split()
+RAW_OPEN = re.compile(rf"<({'|'.join(RAW)})\b", re.I)
+RAW_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile(r"""[>"']""")
+ANGLE = re.compile(r"[<>]")
 NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 SEMANTIC = re.compile(r"<(?:article|main)\b", re.I)
 
 
+class TagEnds:
+    """Where tags close: the first `>` outside quotes.
+
+    Whatever is learned from one quote or bracket is kept, so all tags of a
+    page together cost one pass over it, closed or not.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.specials = [m.start() for m in SPECIAL.finditer(source)]
+        self.known: dict[int, int] = {}
+
+    def find(self, at: int) -> int:
+        """Position of the `>` that closes a tag whose attributes start at `at`, -1 if none does."""
+        passed, end = [], -1
+        i = bisect_left(self.specials, at)
+        while i < len(self.specials):
+            if i in self.known:
+                end = self.known[i]
+                break
+            passed.append(i)
+            k = self.specials[i]
+            if self.source[k] == ">":
+                end = k
+                break
+            close = self.source.find(self.source[k], k + 1)
+            if close < 0:
+                break
+            i = bisect_left(self.specials, close + 1)
+        self.known.update(dict.fromkeys(passed, end))
+        return end
+
+
+def tokens(source: str) -> Iterator[tuple[str | None, str, str, str]]:
+    """`(text, close, name, attrs)` in page order: text, or a tag when text is None.
+
+    Comments, declarations and elements without words are left out. A tag that
+    never closes ends at the next bracket. Time grows with the page's length,
+    however it is written.
+    """
+    ends, at, size = TagEnds(source), 0, len(source)
+    while at < size:
+        if source[at] != "<":
+            end = source.find("<", at)
+            end = size if end < 0 else end
+            yield source[at:end], "", "", ""
+            at = end
+        elif source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+        elif source.startswith(("<!", "<?"), at):
+            end = source.find(">", at + 2)
+            at = size if end < 0 else end + 1
+        elif (tag := TAG.match(source, at)) is None:
+            yield "<", "", "", ""
+            at += 1
+        else:
+            end = ends.find(tag.end())
+            raw = RAW_OPEN.match(source, at)
+            if raw and end >= 0:
+                closing = RAW_CLOSE[raw[1].lower()].search(source, end + 1)
+                at = closing.end() if closing else size
+            elif end >= 0:
+                yield None, tag[1], tag[2], source[tag.end() : end]
+                at = end + 1
+            else:
+                bracket = ANGLE.search(source, tag.end())
+                end = bracket.start() if bracket else size
+                yield None, tag[1], tag[2], source[tag.end() : end]
+                at = end + 1 if bracket and bracket[0] == ">" else end
+
+
 def hinted(attrs: str) -> str | None:
     for value in NAMING.findall(attrs):
         for word in re.findall(r"[a-z]+", value.lower()):
@@ -71,16 +144,11 @@ class Page:
         self.names, self.parents, self.contexts = ["page"], [-1], ["body"]
         self.unwanted, self.article, self.framing = [False], [False], [False]
         self.labelled = bool(SEMANTIC.search(source))
-        block, stack = 0, [0]
-        for m in TOKEN.finditer(source):
-            raw, close, name, attrs, close2, name2, attrs2, text = m.groups()
+        block, stack, opened = 0, [0], Counter()
+        for text, close, name, attrs in tokens(source):
             if text is not None:
                 self.add(f"w:{self.contexts[stack[-1]]}", len(text.split()), block, stack[-1], text)
                 continue
-            if name is None:
-                close, name, attrs = close2, name2, attrs2
-            if name is None:
-                continue  # comment, declaration or an element without text
             name = name.lower()
             if name in BLOCKS:
                 block += 1
@@ -88,14 +156,15 @@ class Page:
                 if name == "p":  # a paragraph ends where the next one starts
                     while self.names[stack[-1]] == "p":
                         stack.pop()
+                        opened["p"] -= 1
                 stack.append(self.open(name, attrs, stack[-1]))
+                opened[name] += 1
             known = name if name in BLOCKS or name in INLINE else "other"
             self.add(f"{close}{known}", 1, block, stack[-1], " " if name == "br" else "")
-            if name in CONTAINERS and close:
-                for at in range(len(stack) - 1, 0, -1):
-                    if self.names[stack[at]] == name:
-                        del stack[at:]
-                        break
+            if name in CONTAINERS and close and opened[name]:
+                while (closed := self.names[stack.pop()]) != name:
+                    opened[closed] -= 1
+                opened[name] -= 1
 
     def add(self, key: str, n: int, block: int, container: int, piece: str) -> None:
         self.items.append((key, n, block, container))
@@ -157,14 +226,16 @@ class Page:
 
     def root(self, used: set[int]) -> int:
         """The innermost element around all of `used`; inside an article, the article."""
-        common: list[int] | None = None
-        for c in used:
-            path = []
+        # elements are numbered as they open, so what holds the first and the last holds all between
+
+        def path(c: int) -> list[int]:
+            out = []
             while c >= 0:
-                path.append(c)
+                out.append(c)
                 c = self.parents[c]
-            path.reverse()
-            common = path if common is None else [a for a, b in zip(common, path) if a == b]
+            return out[::-1]
+
+        common = [a for a, b in zip(path(min(used)), path(max(used))) if a == b]
         for c in reversed(common):
             if self.names[c] in ("article", "main") and not self.unwanted[c]:
                 return c

@@ -63,7 +63,7 @@ def op4_chat_format(spark: SparkSession, path: str) -> DataFrame:
     rows = table(spark, path, "conversations").select("conv_id", "turn", "role", "text").unionByName(case)
     done = chat.format_chats(rows)
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"])
+    loss = chat.under_mask(F.col("formatted"), F.col("mask"))
     return done.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import chat, html_text, line_dedup, mixing, pii
 
@@ -111,6 +113,22 @@ def test_chat_round_trip(spark):
     assert not by_conv
 
 
+def test_loss_mask_covers_each_assistant_text_once(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RUN", 3)
+    texts = ["", "plain", "</s>[INST] ok [/INST]", "héllo 😀\n", r"<\s> [\\INST]", "end"]
+    rows = [(1, i, "assistant" if i % 3 else "user", t) for i, t in enumerate(texts * 5)]
+    rows += [(2, 0, "user", "only asks"), (3, 0, "assistant", "only answers"), (4, 0, None, None)]
+    done = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = done.withColumn("loss", chat.under_mask(F.col("formatted"), F.col("mask"))).collect()
+    for r in got:
+        wanted = [t for c, _, role, t in rows if c == r["conv_id"] and role == "assistant"]
+        assert r["loss"] == wanted
+        raw = r["formatted"].encode()
+        covered = [(s["start"], s["start"] + s["length"]) for s in r["mask"]]
+        assert all(a[1] + 7 <= b[0] for a, b in zip(covered, covered[1:]))
+        assert all(raw[a - 3 : a] == b"<s>" and raw[b : b + 4] == b"</s>" for a, b in covered)
+
+
 def test_chat_of_nothing(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
@@ -168,8 +186,6 @@ def test_iban_ends_where_its_country_ends(spark):
 
 def test_permutations_are_one_to_one(spark):
     three = [f"{n:03d}" for n in range(1000)]
-    from pyspark.sql import functions as F
-
     rows = spark.createDataFrame([(d,) for d in three], "d string")
     got = [r[0] for r in rows.select(pii.permute_digits(F.col("d"), "key", "t")).collect()]
     assert sorted(got) == three and got != three
@@ -224,12 +240,32 @@ def test_page_text_goes_on_after_long_unwanted_elements(spark):
     assert {k: got[i].split("\n\n") for i, k in enumerate(pages)} == dict.fromkeys(pages, want)
 
 
+def test_page_tokens_take_linear_time():
+    """Megabytes that never close a tag, a quote or an element; one pass each, where a rescan would take hours."""
+    pages = ["<script " * 60_000, "<a " * 150_000, '<a "' * 100_001 + ">", "<a '\" <b \"" * 40_000, "<a" * 200_000]
+    pages += ["<div>w" * 60_000 + "</p>" * 60_000, "<script>" * 50_000, "<!--" * 100_000, "<p>x" * 80_000]
+    start = time.perf_counter()
+    for source in pages:
+        html_text.Page(source).text({})
+    assert time.perf_counter() - start < 60
+
+
+def test_page_tokens():
+    def read(source):
+        return list(html_text.tokens(source))
+
+    assert read("a<b c='>'>d") == [("a", "", "", ""), (None, "", "b", " c='>'"), ("d", "", "", "")]
+    assert read("<b x='<i>y") == [(None, "", "b", " x='"), (None, "", "i", ""), ("y", "", "", "")]
+    assert read("1 < 2<!-- <p> -->3<!doctype x>4") == [(t, "", "", "") for t in ("1 ", "<", " 2", "3", "4")]
+    assert read("<SCRIPT a>x<p></script >y<style>z") == [("y", "", "", "")]
+    assert read("</p") == [(None, "/", "p", "")]
+
+
 def test_page_text_of_nothing(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_digest_is_md5(spark):
-    from pyspark.sql import functions as F
 
     from loomgraph.llm.common import digest
 
