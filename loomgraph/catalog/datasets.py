@@ -393,4 +393,47 @@ def micro_batches(spark, path):
 def micro_batches_minimum(spark, path):
     docs = table(spark, path, "documents").select("doc_id", "n_chars")
     out = D.micro_batches(docs, "doc_id", "n_chars", 1_000_000, minimum=30, divisor=8)
-    return out.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("original_idx", "micro_batch")])
\ No newline at end of file
+    return out.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("original_idx", "micro_batch")])
+
+# the number of batches and the bound of largest differencing: no two parts of a block differ by more than its heaviest row
+@query(
+    "d22_differenced_micro_batches",
+    """SELECT count(*) AS rows, sum(n_chars)::BIGINT AS tokens, least(count(*), (sum(n_chars)::BIGINT + 199999) // 200000) AS batches,
+       true AS balanced FROM documents""",
+)
+def differenced_micro_batches(spark, path):
+    docs = table(spark, path, "documents").select("doc_id", "n_chars")
+    out = D.micro_batches(docs, "doc_id", "n_chars", 200_000, difference=True)
+    w = D.workload(F.col("n_chars"))
+    load = out.groupBy("micro_batch").agg(F.count("*").alias("n"), F.sum("n_chars").alias("s"), F.sum(w).alias("w"), F.max(w).alias("top"))
+    # parts of two blocks differ by one row of the deal and one of each block at most
+    balanced = F.max("w") - F.min("w") <= 3 * F.max("top")
+    return load.agg(F.sum("n").alias("rows"), F.sum("s").alias("tokens"), F.count("*").alias("batches"), balanced.alias("balanced"))
+
+
+@query(
+    "d22_fitting_micro_batches",
+    """SELECT count(*) AS rows, sum(n_chars)::BIGINT AS tokens, 0::BIGINT AS over, true AS enough FROM documents""",
+)
+def fitting_micro_batches(spark, path):
+    docs = table(spark, path, "documents").select("doc_id", "n_chars")
+    out = D.micro_batches(docs, "doc_id", "n_chars", 200_000, difference=True, fit=True)
+    report = D.micro_batch_report(out, "n_chars", 200_000)
+    enough = F.count("*") * 200_000 >= F.sum("tokens")
+    return report.agg(F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), F.count_if(~F.col("fits")).alias("over"), enough.alias("enough"))
+
+
+@query(
+    "d20_differencing_spread",
+    """SELECT doc_id // 50 AS batch, count(*) AS rows, sum(24576::HUGEINT * n_chars + n_chars::HUGEINT * n_chars)::BIGINT AS work, true AS balanced
+       FROM documents GROUP BY 1""",
+)
+def differencing_spread(spark, path):
+    """Parts of a batch differ by no more than its heaviest row."""
+    docs = table(spark, path, "documents").select("doc_id", "n_chars", F.floor(F.col("doc_id") / 50).alias("batch"))
+    out = D.balance_batches(docs, "batch", "doc_id", "n_chars", 4).withColumn("w", D.workload(F.col("n_chars")))
+    part = out.groupBy("batch", "part").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.max("w").alias("top"))
+    whole = part.groupBy("batch").agg(
+        F.sum("n").alias("rows"), F.sum("w").alias("work"), (F.max("w") - F.when(F.count("*") < 4, 0).otherwise(F.min("w"))).alias("d"), F.max("top").alias("top")
+    )
+    return whole.select("batch", "rows", "work", (F.col("d") <= F.col("top")).alias("balanced"))

@@ -91,6 +91,27 @@ def subgraph_two(spark, path):
     return G.subgraph(g, g.items(), 2, ["IN_FAMILY"])
 
 
+@query(
+    "g06_two_hops_by_degree",
+    """SELECT src_id AS item_id, 1 AS hop, type, name, rel_type, CAST(NULL AS BIGINT) AS n_items FROM ends
+       UNION ALL SELECT DISTINCT a.src_id, 2, 'Item', CAST(c.src_id AS VARCHAR), c.rel_type, 1 FROM ends a
+       JOIN degrees USING (type, name) JOIN ends c ON c.type = a.type AND c.name = a.name AND c.src_id <> a.src_id WHERE edges <= 16
+       UNION ALL SELECT * FROM (
+           SELECT a.src_id, 2, a.type, a.name, c.rel_type, c.n - count(*) FILTER (a.rel_type = c.rel_type) AS others FROM ends a
+           JOIN degrees d ON d.type = a.type AND d.name = a.name AND d.edges > 16
+           JOIN (SELECT type, name, rel_type, count(*) AS n FROM ends GROUP BY ALL) c ON c.type = a.type AND c.name = a.name
+           GROUP BY a.src_id, a.type, a.name, c.rel_type, c.n) WHERE others > 0""",
+    {
+        "ends": "SELECT DISTINCT src_id, rel_type, dst_label AS type, dst_name AS name FROM edges",
+        "degrees": "SELECT type, name, count(*) AS edges FROM ends GROUP BY 1, 2",
+    },
+)
+def two_hops_by_degree(spark, path):
+    """Around every item, over all relations."""
+    g = OrdersBinding(spark, path)
+    return G.subgraph_by_degree(g, g.items())
+
+
 _PARTY = {
     "matches": """SELECT party_name, party_type, (SELECT count(*) FROM party p WHERE p.party_id = q.party_id) AS item_count FROM parties q
         WHERE contains(party_name, '#0000004') ORDER BY item_count DESC, party_name LIMIT 5""",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import let, strip
 from loomgraph.runtime import (
+    cut_lineage,
     first_rows,
     keep_first,
     seeded_digest,
@@ -391,31 +392,75 @@ def serpentine(df: DataFrame, weight: Column, key: str, k: int) -> DataFrame:
     return rows.withColumn("part", F.when(step < k, step).otherwise(2 * k - 1 - step)).drop("_i", "_w")
 
 
-def differencing(weights: Sequence[int], k: int, equal_size: bool) -> list[int]:
-    """Part of every weight by largest differencing: the two widest spreads are set against each other."""
-    order = sorted(range(len(weights)), key=lambda i: (weights[i], i))
-    heap: list[tuple] = []
-    if equal_size:
-        starts = [order[i : i + k] for i in range(0, len(order), k)]
-    else:
-        starts = [[i] for i in order]
-    for serial, group in enumerate(starts):
-        parts = sorted(([weights[i], [i]] for i in group), key=lambda p: -p[0])
-        parts += [[0, []] for _ in range(k - len(parts))]
+def settled(states: list[list[tuple[int, list]]], k: int) -> list[tuple[int, list]]:
+    """`k` parts `(sum, members)` from partial solutions of up to `k` parts, by largest differencing.
+
+    The two widest spreads are set against each other, so the spread of the
+    result is at most the widest given.
+    """
+    heap = []
+    for serial, state in enumerate(states):
+        parts = sorted(state, key=lambda p: -p[0]) + [(0, [])] * (k - len(state))
         heapq.heappush(heap, (parts[-1][0] - parts[0][0], serial, parts))
-    serial = len(starts)
+    serial = len(states)
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        parts = sorted(([x[0] + y[0], x[1] + y[1]] for x, y in zip(a, reversed(b))), key=lambda p: -p[0])
+        parts = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))), key=lambda p: -p[0])
         heapq.heappush(heap, (parts[-1][0] - parts[0][0], serial, parts))
         serial += 1
+    return heap[0][2] if heap else []
+
+
+def differencing(weights: Sequence[int], k: int, equal_size: bool) -> list[int]:
+    """Part of every weight by largest differencing."""
+    order = sorted(range(len(weights)), key=lambda i: (weights[i], i))
+    step = k if equal_size else 1
+    starts = [[(weights[i], [i]) for i in order[at : at + step]] for at in range(0, len(order), step)]
     out = [0] * len(weights)
-    for part, (_, members) in enumerate(heap[0][2]):
+    for part, (_, members) in enumerate(settled(starts, k)):
         for i in members:
             out[i] = part
     return out
 
 
+def differenced(df: DataFrame, weight: Column, key: str, k: int, parts: int = 64, rows: int = 16_384) -> DataFrame:
+    """`df` with `part`: `k` parts by largest differencing in bounded blocks, whose results are differenced again.
+
+    Rows are dealt serpentine into the `k` parts; `parts` neighbouring parts
+    make a block. A block is cut into tasks of at most `rows` rows by rank,
+    each solved alone, and then the `parts` sums of each task are set against
+    each other. Inside a block the heaviest and the lightest part differ by at
+    most the block's heaviest row. The second step sees `parts` sums for every
+    `rows` rows of a block, so a block may hold millions of rows.
+    """
+    ranked = with_global_index(df.withColumn("_w", weight), [F.desc("_w"), F.col(key)], "_i")
+    step = F.col("_i") % (2 * k)
+    dealt = ranked.withColumn("_block", F.floor(F.when(step < k, step).otherwise(2 * k - 1 - step) / parts))
+    dealt = dealt.withColumn("_task", F.floor(F.floor(F.col("_i") / k) / max(1, rows // parts)))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        here = min(parts, k - int(pdf["_block"].iloc[0]) * parts)
+        return pdf.assign(_slot=differencing(pdf["_w"].tolist(), here, False))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["_block"].iloc[0])
+        pdf = pdf.sort_values(["_task", "_slot"]).reset_index(drop=True)
+        states = [[(w, [at]) for at, w in zip(g.index, g["_w"].tolist())] for _, g in pdf.groupby("_task")]
+        part = [0] * len(pdf)
+        for p, (_, members) in enumerate(settled(states, min(parts, k - block * parts))):
+            for at in members:
+                part[at] = block * parts + p
+        return pdf.assign(part=part)[["_block", "_task", "_slot", "part"]]
+
+    solved = dealt.select("_i", "_block", "_task", "_w").groupBy("_block", "_task")
+    solved = cut_lineage(solved.applyInPandas(solve, "_i long, _block long, _task long, _w long, _slot long"))
+    sums = solved.groupBy("_block", "_task", "_slot").agg(F.sum("_w").alias("_w"))
+    placed = sums.groupBy("_block").applyInPandas(meet, "_block long, _task long, _slot long, part long")
+    out = solved.join(placed, ["_block", "_task", "_slot"]).select("_i", "part")
+    return ranked.join(out, "_i").drop("_i", "_w")
+
+
 def balance_batches(df: DataFrame, batch: str, key: str, length: str, k: int, equal_size: bool = False) -> DataFrame:
     """Exact differencing inside each training batch, whose size the trainer bounds."""
     schema = f"{batch} {df.schema[batch].dataType.simpleString()}, {key} {df.schema[key].dataType.simpleString()}, part int"
@@ -459,22 +504,41 @@ def imbalance(df: DataFrame, order: str, length: str, part: str, k: int) -> Data
 
 
 def micro_batches(
-    df: DataFrame, key: str, length: str, budget: int, minimum: int | None = None, divisor: int | None = None
+    df: DataFrame,
+    key: str,
+    length: str,
+    budget: int,
+    minimum: int | None = None,
+    divisor: int | None = None,
+    difference: bool = False,
+    fit: bool = False,
 ) -> DataFrame:
     """Balanced micro-batches under a token budget.
 
     Their number is ceil(total / budget), at least `minimum`, at most the rows,
     and rounded up to a multiple of `divisor`. `micro_batch` is numbered so
     that light batches sit at both ends; `original_idx` restores the rows.
+    Rows are dealt serpentine, or by largest differencing with `difference`.
+    Batches balance work, so one may pass the budget in tokens; `fit` adds
+    batches until none does.
     """
-    totals = df.agg(F.count("*").alias("n"), F.sum(length).alias("s"), F.max(length).alias("mx")).first()
-    if totals["mx"] > budget:
+    totals = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("s"), F.max(length).alias("mx")).first()
+    if (totals["mx"] or 0) > budget:
         raise ValueError("the budget must hold the longest row")
     k = min(totals["n"], max(minimum or 1, -(-totals["s"] // budget)))
-    if divisor:
-        k = -(-k // divisor) * divisor
+    deal = differenced if difference else serpentine
     rows = with_global_index(df, [F.col(key)], "original_idx")
-    dealt = serpentine(rows, workload(F.col(length)), key, k)
+    while True:
+        if divisor:
+            k = -(-k // divisor) * divisor
+        dealt = deal(rows, workload(F.col(length)), key, k)
+        if not fit:
+            break
+        dealt = cut_lineage(dealt)
+        heaviest = dealt.groupBy("part").agg(F.sum(length).alias("s")).agg(F.max("s")).first()[0] or 0
+        if heaviest <= budget or k >= totals["n"]:
+            break
+        k = min(totals["n"], max(k + 1, -(-k * heaviest // budget)))
     # one row per micro-batch from here on
     loads = dealt.groupBy("part").agg(F.sum(workload(F.col(length))).alias("load"), F.min("original_idx").alias("first"))
     ranked = with_global_index(loads, [F.desc("load"), F.desc("first")], "r")
@@ -484,6 +548,14 @@ def micro_batches(
     return dealt.join(ranked.select("part", place.alias("micro_batch")), "part").drop("part")
 
 
+def micro_batch_report(batched: DataFrame, length: str, budget: int) -> DataFrame:
+    """`(micro_batch, rows, tokens, work, fits)`: what each micro-batch holds and whether it keeps the budget."""
+    loads = batched.groupBy("micro_batch").agg(
+        F.count("*").alias("rows"), F.sum(length).alias("tokens"), F.sum(workload(F.col(length))).alias("work")
+    )
+    return loads.withColumn("fits", F.col("tokens") <= budget)
+
+
 def instruction_rows(qa: DataFrame, system: str) -> DataFrame:
     return qa.select(F.lit(system).alias("instruction"), F.col("question").alias("input"), F.col("cypher").alias("output"))
 

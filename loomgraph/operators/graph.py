@@ -145,6 +145,36 @@ def subgraph(graph: GraphBinding, items: DataFrame, hops: int = 1, relations: li
     return one.unionByName(two)
 
 
+def subgraph_by_degree(graph: GraphBinding, items: DataFrame, relations: list[str] | None = None, hub_edges: int = 16) -> DataFrame:
+    """Two hops over all relations: `(item_id, hop, type, name, rel_type, n_items)`.
+
+    Hop 1 is every neighbour of an item, `n_items` null. A neighbour of at most
+    `hub_edges` edges leads on to each of its other items, one row of `n_items`
+    1 for each. A hub, with more, stands for its items: one row per item, hub
+    and relation with the number of other items that hang on it, which are the
+    hop-1 rows of that hub. So no link is lost and an edge costs at most
+    `hub_edges` rows. Only items in `items` are walked from.
+    """
+    edges = graph.edges(distinct=False)
+    if relations:
+        edges = edges.filter(F.col("rel_type").isin(relations))
+    ends = edges.select("src_id", "rel_type", F.col("dst_label").alias("type"), F.col("dst_name").alias("name")).distinct()
+    near = ends.join(items.select(F.col("item_id").alias("src_id")).distinct(), "src_id", "left_semi").withColumnRenamed("src_id", "item_id")
+    degrees = ends.groupBy("type", "name", "rel_type").agg(F.count("*").alias("n"))
+    degrees = with_group_stats(degrees, ["type", "name"], F.sum("n").alias("edges"))
+    light = ends.join(degrees.filter(F.col("edges") <= hub_edges), ["type", "name", "rel_type"], "left_semi")
+    pairs = near.select("item_id", "type", "name").distinct().join(light, ["type", "name"]).filter(F.col("src_id") != F.col("item_id"))
+    pairs = pairs.select("item_id", F.col("src_id").cast("string").alias("name"), "rel_type").distinct()
+    hubs = degrees.filter(F.col("edges") > hub_edges).select("type", "name", "rel_type", "n")
+    own = near.groupBy("item_id", "type", "name").agg(F.collect_set("rel_type").alias("own"))
+    classes = own.join(hubs, ["type", "name"]).withColumn("n_items", F.col("n") - F.array_contains("own", F.col("rel_type")).cast("long"))
+    columns = ["item_id", "hop", "type", "name", "rel_type", "n_items"]
+    one = near.select("*", F.lit(1).alias("hop"), F.lit(None).cast("long").alias("n_items"))
+    two = pairs.select("*", F.lit(2).alias("hop"), F.lit("Item").alias("type"), F.lit(1).cast("long").alias("n_items"))
+    three = classes.filter("n_items > 0").withColumn("hop", F.lit(2))
+    return one.select(columns).unionByName(two.select(columns)).unionByName(three.select(columns))
+
+
 def profile_party(graph: GraphBinding, name_part: str, since: str = "2015", matches: int = 5) -> dict[str, DataFrame]:
     """Best matching parties, their topics and their yearly trend."""
     rel = graph.relation("party", distinct=True).filter(F.col("party_name").contains(name_part))

@@ -218,6 +218,34 @@ def test_micro_batches_restore_the_rows(spark):
     assert len(sizes) == 7 and sorted(sizes) == list(range(7)) and max(sizes.values()) <= 300
 
 
+def test_differencing_in_blocks(spark):
+    """Blocks of three parts and tasks of six rows: no two parts of a block differ by more than its heaviest row."""
+    rng = random.Random(3)
+    rows = [(i, int(rng.paretovariate(1.2) * 10)) for i in range(400)] + [(400 + i, 7) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, n long")
+    got = D.differenced(df, F.col("n"), "id", 8, parts=3, rows=6).collect()
+    assert sorted((r["id"], r["n"]) for r in got) == rows
+    for block in range(3):
+        sums = {p: 0 for p in range(8) if p // 3 == block}
+        heaviest = 0
+        for r in got:
+            if r["part"] in sums:
+                sums[r["part"]] += r["n"]
+                heaviest = max(heaviest, r["n"])
+        assert max(sums.values()) - min(sums.values()) <= heaviest
+    empty = D.differenced(df.limit(0), F.col("n"), "id", 4)
+    assert empty.count() == 0 and "part" in empty.columns
+
+
+def test_micro_batches_fit_their_budget(spark):
+    rows = [(i, 60 if i % 3 else 35) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, n long")
+    got = D.micro_batches(df, "id", "n", 100, divisor=2, difference=True, fit=True)
+    report = D.micro_batch_report(got, "n", 100).collect()
+    assert all(r["fits"] for r in report) and sum(r["rows"] for r in report) == 100
+    assert [r["id"] for r in got.orderBy("original_idx").collect()] == list(range(100))
+
+
 def test_differencing_is_balanced():
     weights = [8, 7, 6, 5, 4]
     parts = D.differencing(weights, 2, False)
