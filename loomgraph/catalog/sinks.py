@@ -13,6 +13,7 @@ from loomgraph.plans import graph_build as B
 from loomgraph.runtime import scratch_path
 from loomgraph.sources import readers as R
 from loomgraph.sources import sinks as S
+from loomgraph.sources import statements as T
 
 
 @query(
@@ -119,6 +120,21 @@ def graph_sink(spark, path):
     return S.write_graph({"party": g.parties(), "topic": g.topics(), "item": g.items()}, g.edges(), scratch_path(spark, "io07"))
 
 
+@query(
+    "io07_statement_sink",
+    "SELECT rel_type, dst_label, count(*) AS statements, true AS in_batches FROM edges WHERE dst_name IS NOT NULL GROUP BY 1, 2",
+)
+def statement_sink(spark, path):
+    """Every edge as a statement, written in files of 5,000 and read back."""
+    target = scratch_path(spark, "io07s")
+    T.write_statements(T.edge_statements(OrdersBinding(spark, path).edges()), target)
+    per_file = T.read_statements(spark, target).groupBy(
+        F.regexp_extract("statement", r"\[:(\w+)\]->", 1).alias("rel_type"), F.regexp_extract("statement", r"MATCH \(e:(\w+)", 1).alias("dst_label"), "file"
+    ).agg(F.count("*").alias("n"))
+    sums = per_file.groupBy("rel_type", "dst_label").agg(F.sum("n").alias("statements"), (F.max("n") <= S.BATCH_ROWS).alias("in_batches"))
+    return sums
+
+
 @query(
     "io08_instruction_sink",
     """SELECT count(*) FILTER (rn <= floor(n * 0.8 + 1e-9)) AS train_size, count(*) - count(*) FILTER (rn <= floor(n * 0.8 + 1e-9)) AS test_size, count(*) AS total_size,
