@@ -45,6 +45,8 @@ RAW = "script style template svg iframe textarea select title noscript canvas ob
 RAW_OPEN = re.compile(rf"<({'|'.join(RAW)})\b", re.I)
 RAW_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+# text, or a tag without brackets among its attributes; a match that fails has read no further than the next bracket
+PLAIN = re.compile(r"""([^<]+)|<(/?)([a-zA-Z][^\s/><"']*)(?=[\s/>])((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>""")
 SPECIAL = re.compile(r"""[>"']""")
 ANGLE = re.compile(r"[<>]")
 NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
@@ -91,13 +93,15 @@ def tokens(source: str) -> Iterator[tuple[str | None, str, str, str]]:
     never closes ends at the next bracket. Time grows with the page's length,
     however it is written.
     """
-    ends, at, size = TagEnds(source), 0, len(source)
+    ends, at, size = None, 0, len(source)
     while at < size:
-        if source[at] != "<":
-            end = source.find("<", at)
-            end = size if end < 0 else end
-            yield source[at:end], "", "", ""
-            at = end
+        plain = PLAIN.match(source, at)
+        if plain and plain[1]:
+            yield plain[1], "", "", ""
+            at = plain.end()
+        elif plain and (plain[2] or not RAW_OPEN.match(source, at)):
+            yield None, plain[2], plain[3], plain[4]
+            at = plain.end()
         elif source.startswith("<!--", at):
             end = source.find("-->", at + 4)
             at = size if end < 0 else end + 3
@@ -108,6 +112,7 @@ def tokens(source: str) -> Iterator[tuple[str | None, str, str, str]]:
             yield "<", "", "", ""
             at += 1
         else:
+            ends = ends or TagEnds(source)
             end = ends.find(tag.end())
             raw = RAW_OPEN.match(source, at)
             if raw and end >= 0:
