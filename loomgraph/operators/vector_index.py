@@ -2,8 +2,10 @@
 
 A vector belongs to its nearest cell and is stored there as an 8-bit code of its residual, with the length of what the
 code leaves out. Distances to the coded point therefore bound the true distance from both sides, so a search by codes
-loses none of the best vectors of the cells it visits; the few that remain are scored exactly. With `exact=True` cells
-that were not probed are visited as well wherever their radius leaves room for a better vector.
+loses none of the best vectors of the cells it visits; the few that remain are scored exactly. An exact search deals the
+cells out in tiles of bounded size: a query meets the tile of its nearest cell, then every tile that holds a cell whose
+radius leaves room for a better vector. A tile scores its vectors in place and passes on its best `k` of each query, so a
+query travels once per tile, however many cells there are.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.runtime import scratch_path, top_k_per_group
@@ -25,6 +27,8 @@ PROBES = 16  # cells that a search visits
 SAMPLE = 65_536  # vectors that the cells are fitted on
 CELL_VALUES = 1 << 20  # most numbers in all centroids together: 8 MB travel with the tasks
 LIST_PART, QUERY_PART = 4_096, 2_048  # sides of the largest block that a task scores
+TILE, TILE_QUERIES = 32_768, 16_384  # vectors and queries that a task of an exact search holds
+GLANCE = 2_048  # vectors of a tile that give a first bound for its k-th best
 ROWS = 128  # queries scored at once inside a block
 SLACK = 1e-6  # for rounding in bounds
 MIX = np.uint64(0x9E3779B97F4A7C15)  # spreads ids over the parts of a list
@@ -205,43 +209,176 @@ def _scored(index: VectorIndex, candidates: DataFrame, asked: DataFrame) -> Data
     return both.select("qid", "vid", dot.alias("score"))
 
 
+def _tiles(index: VectorIndex) -> tuple[np.ndarray, np.ndarray]:
+    """First tile of each cell and the number of its tiles. Cells that lie side by side share tiles of about `TILE`
+    vectors; a larger cell has tiles of its own, over which its parts are dealt."""
+    centred = index.centroids - index.centroids.mean(0)
+    along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
+    first, count = np.zeros(index.cells, np.int32), np.ones(index.cells, np.int32)
+    tile, held = 0, 0
+    for cell in np.argsort(along, kind="stable"):
+        n = int(index.sizes[cell])
+        if held and held + n > TILE:
+            tile, held = tile + 1, 0
+        first[cell], count[cell] = tile, max(1, -(-n // TILE))
+        held += n
+        if count[cell] > 1:
+            tile, held = tile + int(count[cell]), 0
+    return first, count
+
+
+def _uncopied(units: np.ndarray, vids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` smallest ids of each distinct vector; no other copy can be among a query's best."""
+    rows = np.ascontiguousarray(units).view(np.dtype((np.void, units.shape[1] * 8))).ravel()
+    kind = np.unique(rows, return_inverse=True)[1].ravel()
+    order = np.lexsort((vids, kind))
+    kind, vids = kind[order], vids[order]
+    again = np.zeros(len(order), bool)
+    again[1:] = (kind[1:] == kind[:-1]) & (vids[1:] == vids[:-1])
+    order, kind = order[~again], kind[~again]
+    return order[np.arange(len(order)) - np.searchsorted(kind, kind) < most]
+
+
+def _with_home(index: VectorIndex, asked: DataFrame) -> DataFrame:
+    """`(qid, unit, home)`: the nearest cell that is not empty."""
+    full, centroids = index.sizes > 0, index.centroids
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                away = np.where(full[None, :], _squared(_matrix(pdf["unit"]), centroids), np.inf)
+                yield pdf.assign(home=away.argmin(1).astype(np.int32))
+
+    return asked.mapInPandas(run, "qid bigint, unit array<double>, home int")
+
+
+def _tile_scan(index: VectorIndex, asked: DataFrame, at_home: bool, k: int, drop_self: bool, least: float) -> DataFrame:
+    """`(qid, vid, score)`: the best `k` of each query of `asked(qid, unit, bound, home)` in each tile of its home cell,
+    or in each other tile that holds a cell within its bound."""
+    spark = asked.sparkSession
+    first, count = _tiles(index)
+    full, radii, centroids = index.sizes > 0, index.radii, index.centroids
+    holds = np.zeros((index.cells, int((first + count).max())), np.float32)
+    for cell in range(index.cells):
+        holds[cell, first[cell] : first[cell] + count[cell]] = full[cell]
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for start in range(0, len(pdf), ROWS):
+                part = pdf.iloc[start : start + ROWS]
+                tiles = holds[part["home"].to_numpy()] > 0
+                if not at_home:
+                    away = np.sqrt(_squared(_matrix(part["unit"]), centroids))
+                    room = away - radii[None, :] - SLACK <= part["bound"].to_numpy(float)[:, None]
+                    tiles = ~tiles & (room.astype(np.float32) @ holds > 0)
+                row, tile = np.nonzero(tiles)
+                yield part.iloc[row].assign(tile=tile.astype(np.int32))
+
+    visits = asked.mapInPandas(visit, "qid bigint, unit array<double>, bound double, home int, tile int")
+    chunks = visits.groupBy("tile").agg(F.ceil(F.count("*") / TILE_QUERIES).cast("int").alias("chunks"))
+    left = visits.join(chunks, "tile").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
+    placed = spark.createDataFrame(pd.DataFrame({"cell": range(index.cells), "first": first, "count": count}))
+    tile = (F.col("first") + F.col("part") % F.col("count")).cast("int").alias("tile")
+    listed = index.lists(spark).join(placed, "cell").select(tile, "cell", "vid", "unit").join(chunks, "tile")
+    listed = listed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    # names of its own, since both sides carry columns of the same counts
+    right = listed.select(F.col("tile").alias("in_tile"), F.col("chunk").alias("for_chunk"), "cell", "vid", "unit")
+
+    def block(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            units, vids = _matrix(right["unit"]), right["vid"].to_numpy()
+            mine = _uncopied(units, vids, k + 1)
+            cells = right["cell"].to_numpy()[mine]
+            order = np.argsort(cells, kind="stable")
+            units, vids, cells = units[mine[order]], vids[mine[order]], cells[order]
+            here, of = np.unique(cells, return_inverse=True)
+            left = left.sort_values("home", kind="stable")  # neighbours want the same cells
+            asked_units, qids, bounds = _matrix(left["unit"]), left["qid"].to_numpy(), left["bound"].to_numpy(float)
+            for start in range(0, len(left), ROWS):
+                rows = slice(start, start + ROWS)
+                part, asks, bound = asked_units[rows], qids[rows], bounds[rows]
+                away = np.sqrt(_squared(part, centroids[here]))
+                near = (away - radii[here][None, :] - SLACK <= bound[:, None]).any(0)[of]
+                points, ids = (units, vids) if near.all() else (units[near], vids[near])
+                if not len(ids):
+                    continue
+                scores = part @ points.T
+                if drop_self:
+                    scores[asks[:, None] == ids[None, :]] = -np.inf
+                lowest = np.maximum(least, 1 - bound * bound / 2) - SLACK
+                glance = scores[:, :: max(1, len(ids) // GLANCE)]
+                if glance.shape[1] > k:
+                    lowest = np.maximum(lowest, np.partition(glance, -k, axis=1)[:, -k] - SLACK)
+                row, col = np.nonzero((scores >= lowest[:, None]) & np.isfinite(scores))
+                # summed in order, so that equal vectors have equal scores wherever they lie
+                exact = np.zeros(len(row))
+                for d in range(part.shape[1]):
+                    exact += part[row, d] * points[col, d]
+                order = np.lexsort((ids[col], -exact, row))
+                row, col, exact = row[order], col[order], exact[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                found.append(pd.DataFrame({"qid": asks[row[best]], "vid": ids[col[best]], "score": exact[best]}))
+        return pd.concat(found) if found else pd.DataFrame({"qid": [], "vid": [], "score": []})
+
+    lists = right.groupBy("in_tile", "for_chunk")
+    return left.select("qid", "unit", "bound", "home", "tile", "chunk").groupBy("tile", "chunk").cogroup(lists).applyInPandas(block, "qid bigint, vid bigint, score double")
+
+
+def _exact(index: VectorIndex, asked: DataFrame, k: int, drop_self: bool, least: float) -> DataFrame:
+    """Top k over all cells: the tiles of a query's home first, then those within the distance of its k-th best there."""
+    spark = asked.sparkSession
+    placed = scratch_path(spark, "vector-asked")
+    _with_home(index, asked.select("qid", "unit")).withColumn("bound", F.lit(_widest(least))).write.parquet(placed)
+    asked = spark.read.parquet(placed)
+    wanted = F.col("score") >= least
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "vid")
+
+    def ranked(hits: DataFrame) -> DataFrame:
+        return hits.filter(wanted).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    near = _tile_scan(index, asked, True, k, drop_self, least)
+    first, count = _tiles(index)
+    tiles = int((first + count).max())
+    if tiles == 1:
+        return ranked(near)
+    path = scratch_path(spark, "vector-hits")
+    ranked(near).drop("rank").write.parquet(path)
+    near = spark.read.parquet(path)
+    # the distance that a vector must not exceed: that of the k-th best so far, if there are so many
+    kth = near.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("lowest"))
+    far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("lowest"))) + SLACK
+    bound = F.when(F.col("n") >= k, F.least(far, F.col("bound"))).otherwise(F.col("bound")).alias("bound")
+    bounded = asked.join(kth, "qid", "left").select("qid", "unit", bound, "home")
+    return ranked(near.unionByName(_tile_scan(index, bounded, False, k, drop_self, least)))
+
+
+def _widest(least: float) -> float:
+    """Greatest distance of a wanted vector; 2 is the greatest of all."""
+    return math.sqrt(max(0.0, 2 - 2 * max(least, -1.0))) + SLACK
+
+
 def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = PROBES, exact: bool = False, drop_self: bool = False, least: float = -1.0) -> DataFrame:
     """`(qid, vid, score, rank)`: the `k` vectors of greatest cosine of every row of `queries(qid, embedding)`.
 
-    The `probes` nearest cells are searched, which loses neighbours in other cells; `exact=True` then also visits every
-    cell that can still hold one of the best `k`. Equal scores go by id. Queries without a direction find nothing; an id
-    asked twice should ask with one vector. `drop_self` leaves out the vector with the query's own id, `least` is the
-    smallest score wanted.
+    The `probes` nearest cells are searched, which loses neighbours in other cells; `exact=True` visits every cell that
+    can hold one of the best `k`, whatever `probes` is. Equal scores go by id. Queries without a direction find nothing;
+    an id asked twice should ask with one vector. `drop_self` leaves out the vector with the query's own id, `least` is
+    the smallest score wanted.
     """
     spark = queries.sparkSession
     if not index.cells:
         return spark.createDataFrame([], "qid bigint, vid bigint, score double, rank int")
     dims = index.centroids.shape[1]
-    widest = math.sqrt(max(0.0, 2 - 2 * least)) + SLACK if least > -1 else float("inf")
-    asked = directed(queries, "qid", dims).dropDuplicates(["qid"]).withColumn("bound", F.lit(widest))
-    radii = index.radii
+    asked = directed(queries, "qid", dims).dropDuplicates(["qid"])
+    if exact:
+        return _exact(index, asked, k, drop_self, least)
+    asked = asked.withColumn("bound", F.lit(_widest(least) if least > -1 else float("inf")))
 
     def nearest(away: np.ndarray, bound: np.ndarray) -> np.ndarray:
         away = np.where(index.sizes > 0, away, np.inf)
         kth = np.partition(away, probes - 1, axis=1)[:, probes - 1] if away.shape[1] > probes else np.full(len(away), np.inf)
         return away <= kth[:, None]
 
-    order = [F.desc("score"), F.col("vid")]
-    wanted = F.col("score") >= least
     near = _scored(index, _scan(index, _visits(index, asked, nearest), k, drop_self), asked)
-    near = top_k_per_group(near.filter(wanted), ["qid"], order, k)
-    if not exact or index.cells <= probes:
-        return near
-    path = scratch_path(spark, "vector-hits")
-    near.write.parquet(path)
-    near = spark.read.parquet(path)
-    # the distance that a vector must not exceed: that of the k-th best so far, if there are so many
-    kth = near.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("lowest"))
-    far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("lowest"))) + SLACK
-    bounded = asked.drop("bound").join(kth, "qid", "left").select("qid", "unit", F.when(F.col("n") >= k, F.least(far, F.lit(widest))).otherwise(widest).alias("bound"))
-
-    def others(away: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        return ~nearest(away, bound) & (away - radii[None, :] - SLACK <= bound[:, None])
-
-    more = _scored(index, _scan(index, _visits(index, bounded, others), k, drop_self), asked)
-    return top_k_per_group(near.drop("rank").unionByName(more.filter(wanted)), ["qid"], order, k)
+    return top_k_per_group(near.filter(F.col("score") >= least), ["qid"], [F.desc("score"), F.col("vid")], k)

@@ -92,3 +92,22 @@ def test_post_filter_after_the_search(spark, clustered):
     for q in range(5):
         mine = [r["vid"] for r in rows if r["qid"] == q]
         assert len(mine) == min(3, sum(j % 3 == 1 for j, _ in wide[q])) and all(v % 3 == 1 for v in mine)
+
+
+@pytest.mark.parametrize("tile, queries", [(60, 40), (1 << 15, 1 << 14)])
+def test_exact_search_passes_on_the_best_of_a_tile_only(spark, monkeypatch, clustered, tile, queries):
+    monkeypatch.setattr(I, "TILE", tile)
+    monkeypatch.setattr(I, "TILE_QUERIES", queries)
+    monkeypatch.setattr(I, "GLANCE", 8)
+    vec = frame(spark, clustered)
+    asked = vec.select(F.col("vid").alias("qid"), "embedding")
+    index = I.build_index(vec, cells=25)
+    got = by_query(I.search(index, asked, 4, exact=True, drop_self=True).collect())
+    want = brute(clustered, range(500), 4, True)
+    assert scores_of(got) == scores_of(want)
+    assert all([v for v, _ in got[q]] == [v for v, _ in want[q]] for q in range(100, 260))  # copies go by id
+    # a query and a tile leave k rows, not one for each near vector or cell
+    first, count = I._tiles(index)
+    home = I._with_home(index, I.directed(asked, "qid")).withColumn("bound", F.lit(3.0))
+    rows = I._tile_scan(index, home, False, 4, True, -1.0).groupBy("qid").count().agg(F.max("count")).first()
+    assert rows[0] is None or rows[0] <= 4 * int((first + count).max())
