@@ -55,3 +55,16 @@ def test_neighbour_blocks(names):
     first = {n for b in blocks for n in sorted(n for n, x in norms.items() if x[:2] == b)[:2]}
     got = {(r["a"], r["b"]) for r in R.similar_across_blocks(df, 0.5, head=2).collect()}
     assert got == set(plain({n: x for n, x in norms.items() if n in first}, 0.5, near))
+
+
+def test_names_of_one_length_and_of_the_same_side_do_not_meet(spark):
+    df = spark.createDataFrame([(f"Customer#{i:09d}",) for i in range(300)] + [("CUSTOMER 000000007",), ("cvstomer#000000007",)], "name string")
+    rows = R._blocked(df, 0).withColumn("side", R.F.lit(0))
+    # at 0.97 and one length no character may differ, so there is nothing to index
+    assert R._length_pairs(rows, 0.97, False).count() == 0
+    near = R.similar_in_block(df, 0.97, prefix=0).collect()
+    norms = {r[0]: r[1] for r in df.select("name", comparison_name(df.name)).collect()}
+    assert {(r["a"], r["b"]): r["ratio"] for r in near} == plain(norms, 0.97, lambda x, y: True)
+    # the two blocks hold names of one length, the customers among themselves are no candidates
+    got = {(r["a"], r["b"]): round(r["ratio"], 9) for r in R.similar_across_blocks(df, 0.9, head=None).collect()}
+    assert got == plain(norms, 0.9, lambda x, y: x[:2] != y[:2])
