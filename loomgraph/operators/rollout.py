@@ -6,7 +6,7 @@ its row; batch metrics are single-pass aggregates of per-row sums.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -244,32 +244,41 @@ def throughput(lengths: DataFrame, step_seconds: float, workers: int) -> DataFra
 
 
 DRAW_BLOCK = 50
-# rows that may travel to every task; more are joined by a shuffle
-BROADCAST_ROWS = 200_000
+# rows of a group that travel with its draws as an array; the rows of larger groups meet their draws by a shuffle
+GROUP_ARRAY = 4096
 
 
-def _picked(draws: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
-    """The drawn rows: there are many draws to a row, so a small table of rows goes to the draws."""
-    small = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return draws.join(F.broadcast(rows) if small else rows, on)
-
-
-def _draws(df: DataFrame, keys: Sequence[str], draws: int, seed: int) -> DataFrame:
-    """(keys, n, draw, idx): seeded index draws for n = 2, 4, ... and the group size."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("total")).filter(F.col("total") > 1)
+def _draws(sizes: DataFrame, keys: Sequence[str], draws: int, seed: int) -> DataFrame:
+    """`sizes` by (n, block, draw, i) with `idx`: seeded index draws for n = 2, 4, ... and the group size."""
     powers = F.filter(F.array(*[F.lit(2**i) for i in range(1, 31)]), lambda p: p < F.col("total"))
     ns = F.array_append(powers, F.col("total").cast("int"))
     grid = sizes.withColumn("n", F.explode(ns))
     # dealt out in blocks of draws before they are made, so that neither few nor large groups end in few tasks
     grid = grid.withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(draws), F.lit(DRAW_BLOCK))))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grid = grid.repartition(parts, *keys, "n", "block")
     last = F.least(F.col("block") + DRAW_BLOCK - 1, F.lit(draws))
     grid = grid.withColumn("draw", F.explode(F.sequence("block", last)))
     grid = grid.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
     head = F.substring(seeded_digest(seed, *keys, "n", "draw", "i"), 1, 8)
     idx = F.conv(head, 16, 10).cast("long") % F.col("total")
-    return grid.select(*keys, "n", "draw", "i", idx.alias("idx"))
+    return grid.withColumn("idx", idx)
+
+
+def _per_draw(rows: DataFrame, keys: Sequence[str], draws: int, seed: int, summed: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """`summed(drawn rows, columns of a draw)` over all draws of the groups of `rows(keys, idx, ...)` with two rows or more.
+
+    Nothing is sent to all tasks. The block of draws is among the columns of a draw, so that a draw is summed where it is made.
+    """
+    values = [c for c in rows.columns if c not in (*keys, "idx")]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("total")).filter(F.col("total") > 1)
+    draw = [*keys, "n", "block", "draw"]
+    few = rows.join(sizes.filter(F.col("total") <= GROUP_ARRAY).hint("merge"), list(keys))
+    packed = few.groupBy(*keys, "total").agg(F.array_sort(F.collect_list(F.struct("idx", *values))).alias("rows"))
+    small = _draws(packed, keys, draws, seed)
+    small = small.select(*draw, "i", *[F.get("rows", F.col("idx").cast("int"))[c].alias(c) for c in values])
+    large = _draws(sizes.filter(F.col("total") > GROUP_ARRAY), keys, draws, seed).join(rows.hint("merge"), [*keys, "idx"])
+    return summed(small, draw).unionByName(summed(large.select(*draw, "i", *values), draw))
 
 
 def bootstrap_extremes(
@@ -281,8 +290,11 @@ def bootstrap_extremes(
     large group is spread over the cluster.
     """
     rows = df.select(*keys, F.col(index).alias("idx"), F.col(value).alias("v"))
-    picked = _picked(_draws(df, keys, draws, seed), rows, [*keys, "idx"])
-    per_draw = picked.groupBy(*keys, "n", "draw").agg(F.max("v").alias("b"), F.min("v").alias("w"))
+
+    def summed(picked: DataFrame, draw: list[str]) -> DataFrame:
+        return picked.groupBy(*draw).agg(F.max("v").alias("b"), F.min("v").alias("w"))
+
+    per_draw = _per_draw(rows, keys, draws, seed, summed)
     return per_draw.groupBy(*keys, "n").agg(
         F.avg("b").alias("best_mean"),
         F.stddev_pop("b").alias("best_std"),
@@ -302,12 +314,13 @@ def bootstrap_majority(
 ) -> DataFrame:
     """Mean and population std of the majority value of n draws; ties go to the vote drawn first."""
     rows = df.select(*keys, F.col(index).alias("idx"), F.col(value).alias("v"), F.col(vote).alias("p"))
-    picked = _picked(_draws(df, keys, draws, seed), rows, [*keys, "idx"])
-    votes = picked.groupBy(*keys, "n", "draw", "p").agg(
-        F.count("*").alias("c"), F.min("i").alias("first"), F.min_by("v", "i").alias("v")
-    )
     best = F.min_by("v", F.struct((-F.col("c")).alias("c"), "first"))
-    per_draw = votes.groupBy(*keys, "n", "draw").agg(best.alias("m"))
+
+    def summed(picked: DataFrame, draw: list[str]) -> DataFrame:
+        votes = picked.groupBy(*draw, "p").agg(F.count("*").alias("c"), F.min("i").alias("first"), F.min_by("v", "i").alias("v"))
+        return votes.groupBy(*draw).agg(best.alias("m"))
+
+    per_draw = _per_draw(rows, keys, draws, seed, summed)
     return per_draw.groupBy(*keys, "n").agg(F.avg("m").alias("maj_mean"), F.stddev_pop("m").alias("maj_std"))
 
 
