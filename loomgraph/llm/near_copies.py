@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands, sketch filter, exact verification."""
+"""Near copies by Jaccard similarity of word shingles: SimHash links, MinHash bands, sketch filter, exact verification."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import digest, keep
+from loomgraph.llm.simhash import linked_fingerprints, text_fingerprint
 from loomgraph.operators.graph import connected_components
 
 BLOCK = 1 << 12  # shingles worked on at once
@@ -35,7 +36,8 @@ def minima(hashes: np.ndarray, salts: np.ndarray, factors: np.ndarray) -> np.nda
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """`(doc_id, row, node, grams, bands, sketch)`: the digest of each document's shingle set, the set and its MinHash forms.
+    """`(doc_id, row, node, fp, grams, bands, sketch)`: the digest of each document's shingle set, the SimHash fingerprint
+    of its shingles, the set and its MinHash forms.
 
     `grams` are the upper halves of the hashes, which the MinHash does not use:
     a false link takes a collision in both.
@@ -47,10 +49,11 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
         factors |= np.uint32(1)
         for whole in batches:
             for b in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
-                node, grams, bands, sketch = [], [], [], []
+                node, fp, grams, bands, sketch = [], [], [], [], []
                 for text in b.column("text").cast(pa.binary()).to_pylist():
                     hashes = shingle_hashes(text or b"", words)
                     least = minima(hashes, salts, factors)
+                    fp.append(text_fingerprint(text or b"", words))
                     node.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                     grams.append((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     parts = least[: BANDS * ROWS].reshape(BANDS, ROWS)
@@ -63,13 +66,13 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                     ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays), kind)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("row"), pa.array(node, pa.binary()), *lists],
-                    ["doc_id", "row", "node", "grams", "bands", "sketch"],
+                    [b.column("doc_id"), b.column("row"), pa.array(node, pa.binary()), pa.array(fp, pa.int64()), *lists],
+                    ["doc_id", "row", "node", "fp", "grams", "bands", "sketch"],
                 )
 
     rows = docs.select("doc_id", digest(F.coalesce("text", F.lit(""))).alias("row"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, row binary, node binary, grams array<int>, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(work, f"doc_id {kind}, row binary, node binary, fp long, grams array<int>, bands array<long>, sketch array<long>")
 
 
 def most_bits(similarity: float) -> int:
@@ -94,12 +97,24 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(shared >= similarity * union - 1e-9).select("a", "b")
 
 
+def simhash_candidates(rows: DataFrame) -> DataFrame:
+    """`(a, b)`: sets with one fingerprint meet the smallest of them, and so do the smallest of fingerprints two bits apart."""
+    prints = rows.select("fp", "node").distinct()
+    heads = keep(prints.groupBy("fp").agg(F.min("node").alias("head")), "near_copies")
+    same = prints.join(heads, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    left, right = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in "ab")
+    linked = linked_fingerprints(heads).join(left, "a").join(right, "b")
+    linked = linked.select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b"))
+    return same.unionByName(linked).filter("a <> b").distinct()
+
+
 def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`(doc_id, row, component_id, kept)` for every document row.
 
     Documents are linked whose sets of `words`-word shingles (ASCII lower case)
     have a Jaccard similarity of `similarity` or more; every link is verified
-    on the sets. Candidates share one of 16 bands of 5 MinHash values, which
+    on the sets. Candidates have SimHash fingerprints at two differing bits or
+    fewer; as that finds few pairs near 0.8, others share one of 16 bands of 5 MinHash values, which
     at 0.8 misses a pair with probability 0.002, and more the further below
     that `similarity` is. Component ids, `kept`, null ids, null texts and empty
     tables are as in `simhash_groups`; documents without words are one group.
@@ -120,7 +135,8 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
 
     heads = buckets.filter("node = head").alias("x")
     met = heads.hint("merge").join(buckets.alias("y"), ["band", "key"]).filter(near("x", "y", similarity))
-    stars = keep(verified(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets, similarity), "near_copies")
+    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(simhash_candidates(rows)).distinct()
+    stars = keep(verified(met, sets, similarity), "near_copies")
     placed = connected_components(nodes.select("node"), stars)
     open_rows = keep(buckets.drop("head").join(placed, "node"), "near_copies")
     met = open_rows.alias("x").hint("merge").join(open_rows.alias("y"), ["band", "key"])

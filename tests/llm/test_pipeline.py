@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from loomgraph.llm import near_copies
+from pyspark.sql import functions as F
 from test_models import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,3 +47,20 @@ def test_near_copies_null_ids_and_nothing(spark):
     assert sorted(str(r.component_id) for r in got) == ["4", "4", "None", "None"]
     assert near_copies.drop_near_copies(frame).count() == 2
     assert near_copies.drop_near_copies(frame.limit(0)).count() == 0
+
+
+def test_simhash_links_are_candidates(spark, monkeypatch):
+    rng = random.Random(3)
+    base = rng.choices([f"w{i}" for i in range(900)], k=1500)
+    other = base[:700] + ["changed"] + base[701:]
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(reversed(base)))]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    sets = near_copies.shingle_sets(frame, 5).cache()
+    node = {r.doc_id: bytes(r.node) for r in sets.collect()}
+    got = {(bytes(r.a), bytes(r.b)) for r in near_copies.simhash_candidates(sets).collect()}
+    assert got == {tuple(sorted((node[1], node[2])))}
+    # with bands that never agree, the links of the fingerprints alone find the copy
+    plain = near_copies.shingle_sets
+    lone = lambda docs, words: plain(docs, words).withColumn("bands", F.array(F.col("doc_id").cast("long")))
+    monkeypatch.setattr(near_copies, "shingle_sets", lone)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()} == {1, 3}
