@@ -129,9 +129,11 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     one = rows.join(nodes, "node").filter(F.col("doc_id").eqNullSafe(F.col("first.i")) & (F.col("row") == F.col("first.r")))
     sets = one.select("node", "grams", "bands", "sketch").dropDuplicates(["node"])
     sets = keep(sets, "near_copies")
-    members = sets.select(F.posexplode("bands").alias("band", "key"), "node", F.size("grams").alias("n"), "sketch")
-    buckets = members.join(members.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("node").alias("head")), ["band", "key"])
-    buckets = keep(buckets.filter("m > 1").drop("m"), "near_copies")
+    # sizes and sketches join the members of shared buckets only: most buckets have one member
+    members = sets.select(F.posexplode("bands").alias("band", "key"), "node")
+    shared = members.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("node").alias("head")).filter("m > 1").drop("m")
+    forms = sets.select("node", F.size("grams").alias("n"), "sketch")
+    buckets = keep(members.join(shared, ["band", "key"]).join(forms, "node"), "near_copies")
 
     heads = buckets.filter("node = head").alias("x")
     met = heads.hint("merge").join(buckets.alias("y"), ["band", "key"]).filter(near("x", "y", similarity))
