@@ -148,13 +148,32 @@ def supplement(original: DataFrame, extra: Sequence[DataFrame], key: str, minimu
     return merge_results(original.select(key), fresh.filter(short), key, key)
 
 
+def whole_documents(texts: DataFrame, key: str) -> DataFrame:
+    """`(key, w)` with the words of every document; rows of one key are one document. The texts move once."""
+    parts = texts.select(key, "text").repartition(key).groupBy(key).agg(F.collect_list(tokens(F.col("text"))).alias("w"))
+    return parts.withColumn("w", F.flatten("w"))
+
+
+def term_counts(documents: DataFrame) -> DataFrame:
+    """The columns of `documents(w, ...)` but `w`, and `term, tf`: runs in the sorted words, one document at a time."""
+    kept = [c for c in documents.columns if c != "w"]
+    docs = with_once(documents.filter(F.size("w") > 0), "s", F.sort_array("w"))
+    new = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    docs = with_once(docs.select(*kept, "s"), "at", F.concat(new, F.array(F.size("s"))))
+    runs = F.transform(
+        F.slice("at", F.lit(1), F.size("at") - 1),
+        lambda start, j: F.struct(F.get("s", start).alias("term"), (F.get("at", j + 1) - start).cast("long").alias("tf")),
+    )
+    return docs.select(*kept, F.inline(runs))
+
+
 def tfidf_weights(texts: DataFrame, key: str) -> DataFrame:
     """`(key, term, weight)`: the TF-IDF weights in long form, over the whole vocabulary.
 
-    `weight` is tf * ln((n + 1) / (df + 1)). Terms are counted map-side, so a
-    common word costs one row a task.
+    `weight` is tf * ln((n + 1) / (df + 1)). The texts move once, their counts once to meet the
+    document frequencies, which are counted map-side: a common word costs one row a task.
     """
-    words = texts.select(key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    words = term_counts(whole_documents(texts, key))
     df = words.groupBy("term").agg(F.count("*").alias("df"))
     total = texts.agg(F.count("*").alias("n"))
     weight = F.col("tf") * F.log((F.col("g.n") + 1) / (F.col("df") + 1))

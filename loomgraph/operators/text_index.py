@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.search import BM25_B, BM25_K1, keywords_of, tokens
-from loomgraph.runtime import scratch_path, top_k_per_group
+from loomgraph.operators.search import BM25_B, BM25_K1, keywords_of, term_counts, tokens, whole_documents
+from loomgraph.runtime import cut_lineage, scratch_path, top_k_per_group
 
 SHARD_DOCS = 512  # documents of a shard, about
 BUCKETS = 64  # folders of the lists; a search reads those of its terms
@@ -48,8 +48,8 @@ def build_text_index(texts: DataFrame, key: str = "item_id", path: str | None =
     """Index `texts(key, text)` below `path`, a new folder of the shared one by default.
 
     Rows of one key are one document; a null key is a document too. A null or empty text has no terms but counts as a
-    document. Two shuffles: counts by document and term, which are summed before they move, and lists by term and shard,
-    of which a task holds one at a time with at most a few shards' worth of documents.
+    document. Two shuffles: the texts by key, and the postings by term and shard; a task holds one list at a time with at
+    most a few shards' worth of documents.
     """
     spark = texts.sparkSession
     path = path or scratch_path(spark, "text-index")
@@ -61,15 +61,17 @@ def build_text_index(texts: DataFrame, key: str = "item_id", path: str | None =
     shards = {r["level"]: max(1, round(r["count"] / SHARD_DOCS)) for r in docs.groupBy("level").count().collect()}
     many = F.element_at(F.create_map(*[F.lit(x) for pair in shards.items() for x in pair]), F.col("level")) if shards else F.lit(1)
     shard = F.shiftleft(F.col("level").cast("long"), 40) + F.pmod(F.xxhash64("key"), many)
-    placed = docs.select(F.col("key").alias("doc"), "length", shard.alias("shard"))
-    counts = split.select("key", F.explode("w").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    # the texts move once, by key; the words of a document are counted where they are
+    whole = whole_documents(texts.select(F.col(key).alias("key"), "text"), "key")
+    whole = whole.withColumn("length", F.size("w")).withColumn("level", F.length(F.bin(F.col("length"))))
+    counts = term_counts(whole.select("key", "length", shard.alias("shard"), "w"))
     part = F.col("tf") / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.lit(mean or 1.0)))
-    found = counts.join(placed, F.col("key").eqNullSafe(F.col("doc"))).select("term", "shard", "key", part.alias("part"))
-    lists = found.groupBy("term", "shard").agg(
+    # the postings move once, to the folder that they are written to
+    found = counts.select(bucket_of(F.col("term")).alias("bucket"), F.pmod(F.xxhash64("shard"), F.lit(16)).alias("deal"), "term", "shard", "key", part.alias("part"))
+    lists = found.repartition("bucket", "deal").groupBy("bucket", "deal", "term", "shard").agg(
         F.max("part").alias("bound"), F.count("*").alias("n"), F.collect_list(F.struct("key", "part")).alias("postings")
     )
-    lists = lists.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("shard"), F.lit(16)))
-    lists.sortWithinPartitions("bucket", "term", "shard").write.partitionBy("bucket").parquet(f"{path}/lists")
+    lists.drop("deal").sortWithinPartitions("bucket", "term", "shard").write.partitionBy("bucket").parquet(f"{path}/lists")
     index = TextIndex(path, key, texts.schema[key].dataType.simpleString(), n, mean or 0.0)
     stored = index.lists(spark).groupBy("term").agg(F.sum("n").alias("df"))
     stored.write.parquet(f"{path}/terms")
@@ -107,23 +109,32 @@ def _search(index: TextIndex, asked: DataFrame, k: int | None, minimum: float, w
         return lists.filter(F.col("bucket").isin(buckets) & F.col("term").isin(words))
 
     rarity = F.log(1 + (index.docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(index.terms(spark), "term").select("qid", "term", rarity.alias("idf"))
+    # a few rows for each query, stored so that Spark sees how few
+    path = scratch_path(spark, "asked")
+    asked.join(index.terms(spark), "term").select("qid", "term", rarity.alias("idf")).write.parquet(path)
+    weighed = spark.read.parquet(path)
     bounds = stored().select("term", "shard", "bound").join(weighed, "term")
     bounds = bounds.groupBy("qid", "shard").agg(F.sum(F.col("idf") * F.col("bound")).alias("most")).filter(F.col("most") >= minimum - ROUNDING)
+    bounds = cut_lineage(bounds)
 
     def scored(pairs: DataFrame) -> DataFrame:
-        terms = pairs.select(F.col("qid").alias("q"), F.col("shard").alias("s")).join(weighed, F.col("q").eqNullSafe(F.col("qid"))).drop("qid")
-        terms = terms.withColumnRenamed("term", "t")
-        found = stored().join(terms, (F.col("term") == F.col("t")) & (F.col("shard") == F.col("s")))
-        one = found.select(F.col("q").alias("qid"), "idf", F.inline("postings"))
-        return one.groupBy("qid", "key").agg(F.sum(F.col("idf") * F.col("part")).alias("score")).filter(F.col("score") > minimum)
+        """The lists of a shard come together and are scored there, so that no single part of a score moves."""
+        here = pairs.groupBy("shard").agg(F.collect_set(F.struct("qid")).alias("qs"))
+        found = stored().select("term", "shard", "postings").repartition("shard").join(here, "shard")
+        one = found.join(weighed, "term").filter(F.array_contains("qs", F.struct("qid"))).select("qid", "shard", "idf", F.inline("postings"))
+        return one.groupBy("qid", "shard", "key").agg(F.sum(F.col("idf") * F.col("part")).alias("score")).filter(F.col("score") > minimum)
 
     order = [F.round("score", 9).desc(), F.col("key")]
     if k is None:
-        return scored(bounds)
+        return scored(bounds).drop("shard")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        at_shard = F.row_number().over(Window.partitionBy("qid", "shard").orderBy(*order))
+        few = scored(pairs).withColumn("n", at_shard).filter(F.col("n") <= k)
+        return top_k_per_group(few.select("qid", "key", "score"), ["qid"], order, k)
+
     best_first = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("most"), "shard"))
-    first = bounds.withColumn("n", best_first).filter(F.col("n") <= FIRST_SHARDS)
-    start = top_k_per_group(scored(first), ["qid"], order, k)
+    start = best(bounds.withColumn("n", best_first).filter(F.col("n") <= FIRST_SHARDS))
     kth = start.groupBy(F.col("qid").alias("of")).agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
     left = bounds.join(kth, F.col("qid").eqNullSafe(F.col("of")), "left").filter(F.col("kth").isNull() | (F.col("most") >= F.col("kth") - ROUNDING))
-    return top_k_per_group(scored(left), ["qid"], order, k)
+    return best(left)

@@ -69,3 +69,19 @@ def test_rows_of_one_key_are_one_document_and_null_is_a_key(spark):
 def test_empty_table(spark):
     index = TI.build_text_index(spark.createDataFrame([], "item_id long, text string"))
     assert TI.search(index, "red").count() == 0
+
+
+def test_texts_and_lists_move_once(spark):
+    """Neither a count by document and term nor a part of a score is shuffled."""
+    from loomgraph.operators.search import tfidf_weights
+
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 3} w0") for i in range(50)], "doc long, text string")
+    index = TI.build_text_index(docs, "doc")
+    hits = TI.search_many(index, spark.createDataFrame([("a", "w0 w1")], "qid string, query string"), 3)
+
+    def dealt(df):
+        return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+
+    assert dealt(hits) and not [d for d in dealt(hits) if "qid#" in d and "key#" in d]
+    weights = dealt(tfidf_weights(docs, "doc"))
+    assert weights and not [d for d in weights if "doc#" in d and "term#" in d]
