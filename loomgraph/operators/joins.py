@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.binding import GraphBinding
-from loomgraph.runtime import top_k_per_group, with_scalars
+from loomgraph.runtime import spread, top_k_per_group, with_scalars
 
 
 def collected(values: Column | str, limit: int | None = None) -> Column:
@@ -29,13 +29,15 @@ def with_neighbours(items: DataFrame, rel: DataFrame, name: str, out: str, limit
     return items.join(lists, "item_id", "left")
 
 
-def _edge_lists(graph: GraphBinding, items: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+def _edge_lists(graph: GraphBinding, items: DataFrame, columns: Mapping[str, str], many: bool = False) -> DataFrame:
     """`item_id` and, for each output column, the sorted names at the end of its relation; a role follows its name.
 
     One aggregate gathers the names of each (item, relation), a second one on
-    the same key turns the few relations of an item into columns.
+    the same key turns the few relations of an item into columns. With `many` items the edges are dealt by item first.
     """
     edges = graph.edges(distinct=False).filter(F.col("rel_type").isin(list(columns.values())))
+    if many:
+        edges = spread(edges, "src_id")
     edges = edges.join(items.select(F.col("item_id").alias("src_id")), "src_id", "left_semi")
     per = edges.groupBy(F.col("src_id").alias("item_id"), "rel_type").agg(
         F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "dst_name", "role"))), ";").alias("names")
@@ -70,7 +72,7 @@ def item_detail(graph: GraphBinding, items: DataFrame) -> DataFrame:
 def transfer_chain(graph: GraphBinding, items: DataFrame) -> DataFrame:
     """Original applicants, current owners and transferees of the given items."""
     chain = {"original_applicants": "APPLIED_BY", "current_owners": "OWNED_BY", "transferees": "TRANSFERRED_TO"}
-    return items.join(_edge_lists(graph, items, chain), "item_id", "left")
+    return items.join(_edge_lists(graph, items, chain, many=True), "item_id", "left")
 
 
 def collaboration(rel: DataFrame, name_part: str, limit: int | None = None) -> DataFrame:
