@@ -22,8 +22,7 @@ def query(fn):
 def toxicity_model(spark: SparkSession, path: str) -> toxicity.Classifier:
     """Fitted on labelled documents outside the held-out fold."""
     training = crc_mod(F.col("doc_id"), 5) != 0
-    rows = toxicity.labelled_sample(table(spark, path, "documents"), table(spark, path, "labels"), training)
-    return toxicity.fit(rows)
+    return toxicity.fit_in_task(toxicity.labelled_rows(table(spark, path, "documents"), table(spark, path, "labels"), training))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -363,14 +364,30 @@ class Scorer:
         return self.model.probability(features)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, training: Column, limit: int = SAMPLE_DOCS) -> list[tuple[str, bool]]:
-    """At most `limit` labelled texts, the first in hash order of their ids."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, training: Column, limit: int = SAMPLE_DOCS) -> DataFrame:
+    """At most `limit` labelled texts `(text, toxic)`, the first in hash order of their ids."""
     marked = labels.filter(F.col("toxic").isin(0, 1) & training).select("doc_id", "toxic").distinct()
     # labels of one document that disagree teach nothing
     marked = marked.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_max")).filter("toxic = _max")
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id", "toxic")
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").filter(F.col("text").isNotNull())
-    return sorted((r.text, bool(r.toxic)) for r in rows.select("text", "toxic").collect())
+    return rows.select("text", (F.col("toxic") == 1).alias("toxic"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, training: Column, limit: int = SAMPLE_DOCS) -> list[tuple[str, bool]]:
+    """The rows of `labelled_rows` as a sorted list."""
+    return sorted((r.text, r.toxic) for r in labelled_rows(docs, labels, training, limit).collect())
+
+
+def fit_in_task(sample: DataFrame) -> Classifier:
+    """`fit` on the bounded `sample(text, toxic)` in one task: the driver sees the model, not the texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["text"], r["toxic"]) for b in batches for r in b.to_pylist())
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(rows))], pa.binary())})
+
+    done = sample.select("text", "toxic").repartition(1).mapInArrow(work, "model binary").first()
+    return fit([]) if done is None else pickle.loads(done.model)
 
 
 def score_toxicity(docs: DataFrame, model: Classifier) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicates, decontamination, language model and toxicity against brute force or held-out rows."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -286,3 +287,22 @@ def test_labelled_sample_is_bounded_and_whole(spark):
     got = toxicity.labelled_sample(rows, labels, F.col("doc_id") != 5)
     assert ("t5", True) not in got and ("t3", True) not in got and ("t4", False) in got and len(got) == 49
     assert len(toxicity.labelled_sample(rows, labels, F.lit(True), limit=10)) <= 11
+
+
+def test_the_fit_runs_in_a_task(spark, monkeypatch):
+    rows = [(f"the plain text number {i}", False) for i in range(40)] + [(f"you utter blockhead number {i}", True) for i in range(20)]
+    want = toxicity.fit(sorted(rows))
+    sample = spark.createDataFrame(rows, "text string, toxic boolean")
+    empty = toxicity.fit_in_task(sample.filter("text is null"))
+    assert empty.kernel.landmarks == []
+
+    driver, plain_fit = os.getpid(), toxicity.fit
+
+    def elsewhere(rows):
+        assert os.getpid() != driver
+        return plain_fit(rows)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    got = toxicity.fit_in_task(sample)
+    assert got.kernel.landmarks == want.kernel.landmarks
+    assert np.array_equal(got.weights, want.weights) and np.array_equal(got.document, want.document)
