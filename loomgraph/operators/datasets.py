@@ -92,8 +92,8 @@ def resample_by_score(
     else:
         raise ValueError(f"unknown resampling method: {method}")
     units = F.greatest(F.round((weight + 1e-8) * 1e8), F.lit(1.0)).cast("decimal(30,0)")
-    rows = base.withColumn("_u", units).withColumn("_all", F.lit(1))
-    line = with_group_running_sum(rows, ["_all"], [F.col(key)], F.col("_u"), "_lo").drop("_all")
+    rows = base.withColumn("_u", units)
+    line = with_group_running_sum(rows, [], [F.col(key)], F.col("_u"), "_lo")
     totals = rows.agg(F.sum("_u").cast("double").alias("w"), F.count("*").alias("n"))
     line = with_scalars(line, totals, "t")
 

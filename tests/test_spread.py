@@ -34,3 +34,21 @@ def test_whole_relations_are_dealt_by_item_once(spark, monkeypatch, name):
 def test_groups_without_an_item_count_none(spark):
     rows = spark.createDataFrame([("a", "p", "t", None), ("a", "q", "t", 1), ("a", "q", "t", 1)], "name string, main_party string, topic string, item_id long")
     assert {(r["main_party"], r["items"], r["identities"]) for r in disambiguate_persons(rows).collect()} == {("p", 0, 2), ("q", 1, 2)}
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_running_sum_of_one_group_stays_in_many_tasks(spark, keys):
+    rows = spark.range(0, 4000, 1, 8).select(F.lit("a").alias("k"), F.col("id"), (F.col("id") % 7).alias("v"))
+    # neither a broadcast nor merged tasks may hide where the rows of the group meet
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        out = runtime.with_group_running_sum(rows, keys, [F.col("id")], F.col("v"), "run", 16)
+        found = out.select("id", "run", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert {r["id"]: r["run"] for r in found} == {i: sum(j % 7 for j in range(i)) for i in range(4000)}
+    assert len({r["task"] for r in found}) > 1
