@@ -6,6 +6,7 @@ from loomgraph.catalog.base import query, table
 from loomgraph.operators import graph as G
 from loomgraph.operators import resolution as R
 from loomgraph.operators import vectors as V
+from loomgraph.runtime import cut_lineage
 
 
 def _names(spark, path):
@@ -104,7 +105,7 @@ def canonical_names(spark, path):
 
 @query("g03_resolve_words")
 def resolve_words(spark, path):
-    words = _names(spark, path)
+    words = cut_lineage(_names(spark, path))
     pairs = R.similar_in_block(words, 0.95).select("a", "b").unionByName(R.similar_across_blocks(words, 0.9).select("a", "b"))
     return R.resolve_names(words, R.rule_filter(pairs))
 

@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
+import __spark_entry__ as entry
 from loomgraph.functions.text import comparison_name
 from loomgraph.operators import resolution as R
 
@@ -68,3 +69,9 @@ def test_names_of_one_length_and_of_the_same_side_do_not_meet(spark):
     # the two blocks hold names of one length, the customers among themselves are no candidates
     got = {(r["a"], r["b"]): round(r["ratio"], 9) for r in R.similar_across_blocks(df, 0.9, head=None).collect()}
     assert got == plain(norms, 0.9, lambda x, y: x[:2] != y[:2])
+
+
+@pytest.mark.parametrize("name", ["j12_blocked_similarity", "j12_neighbour_blocks", "g03_resolve_words"])
+def test_names_are_not_worked_out_anew_for_each_use(spark, name):
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "parquet" not in plan
