@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 TEXTS = ["", None, " ", "  lead", "trail  ", "\tt\n", "\n", "a\r\nb", "\rx", 'say "hi"', '"', '""', ' "a", b', "a\\", "null", "Thing", "THİNG", "Schule"]
 
 
-@pytest.mark.parametrize("name", ["p05_full_text", "p08_org_type"])
+@pytest.mark.parametrize("name", ["p05_full_text", "p08_org_type", "io01_folder_scan"])
 def test_odd_texts_as_in_sql(spark, tmp_path, name):
     rows = [(t, source, lang, n) for t in TEXTS for source in ("src1", "src3", "", " s", None) for lang, n in (("en", 9), ("de", 600), ("", 600), (None, 600))]
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string, lang string, n_chars long")
