@@ -6,12 +6,17 @@ its row; batch metrics are single-pass aggregates of per-row sums.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from loomgraph.functions.columns import let
+from loomgraph.functions.draws import seeded_draws
 from loomgraph.operators.rewards import SAFETY, token_count, token_sum
 from loomgraph.runtime import seeded_digest, with_group_stats, with_scalars
 
@@ -244,8 +249,8 @@ def throughput(lengths: DataFrame, step_seconds: float, workers: int) -> DataFra
 
 
 DRAW_BLOCK = 50
-# rows of a group that travel with its draws as an array; the rows of larger groups meet their draws by a shuffle
-GROUP_ARRAY = 4096
+# most rows of a group whose draws are made where the group is, beside its rows; larger groups meet their draws by a shuffle
+GROUP_ARRAY = 65536
 
 
 def _draws(sizes: DataFrame, keys: Sequence[str], draws: int, seed: int) -> DataFrame:
@@ -265,20 +270,69 @@ def _draws(sizes: DataFrame, keys: Sequence[str], draws: int, seed: int) -> Data
     return grid.withColumn("idx", idx)
 
 
-def _per_draw(rows: DataFrame, keys: Sequence[str], draws: int, seed: int, summed: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
-    """`summed(drawn rows, columns of a draw)` over all draws of the groups of `rows(keys, idx, ...)` with two rows or more.
+def _moments(values: np.ndarray) -> tuple[float | None, float | None]:
+    """Mean and population deviation."""
+    if not len(values):
+        return None, None
+    mean = np.mean(values)
+    return float(mean), float(np.sqrt(np.mean((values - mean) ** 2)))
 
-    Nothing is sent to all tasks. The block of draws is among the columns of a draw, so that a draw is summed where it is made.
+
+Picker = Callable[[np.ndarray, np.ndarray, "np.ndarray | None"], Callable[[np.ndarray], "list[np.ndarray]"]]
+
+
+def _bootstrap(
+    rows: DataFrame, keys: Sequence[str], draws: int, seed: int, picker: Picker, summed: Callable[[DataFrame, list[str]], DataFrame], names: Sequence[str]
+) -> DataFrame:
+    """Mean and deviation over all draws, for the groups of `rows(keys, idx, v, ...)` with two rows or more.
+
+    `picker(v, empty, p)` prepares the rows of a group and turns indices by i and draw into the row that stands for each
+    draw (-1: none), once for each of `names`; `summed(drawn rows, columns of a draw)` gives the values of the draws of
+    groups of more than `GROUP_ARRAY` rows. Nothing is sent to all tasks, and no draw of the other groups leaves its task.
     """
     values = [c for c in rows.columns if c not in (*keys, "idx")]
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("total")).filter(F.col("total") > 1)
-    draw = [*keys, "n", "block", "draw"]
-    few = rows.join(sizes.filter(F.col("total") <= GROUP_ARRAY).hint("merge"), list(keys))
+    # a number of tasks that is asked for is kept, however few the bytes: the work is in the draws
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = rows.repartition(parts, *keys).join(sizes.filter(F.col("total") <= GROUP_ARRAY).hint("merge"), list(keys))
     packed = few.groupBy(*keys, "total").agg(F.array_sort(F.collect_list(F.struct("idx", *values))).alias("rows"))
-    small = _draws(packed, keys, draws, seed)
-    small = small.select(*draw, "i", *[F.get("rows", F.col("idx").cast("int"))[c].alias(c) for c in values])
+    prefix = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    packed = packed.select(*keys, prefix.alias("prefix"), *[F.col("rows")[c].alias(c) for c in values])
+    stats = [f"{name}_{stat}" for name in names for stat in ("mean", "std")]
+    schema = StructType([*packed.select(*keys).schema, StructField("n", IntegerType()), *[StructField(s, DoubleType()) for s in stats]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v")
+            starts = v.offsets.to_numpy()
+            flat, empty = v.values.to_numpy(zero_copy_only=False), v.values.is_null().to_numpy(zero_copy_only=False)
+            votes = None
+            if "p" in values:
+                p = batch.column("p").values.dictionary_encode(null_encoding="encode")
+                votes = p.indices.to_numpy()
+            at, ns_of, found = [], [], []
+            for row, group in enumerate(batch.column("prefix").to_pylist()):
+                mine = slice(starts[row], starts[row + 1])
+                total = int(starts[row + 1] - starts[row])
+                pick = picker(flat[mine], empty[mine], None if votes is None else votes[mine])
+                ns = [*[2**i for i in range(1, total.bit_length()) if 2**i < total], total]
+                # one n after the other, each by parts of its draws
+                for n, of_n in groupby(seeded_draws(group, ns, draws, total), key=lambda d: d[0]):
+                    rows_of = [np.concatenate(one) for one in zip(*[pick(idx) for _, _, idx in of_n])]
+                    at.append(row)
+                    ns_of.append(n)
+                    found.append([x for one in rows_of for x in _moments(flat[mine][one[one >= 0]])])
+            columns = [batch.column(k).take(pa.array(at, pa.int64())) for k in keys] + [pa.array(ns_of, pa.int32())]
+            columns += [pa.array([x[i] for x in found], pa.float64()) for i in range(len(stats))]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "n", *stats])
+
+    small = packed.mapInArrow(run, schema)
+    draw = [*keys, "n", "block", "draw"]
     large = _draws(sizes.filter(F.col("total") > GROUP_ARRAY), keys, draws, seed).join(rows.hint("merge"), [*keys, "idx"])
-    return summed(small, draw).unionByName(summed(large.select(*draw, "i", *values), draw))
+    # the block of draws is among the columns of a draw, so that a draw is summed where it is made
+    per_draw = summed(large.select(*draw, "i", *values), draw)
+    whole = [f(name).alias(f"{name}_{stat}") for name in names for f, stat in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    return small.unionByName(per_draw.groupBy(*keys, "n").agg(*whole))
 
 
 def bootstrap_extremes(
@@ -286,21 +340,23 @@ def bootstrap_extremes(
 ) -> DataFrame:
     """Mean and population std of the best and worst of n, by seeded resampling.
 
-    `index` numbers the rows of a group from 0. Draws are rows, so the work of a
-    large group is spread over the cluster.
+    `index` numbers the rows of a group from 0. The draws of a group are made beside its rows; those of a group too large
+    for that are rows, so its work is spread over the cluster.
     """
-    rows = df.select(*keys, F.col(index).alias("idx"), F.col(value).alias("v"))
+    rows = df.select(*keys, F.col(index).alias("idx"), F.col(value).cast("double").alias("v"))
+
+    def picker(v: np.ndarray, empty: np.ndarray, _: np.ndarray | None) -> Callable[[np.ndarray], list[np.ndarray]]:
+        order = np.argsort(v, kind="stable").astype(np.int32)  # a number that is none comes last, as in Spark
+        place = np.empty_like(order)
+        place[order] = np.arange(len(v), dtype=np.int32)
+        high, low = np.where(empty, np.int32(-1), place), np.where(empty, np.int32(len(v)), place)
+        row_at = np.append(order, np.int32(-1))  # both ends stand for no row
+        return lambda idx: [row_at[high[idx].max(axis=0)], row_at[low[idx].min(axis=0)]]
 
     def summed(picked: DataFrame, draw: list[str]) -> DataFrame:
-        return picked.groupBy(*draw).agg(F.max("v").alias("b"), F.min("v").alias("w"))
-
-    per_draw = _per_draw(rows, keys, draws, seed, summed)
-    return per_draw.groupBy(*keys, "n").agg(
-        F.avg("b").alias("best_mean"),
-        F.stddev_pop("b").alias("best_std"),
-        F.avg("w").alias("worst_mean"),
-        F.stddev_pop("w").alias("worst_std"),
-    )
+        return picked.groupBy(*draw).agg(F.max("v").alias("best"), F.min("v").alias("worst"))
+
+    return _bootstrap(rows, keys, draws, seed, picker, summed, ["best", "worst"])
 
 
 def bootstrap_majority(
@@ -312,16 +368,45 @@ def bootstrap_majority(
     draws: int = 1000,
     seed: int = 42,
 ) -> DataFrame:
-    """Mean and population std of the majority value of n draws; ties go to the vote drawn first."""
-    rows = df.select(*keys, F.col(index).alias("idx"), F.col(value).alias("v"), F.col(vote).alias("p"))
+    """Mean and population std of the majority value of n draws; ties go to the vote drawn first.
+
+    The value of a vote is the first one drawn for it that is not null.
+    """
+    rows = df.select(*keys, F.col(index).alias("idx"), F.col(value).cast("double").alias("v"), F.col(vote).alias("p"))
     best = F.min_by("v", F.struct((-F.col("c")).alias("c"), "first"))
 
+    def picker(v: np.ndarray, empty: np.ndarray, p: np.ndarray) -> Callable[[np.ndarray], list[np.ndarray]]:
+        kinds, code = np.unique(p, return_inverse=True)
+        k, holes = len(kinds), empty.any()
+
+        def part(idx: np.ndarray) -> np.ndarray:
+            n, many = idx.shape
+            cell = code[idx] + k * np.arange(many)
+            counts = np.bincount(cell.ravel(), minlength=k * many).reshape(many, k)
+            first = np.full(k * many, n)
+            # the last of several writes to a cell stays, here the one drawn first
+            first[cell[::-1].ravel()] = np.repeat(np.arange(n)[::-1], many)
+            won = np.argmax(counts * (n + 1) - first.reshape(many, k), axis=1) + k * np.arange(many)
+            if not holes:
+                return idx[first[won], np.arange(many)].astype(np.int32)
+            valued = np.full(k * many, -1)
+            i, d = np.nonzero(~empty[idx][::-1])
+            valued[cell[::-1][i, d]] = n - 1 - i
+            at = valued[won]
+            return np.where(at < 0, -1, idx[at, np.arange(many)].astype(np.int32))
+
+        def pick(idx: np.ndarray) -> list[np.ndarray]:
+            step = max(1, (1 << 20) // k)  # cells of all votes of a few draws at a time
+            return [np.concatenate([part(idx[:, s : s + step]) for s in range(0, idx.shape[1], step)])]
+
+        return pick
+
     def summed(picked: DataFrame, draw: list[str]) -> DataFrame:
-        votes = picked.groupBy(*draw, "p").agg(F.count("*").alias("c"), F.min("i").alias("first"), F.min_by("v", "i").alias("v"))
-        return votes.groupBy(*draw).agg(best.alias("m"))
+        valued = F.when(F.col("v").isNotNull(), F.col("i"))
+        votes = picked.groupBy(*draw, "p").agg(F.count("*").alias("c"), F.min("i").alias("first"), F.min_by("v", valued).alias("v"))
+        return votes.groupBy(*draw).agg(best.alias("maj"))
 
-    per_draw = _per_draw(rows, keys, draws, seed, summed)
-    return per_draw.groupBy(*keys, "n").agg(F.avg("m").alias("maj_mean"), F.stddev_pop("m").alias("maj_std"))
+    return _bootstrap(rows, keys, draws, seed, picker, summed, ["maj"])
 
 
 def validation_metrics(df: DataFrame, source: str = "source", uid: str = "uid", value: str = "score") -> DataFrame:
