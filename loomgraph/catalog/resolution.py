@@ -106,7 +106,9 @@ def canonical_names(spark, path):
 @query("g03_resolve_words")
 def resolve_words(spark, path):
     words = cut_lineage(_names(spark, path))
-    pairs = R.similar_in_block(words, 0.95).select("a", "b").unionByName(R.similar_across_blocks(words, 0.9).select("a", "b"))
+    # all names, not only those of a block, and all of two neighbouring blocks
+    alike, near = R.similar_in_block(words, 0.95, prefix=0), R.similar_across_blocks(words, 0.9, head=None)
+    pairs = alike.select("a", "b").unionByName(near.select("a", "b"))
     return R.resolve_names(words, R.rule_filter(pairs))
 
 
