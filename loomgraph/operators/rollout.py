@@ -294,7 +294,8 @@ def _bootstrap(
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("total")).filter(F.col("total") > 1)
     # a number of tasks that is asked for is kept, however few the bytes: the work is in the draws
     parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = rows.repartition(parts, *keys).join(sizes.filter(F.col("total") <= GROUP_ARRAY).hint("merge"), list(keys))
+    held = sizes.filter(F.col("total") <= GROUP_ARRAY).repartition(parts, *keys)  # on both sides, else the join undoes it
+    few = rows.repartition(parts, *keys).join(held.hint("merge"), list(keys))
     packed = few.groupBy(*keys, "total").agg(F.array_sort(F.collect_list(F.struct("idx", *values))).alias("rows"))
     prefix = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
     packed = packed.select(*keys, prefix.alias("prefix"), *[F.col("rows")[c].alias(c) for c in values])

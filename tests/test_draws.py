@@ -37,3 +37,11 @@ def test_empty_scores_and_keys_as_in_sql(spark, tmp_path, name):
     con.execute("SET threads = 1")
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert compare(entry.queries()[name](spark, str(tmp_path)), con, entry.oracle_sql()[name]) is None
+
+
+def test_draws_take_more_tasks_than_a_shuffle(spark):
+    from loomgraph.operators import rollout as M
+
+    df = spark.createDataFrame([(g, i, float(i)) for g in range(9) for i in range(3)], "g int, idx long, score double")
+    plan = M.bootstrap_extremes(df, ["g"], draws=4)._jdf.queryExecution().executedPlan().toString()
+    assert plan[plan.index("MapInArrow") :].split("SortMergeJoin")[1].count("16), REPARTITION_BY_NUM") == 2
